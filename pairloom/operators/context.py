@@ -81,6 +81,7 @@ def select_prompts(
     Blank prompts and repeats are dropped.  Everything is decided inside the row,
     as a row has few prompts.
     """
+    named = lambda items, name: F.transform(items, lambda p: F.lit(name))
     listed = lambda items: F.array(*[F.lit(i) for i in items]) if items else F.array().cast("array<string>")
     tidy = lambda items: F.filter(F.transform(items, K.strip), lambda p: p != "")
     if manual:
@@ -88,12 +89,12 @@ def select_prompts(
     else:
         captions = F.transform("query_pairs", lambda p: F.coalesce(p["caption"], F.lit("")))
         first, source = F.slice(F.array_distinct(tidy(captions)), 1, max_query_prompts), "query"
-    prompts, sources = first, F.transform(first, lambda p: F.lit(source))
+    prompts, sources = first, named(first, source)
     for items, name in ((defaults, "default_extra"), (extras, "extra")):
         fresh = F.array_except(tidy(listed(items)), prompts)
         prompts, sources = (
             F.concat(prompts, fresh),
-            F.concat(sources, F.transform(fresh, lambda p, name=name: F.lit(name))),
+            F.concat(sources, named(fresh, name)),
         )
     rows = assignments.select(row_key, F.posexplode(F.arrays_zip(prompts.alias("prompt"), sources.alias("source"))).alias("prompt_index", "z"))
     return rows.select(row_key, F.col("prompt_index").cast("bigint").alias("prompt_index"), F.col("z.prompt").alias("prompt"), F.col("z.source").alias("source"))

@@ -222,20 +222,20 @@ def referenced_uids(assignments: DataFrame, include_support: bool = False, order
     """
     line = F.col(order) if order else F.lit(0).cast("bigint")
     lists = [("query_pairs", 0)] + ([("support_pairs", 1)] if include_support else [])
-    pairs = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.col(c), F.array().cast(assignments.schema[c].dataType)),
-                lambda p, i, rank=rank: F.struct(
-                    F.lit(rank).alias("list"),
-                    i.alias("i"),
-                    K.trimmed_key(p["preferred_uid"]).alias("preferred_uid"),
-                    K.trimmed_key(p["dispreferred_uid"]).alias("dispreferred_uid"),
-                ),
-            )
-            for c, rank in lists
-        ]
-    )
+
+    def tagged(column: str, rank: int) -> Column:
+        filled = F.coalesce(F.col(column), F.array().cast(assignments.schema[column].dataType))
+        return F.transform(
+            filled,
+            lambda p, i: F.struct(
+                F.lit(rank).alias("list"),
+                i.alias("i"),
+                K.trimmed_key(p["preferred_uid"]).alias("preferred_uid"),
+                K.trimmed_key(p["dispreferred_uid"]).alias("dispreferred_uid"),
+            ),
+        )
+
+    pairs = F.concat(*[tagged(column, rank) for column, rank in lists])
     rows = assignments.select(line.alias("line"), F.explode(pairs).alias("p"))
     valid = F.col("p.preferred_uid").isNotNull() & F.col("p.dispreferred_uid").isNotNull()
     return (

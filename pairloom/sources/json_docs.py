@@ -99,11 +99,13 @@ def read_columnar_json(spark: SparkSession, path: str | Sequence[str], schema: T
         )
 
     cell_type = T.ArrayType(T.StructType([T.StructField("row_key", T.StringType()), *[T.StructField(f.name, f.dataType) for f in schema.fields]]))
-    parts = []
-    for n in names:
-        from_map = F.transform(F.map_entries(F.col("m")[n]), lambda e, n=n: cell(e["key"], n, e["value"]))
-        from_list = F.transform(F.col("l")[n], lambda v, i, n=n: cell(i, n, v))
-        parts.append(F.when(is_map[n], from_map).when(is_list[n], from_list).otherwise(F.array()).cast(cell_type))
+
+    def cells_of(name: str) -> Column:
+        from_map = F.transform(F.map_entries(F.col("m")[name]), lambda e: cell(e["key"], name, e["value"]))
+        from_list = F.transform(F.col("l")[name], lambda v, i: cell(i, name, v))
+        return F.when(is_map[name], from_map).when(is_list[name], from_list).otherwise(F.array()).cast(cell_type)
+
+    parts = [cells_of(n) for n in names]
     scalars = {n: F.when(~is_map[n] & ~is_list[n], F.col("p")[n]) for n in names}
     flat = objects.select("file", nested.alias("nested"), F.struct(*[scalars[n].alias(n) for n in names]).alias("s"), F.concat(*parts).alias("cells"))
     # Cells of one row meet in a shuffle on (file, row); nothing is looked up row by row in a big map.
