@@ -212,13 +212,13 @@ def calibrate_channels(
     Both statistics have one row per channel, so they travel as one array in a
     scalar subquery and the tensors are rewritten in place without a shuffle.
     """
-    def packed(stats: DataFrame, column: str) -> Column:
-        listed = stats.agg(F.array_sort(F.collect_list(F.struct("channel", column))).alias("a"))
-        return listed.select(F.transform("a", lambda s: s[column])).scalar()
+    def packed(stats: DataFrame, column: str, least: float | None = None) -> Column:
+        value = F.col(column) if least is None else F.greatest(F.col(column), F.lit(least))
+        listed = stats.agg(F.array_sort(F.collect_list(F.struct("channel", value.alias("x")))).alias("a"))
+        return listed.select(F.transform("a", lambda s: s["x"])).scalar()
 
-    floor = lambda std: F.transform(std, lambda s: F.greatest(s, F.lit(eps)))
-    rows = df.withColumn("__sm", packed(source, "channel_mean")).withColumn("__ss", floor(packed(source, "channel_std")))
-    rows = rows.withColumn("__tm", packed(target, "channel_mean")).withColumn("__ts", floor(packed(target, "channel_std")))
+    rows = df.withColumn("__sm", packed(source, "channel_mean")).withColumn("__ss", packed(source, "channel_std", eps))
+    rows = rows.withColumn("__tm", packed(target, "channel_mean")).withColumn("__ts", packed(target, "channel_std", eps))
     size = F.element_at(shape, 2) * F.element_at(shape, 3)
 
     def moved(x: Column, i: Column) -> Column:

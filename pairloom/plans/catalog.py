@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pairloom.plans import pairs  # noqa: F401
+from pairloom.plans import models, pairs, tensors  # noqa: F401
 from pairloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
