@@ -146,50 +146,69 @@ def candidate_counts(rows: DataFrame, pool: DataFrame, keys: Sequence[str] = USE
 
 
 def support_matches(
-    rows: DataFrame, candidates: DataFrame, row_key: str, pairs: str = "support_pairs", keys: Sequence[str] = USER
+    rows: DataFrame,
+    candidates: DataFrame,
+    row_key: str,
+    pairs: str = "support_pairs",
+    keys: Sequence[str] = USER,
+    captions_checked: bool = True,
 ) -> DataFrame:
     """(row, candidate) for candidates that equal one of the row's support pairs.
 
-    Uids must agree; captions must agree unless one side has none.  Two equi-joins
-    replace the either-or condition, so both are hash partitioned: exact captions
-    on the full signature, missing captions on the uids.
+    Uids must agree; captions must agree unless one side has none.  Captions that
+    were checked on both sides need one equi-join on the full signature.  For
+    unchecked ones, two more on the uids cover a missing caption on either side,
+    so that no either-or condition defeats hash partitioning.
     """
-    side = (
-        rows.select(*keys, row_key, F.explode(pairs).alias("p"))
-        .select(
-            *keys,
-            row_key,
-            F.col("p.preferred_uid").alias("preferred_uid"),
-            F.col("p.dispreferred_uid").alias("dispreferred_uid"),
-            F.when(~K.is_blank(F.col("p.caption")), F.col("p.caption")).otherwise("").alias("caption"),
+    listed = F.array_distinct(
+        F.transform(
+            pairs,
+            lambda p: F.struct(
+                p["preferred_uid"].alias("preferred_uid"),
+                p["dispreferred_uid"].alias("dispreferred_uid"),
+                F.when(K.is_blank(p["caption"]), "").otherwise(p["caption"]).alias("caption"),
+            ),
         )
-        .distinct()
     )
+    side = rows.select(*keys, row_key, F.inline(listed))
     exact = side.join(candidates, [*keys, *SIGNATURE])
+    if captions_checked:
+        return exact
     uids = [*keys, *SIGNATURE[:2]]
-    open_side = side.filter(F.col("caption") == "").drop("caption").join(candidates.filter(F.col("caption") != ""), uids)
-    open_pool = side.filter(F.col("caption") != "").drop("caption").distinct().join(
-        candidates.filter(F.col("caption") == ""), uids
-    )
+    no_caption = F.col("caption") == ""
+    open_side = side.filter(no_caption).drop("caption").join(candidates.filter(~no_caption), uids)
+    open_pool = side.filter(~no_caption).drop("caption").distinct().join(candidates.filter(no_caption), uids)
     return exact.unionByName(open_side).unionByName(open_pool)
 
 
 def held_out_counts(
-    rows: DataFrame, pool: DataFrame, row_key: str, pairs: str = "support_pairs", keys: Sequence[str] = USER
+    rows: DataFrame,
+    pool: DataFrame,
+    row_key: str,
+    pairs: str = "support_pairs",
+    keys: Sequence[str] = USER,
+    captions_checked: bool = True,
 ) -> DataFrame:
     """Embedding rows with candidate counts before and after support exclusion and dedupe."""
     candidates = distinct_candidates(pool, keys)
-    sizes = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     gone = (
-        support_matches(rows, candidates, row_key, pairs, keys)
-        .select(row_key, *SIGNATURE)
-        .distinct()
+        support_matches(rows, candidates, row_key, pairs, keys, captions_checked)
         .groupBy(row_key)
-        .agg(F.count(F.lit(1)).alias("__gone"))
+        .agg(F.count_distinct(F.struct(*SIGNATURE)).alias("__gone"))
     )
-    counted = candidate_counts(rows, pool, keys).join(sizes, list(keys), "left").join(gone, row_key, "left")
+    counted = rows.join(_user_sizes(pool, candidates, keys), list(keys), "left").join(gone, row_key, "left")
     left = F.coalesce(F.col("__n"), F.lit(0)) - F.coalesce(F.col("__gone"), F.lit(0))
-    return counted.withColumn("num_candidate_pairs_after_filter", left).drop("__n", "__gone")
+    return (
+        counted.withColumn("num_candidate_pairs_after_filter", left)
+        .drop("__n", "__gone")
+        .fillna(0, ["num_candidate_pairs_before_filter"])
+    )
+
+
+def _user_sizes(pool: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per user: pool rows, and distinct candidates as __n."""
+    pooled = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_candidate_pairs_before_filter"))
+    return pooled.join(candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), list(keys))
 
 
 def sample_held_out(
@@ -200,7 +219,8 @@ def sample_held_out(
     seed: int = 0,
     pairs: str = "support_pairs",
     keys: Sequence[str] = USER,
-    digits: int = 3,
+    digits: int = 2,
+    captions_checked: bool = True,
 ) -> DataFrame:
     """Adds counts, `query_pairs` and the sampling label to each embedding row.
 
@@ -215,55 +235,49 @@ def sample_held_out(
     candidates = distinct_candidates(pool, keys).withColumn(
         "__h", K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
     )
-    # Read four times below, so ranked once and stored.
+    # Read three times below, so ranked once and stored.
     placed = materialise(position_by_hash(candidates, keys, "__h", SIGNATURE, "__at", digits).drop("__h"))
-    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     gone = (
-        support_matches(rows, placed.select(*keys, *SIGNATURE, "__at"), row_key, pairs, keys)
+        support_matches(rows, placed.select(*keys, *SIGNATURE, "__at"), row_key, pairs, keys, captions_checked)
         .groupBy(row_key)
         .agg(F.array_sort(F.collect_set("__at")).alias("__gone"))
     )
+    counts = ["num_candidate_pairs_before_filter", "__left"]
     narrow = (
-        candidate_counts(rows.select(*keys, row_key), pool, keys)
-        .join(sizes, keys, "left")
+        rows.select(*keys, row_key)
+        .join(_user_sizes(pool, placed, keys), keys, "left")
         .join(gone, row_key, "left")
+        .fillna(0, ["num_candidate_pairs_before_filter", "__n"])
         .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<bigint>")))
-        .withColumn("__left", F.coalesce(F.col("__n"), F.lit(0)) - F.size("__gone"))
+        .withColumn("__left", F.col("__n") - F.size("__gone"))
     )
-    start = F.when(
-        F.col("__left") > 0, K.hash_number(K.seeded_hash(seed, F.col(row_key))) % F.nullif(F.col("__left"), F.lit(0))
+    start = K.hash_number(K.seeded_hash(seed, F.col(row_key))) % F.nullif(F.col("__left"), F.lit(0))
+    steps = F.when(F.col("__left") > 0, F.sequence(F.lit(0).cast("bigint"), F.least(F.col("__left"), F.lit(k)) - 1))
+    draws = narrow.withColumn("__start", start).select(
+        *keys, row_key, *counts, "__gone", "__start", F.explode_outer(steps).alias("__i")
     )
-    wanted = F.when(F.col("__left") > 0, F.sequence(F.lit(0).cast("bigint"), F.least(F.col("__left"), F.lit(k)) - 1))
-    draws = narrow.withColumn("__start", start).select(*keys, row_key, "__gone", "__left", "__start", F.explode(wanted).alias("__i"))
     spot = F.aggregate(
         F.col("__gone"),
-        (F.col("__start") + F.col("__i")) % F.col("__left"),
+        (F.col("__start") + F.col("__i")) % F.nullif(F.col("__left"), F.lit(0)),
         lambda at, skipped: F.when(skipped <= at, at + 1).otherwise(at),
     )
     pair_fields = [c for c in placed.columns if c not in (*keys, "__at")]
-    drawn = (
-        draws.select(*keys, row_key, "__i", "__left", spot.alias("__at"))
-        .join(placed, [*keys, "__at"])
-        .groupBy(row_key)
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.when(F.col("__left") <= k, F.col("source_row_idx")).otherwise(F.col("__i")).alias("__o"),
-                        *pair_fields,
-                    )
-                )
-            ).alias("query_pairs")
+    place = F.when(F.col("__left") <= k, F.col("source_row_idx")).otherwise(F.col("__i"))
+    drawn = F.when(F.col("__at").isNotNull(), F.struct(place.alias("__o"), *pair_fields))
+    label = F.when(F.col("__left") <= k, "all_candidates").otherwise(f"random_sample_without_replacement_k={k}")
+    result = (
+        draws.select(*keys, row_key, *counts, "__i", spot.alias("__at"))
+        .join(placed, [*keys, "__at"], "left")
+        .groupBy(row_key, *counts)
+        .agg(F.array_sort(F.collect_list(drawn)).alias("query_pairs"))
+        .select(
+            row_key,
+            counts[0],
+            F.col("__left").alias("num_candidate_pairs_after_filter"),
+            label.alias("query_sampling_strategy"),
+            F.transform("query_pairs", lambda p: p.dropFields("__o")).alias("query_pairs"),
         )
-        .withColumn("query_pairs", F.transform("query_pairs", lambda p: p.dropFields("__o")))
     )
-    label = F.when(F.col("__left") <= k, "all_candidates").otherwise(f"random_sample_without_replacement_k={k}")
-    result = narrow.select(
-        row_key,
-        "num_candidate_pairs_before_filter",
-        F.col("__left").alias("num_candidate_pairs_after_filter"),
-        label.alias("query_sampling_strategy"),
-    ).join(drawn, row_key, "left")
     return rows.join(result, row_key)
 
 
@@ -276,16 +290,19 @@ def build_assignments(
     row_key: str = "user_embedding_id",
     keys: Sequence[str] = USER,
     pairs: str = "support_pairs",
+    captions_checked: bool = True,
 ) -> DataFrame:
     """Assignment rows: supports, drawn query pairs, counts and label.
 
     `on_empty`: `fail` stops at a row without candidates, `skip` leaves it out,
-    `keep` returns it with no query pairs so that it can be counted.
+    `keep` returns it with no query pairs so that it can be counted.  Rows and
+    pool are expected to have passed embedding_reason and validate_pool; set
+    captions_checked=False if captions may be missing on either side.
     """
     if on_empty not in ("fail", "skip", "keep"):
         raise ValueError("on_empty must be fail, skip or keep")
     kept = [c for c in embeddings.columns if c in (*keys, row_key, pairs, "source_embedding_row_idx", "shard_id")]
-    out = sample_held_out(embeddings.select(*kept), pool, row_key, k, seed, pairs, keys)
+    out = sample_held_out(embeddings.select(*kept), pool, row_key, k, seed, pairs, keys, captions_checked=captions_checked)
     found = F.col("num_candidate_pairs_after_filter") > 0
     if on_empty == "skip":
         return out.filter(found)

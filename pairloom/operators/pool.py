@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from pairloom.functions import keys as K
 
@@ -40,9 +41,19 @@ def flag_reason(
     return F.coalesce(*tests) if tests else F.lit(None).cast("string")
 
 
-def label_filter(df: DataFrame, **options) -> DataFrame:
-    """Rows whose label flags hold."""
-    return df.filter(flag_reason(df, **options).isNull())
+def label_filter(
+    df: DataFrame,
+    require_has_label: bool = True,
+    require_are_different: bool = True,
+    has_label: str = "has_label",
+    are_different: str = "are_different",
+) -> DataFrame:
+    """Rows whose label flags hold; a boolean flag is a bare predicate the scan can apply."""
+    for wanted, column in ((require_has_label, has_label), (require_are_different, are_different)):
+        if wanted and column in df.columns:
+            dtype = df.schema[column].dataType
+            df = df.filter(F.col(column) if isinstance(dtype, T.BooleanType) else K.bool_like(F.col(column), dtype))
+    return df
 
 
 def resolve_strict(best: Column, first: Column, second: Column) -> Column:
@@ -114,17 +125,23 @@ def build_pool(
 
     Rows dropped by the label flags are never an error.
     """
-    marked = with_reason(df, **columns, **(flag_options or {}))
-    bad = F.col("reason").isNotNull() & ~F.col("reason").isin(*REASONS[:2])
+    labelled = label_filter(df, **(flag_options or {}))
     if strict:
-        marked = marked.filter(
-            F.when(bad, F.raise_error(F.concat(F.lit("malformed row: "), F.col("reason"))).cast("boolean")).otherwise(
-                F.col("reason").isNull()
-            )
-        )
-    else:
-        marked = marked.filter(F.col("reason").isNull())
-    return pool_records(marked, include_fields, **columns)
+        marked = with_reason(labelled, **columns, require_has_label=False, require_are_different=False)
+        message = F.concat(F.lit("malformed row: "), F.col("reason"))
+        kept = marked.filter(F.when(F.col("reason").isNull(), True).otherwise(F.raise_error(message).cast("boolean")))
+        return pool_records(kept, include_fields, **columns)
+    # Without reasons to report, the checks are separate predicates, null tests reach the scan,
+    # and the cheap ones are tried first.
+    name = lambda c: columns.get(c, c)
+    fields = ("user_id", "caption", "image_0_uid", "image_1_uid", "best_image_uid")
+    for c in fields:
+        labelled = labelled.filter(F.col(name(c)).isNotNull())
+    best, first, second = (K.strip(F.col(name(c))) for c in ("best_image_uid", "image_0_uid", "image_1_uid"))
+    kept = labelled.filter(best.isin(first, second))
+    for c in fields:
+        kept = kept.filter(~K.is_missing(F.col(name(c))))
+    return pool_records(kept, include_fields, **columns)
 
 
 def reason_counts(marked: DataFrame) -> DataFrame:

@@ -20,11 +20,16 @@ BEFORE = "__before"
 WIDTH = 1 << 20
 
 
-def _offset_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+def _offset_ranks(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None
+) -> DataFrame:
     spot = [*keys, BUCKET]
-    sizes = df.groupBy(*spot).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = df.groupBy(*spot).agg(F.count(F.lit(1)).alias("__size"))
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn(BEFORE, F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    offsets = sizes.withColumn(BEFORE, F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("__size").over(Window.partitionBy(*keys)))
+    offsets = offsets.drop("__size")
     inside = Window.partitionBy(*spot).orderBy(*order)
     return (
         df.withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
@@ -35,15 +40,22 @@ def _offset_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def position_by_hash(
-    df: DataFrame, keys: Sequence[str], digest: str, tie: Sequence[str], name: str, digits: int = 3
+    df: DataFrame,
+    keys: Sequence[str],
+    digest: str,
+    tie: Sequence[str],
+    name: str,
+    digits: int = 2,
+    total: str | None = None,
 ) -> DataFrame:
     """0-based place of each row among its key's rows in digest order.
 
     The leading hex digits of the digest are the bucket: they are uniform, so a
     key of any size spreads over 16^digits groups.  Keys must not be null.
+    `total` names a column for the key's row count, which comes along for free.
     """
     bucketed = df.withColumn(BUCKET, F.substring(F.col(digest), 1, digits))
-    return _offset_ranks(bucketed, keys, [F.col(digest), *[F.col(t) for t in tie]], name)
+    return _offset_ranks(bucketed, keys, [F.col(digest), *[F.col(t) for t in tie]], name, total)
 
 
 def position_by_ordinal(

@@ -24,26 +24,24 @@ def chunk_shots(
     seed: int = 0,
     keys: Sequence[str] = USER,
     row_id: str = "row_idx",
-    digits: int = 3,
+    digits: int = 2,
 ) -> DataFrame:
     """Adds `chunk` and `pos`: a seeded shuffle per user, cut into full groups.
 
     The short last group is dropped, then at most per_user groups are kept
     (-1 keeps all).  A user's rows are never gathered in one task.
     """
-    users = eligible_users(rows, num_shots, keys)
-    shuffled = position_by_hash(
-        rows.withColumn("__h", K.seeded_hash(seed, F.col(row_id))), keys, "__h", [row_id], "__p", digits
+    placed = position_by_hash(
+        rows.withColumn("__h", K.seeded_hash(seed, F.col(row_id))), keys, "__h", [row_id], "__p", digits, total="__n"
     ).drop("__h")
-    full = F.floor(F.col("n_rows") / num_shots)
+    full = F.floor(F.col("__n") / num_shots)
     if per_user > 0:
         full = F.least(full, F.lit(per_user))
     return (
-        shuffled.join(users, list(keys))
-        .withColumn("chunk", F.floor(F.col("__p") / num_shots).cast("bigint"))
+        placed.withColumn("chunk", F.floor(F.col("__p") / num_shots).cast("bigint"))
         .withColumn("pos", (F.col("__p") % num_shots).cast("int"))
         .filter(F.col("chunk") < full)
-        .drop("__p", "n_rows")
+        .drop("__p", "__n")
     )
 
 
