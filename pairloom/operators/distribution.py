@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import tensors as X
+from pairloom.session import materialise
 
 
 def full_stats(values: Column) -> Column:
@@ -104,7 +105,8 @@ def quantiles(
     counted = flat.select(*keys, (F.col("v") + 0.0).alias("v")).groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("n"))
     level = F.floor(F.log2(F.abs(F.col("v"))) * 32).cast("bigint") + 40000
     bucket = F.when(F.col("v") > 0, level).when(F.col("v") < 0, -level).otherwise(F.lit(0).cast("bigint"))
-    counted = counted.withColumn("__b", bucket)
+    # Read twice below; it holds one row per distinct value.
+    counted = materialise(counted.withColumn("__b", bucket))
     spot = [*keys, "__b"]
     before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -209,24 +211,25 @@ def calibrate_channels(
 ) -> DataFrame:
     """Moves each channel from the source's mean and std to the target's.
 
-    Both statistics have one row per channel, so they travel as one array in a
-    scalar subquery and the tensors are rewritten in place without a shuffle.
+    Both statistics have one row per channel, so together they are one small
+    array, and the tensors are rewritten in place without a shuffle.
     """
-    def packed(stats: DataFrame, column: str, least: float | None = None) -> Column:
-        value = F.col(column) if least is None else F.greatest(F.col(column), F.lit(least))
-        listed = stats.agg(F.array_sort(F.collect_list(F.struct("channel", value.alias("x")))).alias("a"))
-        return listed.select(F.transform("a", lambda s: s["x"])).scalar()
-
-    rows = df.withColumn("__sm", packed(source, "channel_mean")).withColumn("__ss", packed(source, "channel_std", eps))
-    rows = rows.withColumn("__tm", packed(target, "channel_mean")).withColumn("__ts", packed(target, "channel_std", eps))
+    at_least = lambda c: F.greatest(F.col(c), F.lit(eps))
+    moves = source.select("channel", F.col("channel_mean").alias("m"), at_least("channel_std").alias("s")).join(
+        target.select("channel", F.col("channel_mean").alias("tm"), at_least("channel_std").alias("ts")), "channel"
+    )
+    # x -> scale * x + shift
+    scale = F.col("ts") / F.col("s")
+    row = F.struct("channel", scale.alias("scale"), (F.col("tm") - F.col("m") * scale).alias("shift"))
+    listed = moves.agg(F.array_sort(F.collect_list(row)).alias("a")).scalar()
     size = F.element_at(shape, 2) * F.element_at(shape, 3)
 
     def moved(x: Column, i: Column) -> Column:
-        c = (F.floor(i / size) + 1).cast("int")
-        at = lambda name: F.element_at(F.col(name), c)
-        return (x - at("__sm")) / at("__ss") * at("__ts") + at("__tm")
+        move = F.element_at(F.col("__moves"), (F.floor(i / size) + 1).cast("int"))
+        return x * move["scale"] + move["shift"]
 
-    return rows.withColumn(values, F.transform(X.doubles(F.col(values)), moved)).drop("__sm", "__ss", "__tm", "__ts")
+    rows = df.withColumn("__moves", listed)
+    return rows.withColumn(values, F.transform(X.doubles(F.col(values)), moved)).drop("__moves")
 
 
 def residual_summary(rows: DataFrame, block: str = "module_path", order: str = "ord") -> DataFrame:

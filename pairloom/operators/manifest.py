@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pairloom import constants as C
 from pairloom.functions import keys as K
 from pairloom.operators.ranking import WIDTH, position_by_ordinal
+from pairloom.session import materialise
 
 SIDES = (("image_0_uid", "jpg_0", "image_1_uid"), ("image_1_uid", "jpg_1", "image_0_uid"))
 # Rows of one split take the low 55 bits of a scan ordinal.
@@ -256,7 +257,8 @@ def ordered_unique_uids(uids: DataFrame, width: int = WIDTH) -> DataFrame:
         "uid", F.col("o.line").alias("line"), *[F.col(f"o.{f}").alias(f"__{f}") for f in ("list", "i", "side")]
     )
     ties = ["__list", "__i", "__side"]
-    return position_by_ordinal(firsts, [], "line", "place", width, ties).select("uid", "place")
+    # One row per uid; stored, because ranking reads its input twice.
+    return position_by_ordinal(materialise(firsts), [], "line", "place", width, ties).select("uid", "place")
 
 
 def extraction_counters(assignments: DataFrame, include_support: bool = False) -> DataFrame:

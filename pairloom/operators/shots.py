@@ -79,11 +79,10 @@ def user_chunks(users: DataFrame, num_chunks: int = 8, mode: str = "ceil", user:
     """
     distinct = users.select(user).distinct()
     ranked = position_by_sort(distinct, [F.col(user)], "__p")
-    total = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-    size = F.ceil(total / num_chunks) if mode == "ceil" else F.floor(total / num_chunks)
-    placed = ranked.withColumn(
-        "user_chunk", F.when(size > 0, F.floor(F.col("__p") / F.nullif(size, F.lit(0)))).cast("bigint")
-    ).drop("__p")
+    round_up = F.ceil if mode == "ceil" else F.floor
+    # A size of 0 becomes null and leaves every chunk empty.
+    size = ranked.agg(F.nullif(round_up(F.count(F.lit(1)) / num_chunks), F.lit(0)).alias("n")).scalar()
+    placed = ranked.withColumn("user_chunk", F.floor(F.col("__p") / size).cast("bigint")).drop("__p")
     return placed.filter(F.col("user_chunk") < num_chunks)
 
 
