@@ -232,10 +232,9 @@ def sample_held_out(
     if k < 1:
         raise ValueError("k must be at least 1")
     keys = list(keys)
-    candidates = distinct_candidates(pool, keys).withColumn(
-        "__h", K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
-    )
-    # Read three times below, so ranked once and stored.
+    digest = K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
+    # Ranking reads the candidates twice and the rest reads the ranked ones three times.
+    candidates = materialise(distinct_candidates(pool, keys).withColumn("__h", digest))
     placed = materialise(position_by_hash(candidates, keys, "__h", SIGNATURE, "__at", digits).drop("__h"))
     gone = (
         support_matches(rows, placed.select(*keys, *SIGNATURE, "__at"), row_key, pairs, keys, captions_checked)

@@ -139,7 +139,8 @@ def build_pool(
         labelled = labelled.filter(F.col(name(c)).isNotNull())
     best, first, second = (K.strip(F.col(name(c))) for c in ("best_image_uid", "image_0_uid", "image_1_uid"))
     kept = labelled.filter(best.isin(first, second))
-    for c in fields:
+    # The best uid equals one of the image uids by now, so it needs no test of its own.
+    for c in fields[:4]:
         kept = kept.filter(~K.is_missing(F.col(name(c))))
     return pool_records(kept, include_fields, **columns)
 

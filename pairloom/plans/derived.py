@@ -143,13 +143,24 @@ def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built.withColumnRenamed("source_split", "split").withColumn("row_idx", F.col("source_row_idx"))
 
 
+def stored_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool as a written table, for chains that read it more than once."""
+    return materialise(pool(spark, sf_dir))
+
+
 def chunked(spark: SparkSession, sf_dir: str, per_user: int = -1) -> DataFrame:
-    return shots.chunk_shots(pool(spark, sf_dir), per_user=per_user)
+    return shots.chunk_shots(stored_pool(spark, sf_dir), per_user=per_user)
+
+
+def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(embedding rows without their tensors, pool), both stored."""
+    pairs = stored_pool(spark, sf_dir)
+    return materialise(_embedding_rows(shots.chunk_shots(pairs))), pairs
 
 
-def embeddings(spark: SparkSession, sf_dir: str, per_user: int = -1) -> DataFrame:
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding rows without their tensors: supports, ids and shard."""
-    return materialise(_embedding_rows(chunked(spark, sf_dir, per_user)))
+    return base(spark, sf_dir)[0]
 
 
 def _embedding_rows(chunks: DataFrame) -> DataFrame:
@@ -174,9 +185,9 @@ def _embedding_rows(chunks: DataFrame) -> DataFrame:
     )
 
 
-def embedding_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embedding_tensors(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """(user_embedding_id, emb): vectors of the preferred images, in shot order."""
-    rows = embeddings(spark, sf_dir)
+    rows = embeddings(spark, sf_dir) if rows is None else rows
     vectors = derive(spark, sf_dir, "latents").select("uid", "vals")
     parts = rows.select("user_embedding_id", F.posexplode("support_pairs").alias("pos", "p")).select(
         "user_embedding_id", "pos", F.col("p.preferred_uid").alias("uid")
@@ -190,4 +201,5 @@ def embedding_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assignments(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
-    return assign.build_assignments(embeddings(spark, sf_dir), pool(spark, sf_dir), k=k, on_empty="skip")
+    rows, pairs = base(spark, sf_dir)
+    return assign.build_assignments(rows, pairs, k=k, on_empty="skip")

@@ -126,9 +126,10 @@ def _finish(streaming_query) -> None:
 @query("x1_incremental_assignment", _ASSIGNED_SQL.format(k=1))
 def x1(spark, sf):
     base = scratch_path(spark, "x1")
-    D.embeddings(spark, sf).withColumn("part", F.col("shard_id") % 2).write.partitionBy("part").parquet(f"{base}/in")
+    rows, pool = D.base(spark, sf)
+    rows.withColumn("part", F.col("shard_id") % 2).write.partitionBy("part").parquet(f"{base}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/in")
-    _finish(incremental.incremental_assignments(stream.drop("part"), D.pool(spark, sf), f"{base}/out", f"{base}/state"))
+    _finish(incremental.incremental_assignments(stream.drop("part"), pool, f"{base}/out", f"{base}/state"))
     return _query_rows(spark.read.parquet(f"{base}/out"))
 
 

@@ -161,7 +161,7 @@ def s13(spark, sf):
               (SELECT count(*) FROM pool) AS pair_pool_rows_seen, (SELECT count(*) FROM pool) AS pair_pool_rows_indexed""",
 )
 def k3(spark, sf):
-    rows, pool = D.embeddings(spark, sf), D.pool(spark, sf)
+    rows, pool = D.base(spark, sf)
     checked = rows.withColumn("pairs", F.transform("support_pairs", lambda p: p.withField("valid", F.lit(True))))
     marked = checked.withColumn("reason", assign.embedding_reason(checked))
     kept = assign.build_assignments(rows, pool, on_empty="keep")
@@ -560,8 +560,8 @@ def w4(spark, sf):
     """SELECT e.user_embedding_id, u.n_before AS num_candidate_pairs_before_filter FROM embs e JOIN user_sizes u USING (split, user_id)""",
 )
 def j1(spark, sf):
-    rows = D.embeddings(spark, sf)
-    return assign.candidate_counts(rows, D.pool(spark, sf)).select("user_embedding_id", "num_candidate_pairs_before_filter")
+    rows, pool = D.base(spark, sf)
+    return assign.candidate_counts(rows, pool).select("user_embedding_id", "num_candidate_pairs_before_filter")
 
 
 @query(
@@ -570,8 +570,8 @@ def j1(spark, sf):
        FROM embs e JOIN user_sizes u USING (split, user_id) LEFT JOIN left_sizes l USING (user_embedding_id)""",
 )
 def j2(spark, sf):
-    rows = D.embeddings(spark, sf)
-    return assign.held_out_counts(rows, D.pool(spark, sf), "user_embedding_id").select(
+    rows, pool = D.base(spark, sf)
+    return assign.held_out_counts(rows, pool, "user_embedding_id").select(
         "user_embedding_id", "num_candidate_pairs_before_filter", "num_candidate_pairs_after_filter"
     )
 
@@ -789,15 +789,15 @@ CTES["checked"] = """
     """SELECT CASE WHEN n % 29 = 0 THEN -1 - n ELSE n END AS row_idx, shard_id, reason FROM checked""",
 )
 def j7(spark, sf):
-    rows = D.embeddings(spark, sf)
-    assigned = assign.build_assignments(rows, D.pool(spark, sf), on_empty="skip")
+    rows, pool = D.base(spark, sf)
+    assigned = assign.build_assignments(rows, pool, on_empty="skip")
     return S.match_embeddings(_broken(assigned), rows).select(F.col("source_embedding_row_idx").alias("row_idx"), "shard_id", "reason")
 
 
 @query("j8_reason_counts", "SELECT coalesce(reason, 'ok') AS reason, count(*) AS n_rows FROM checked GROUP BY ALL")
 def j8(spark, sf):
-    rows = D.embeddings(spark, sf)
-    assigned = assign.build_assignments(rows, D.pool(spark, sf), on_empty="skip")
+    rows, pool = D.base(spark, sf)
+    assigned = assign.build_assignments(rows, pool, on_empty="skip")
     matched = S.match_embeddings(_broken(assigned), rows)
     return matched.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -809,11 +809,11 @@ CTES["sampled"] = """
     JOIN latents la ON c.preferred_uid = la.uid JOIN latents lb ON c.dispreferred_uid = lb.uid WHERE c.reason IS NULL"""
 
 
-def _samples(spark, sf, spoil=True):
-    rows = D.embeddings(spark, sf)
-    assigned = assign.build_assignments(rows, D.pool(spark, sf), on_empty="skip")
-    assigned = _broken(assigned) if spoil else assigned
-    return S.training_samples(assigned, rows, D.derive(spark, sf, "latents"), D.derive(spark, sf, "paths"))
+def _samples(spark, sf):
+    """Samples and the embedding rows they came from."""
+    rows, pool = D.base(spark, sf)
+    assigned = assign.build_assignments(rows, pool, on_empty="skip")
+    return S.training_samples(_broken(assigned), rows, D.derive(spark, sf, "latents"), D.derive(spark, sf, "paths")), rows
 
 
 @query(
@@ -823,7 +823,7 @@ def _samples(spark, sf, spoil=True):
               preferred_latent_path, dispreferred_latent_path FROM sampled""",
 )
 def j9(spark, sf):
-    return _samples(spark, sf).select(
+    return _samples(spark, sf)[0].select(
         "user_embedding_id", "split", "user_id", "shard_id", "source_embedding_row_idx", "caption", "preferred_uid", "dispreferred_uid",
         "query_pair_key", "num_candidate_pairs_after_filter", "preferred_path", "dispreferred_path", "preferred_latent_path", "dispreferred_latent_path",
     )
@@ -837,7 +837,7 @@ def j9(spark, sf):
 def j9_tensors(spark, sf):
     from pairloom.functions import tensors as X
 
-    samples = _samples(spark, sf).select("user_embedding_id", "preferred_uid", "dispreferred_uid")
+    samples = _samples(spark, sf)[0].select("user_embedding_id", "preferred_uid", "dispreferred_uid")
     rows = S.attach_tensors(samples, D.derive(spark, sf, "latents"))
     return rows.select(
         "user_embedding_id",
@@ -851,7 +851,7 @@ def j9_tensors(spark, sf):
     "SELECT split, shard_id, count(*) AS n_samples, count(DISTINCT user_id) AS n_users FROM sampled GROUP BY ALL",
 )
 def j10(spark, sf):
-    return _samples(spark, sf).groupBy("split", "shard_id").agg(
+    return _samples(spark, sf)[0].groupBy("split", "shard_id").agg(
         F.count(F.lit(1)).alias("n_samples"), F.count_distinct("user_id").alias("n_users")
     )
 
@@ -877,8 +877,9 @@ def j11(spark, sf):
                             GROUP BY ALL) l USING (user_embedding_id)""",
 )
 def a9(spark, sf):
-    samples = _samples(spark, sf).select("user_embedding_id", "user_id")
-    lengths = D.embedding_tensors(spark, sf).select("user_embedding_id", F.size("emb").alias("emb_length"))
+    samples, rows = _samples(spark, sf)
+    samples = samples.select("user_embedding_id", "user_id")
+    lengths = D.embedding_tensors(spark, sf, rows).select("user_embedding_id", F.size("emb").alias("emb_length"))
     joined = samples.join(lengths, "user_embedding_id", "left").fillna(0, ["emb_length"])
     return S.sample_stats(joined)
 
@@ -889,8 +890,8 @@ def a9(spark, sf):
        FROM drawn3 d LEFT JOIN latents la ON d.preferred_uid = la.uid LEFT JOIN latents lb ON d.dispreferred_uid = lb.uid GROUP BY ALL) GROUP BY ALL""",
 )
 def a10(spark, sf):
-    rows = D.embeddings(spark, sf)
-    assigned = materialise(assign.build_assignments(rows, D.pool(spark, sf), k=3, on_empty="skip"))
+    rows, pool = D.base(spark, sf)
+    assigned = materialise(assign.build_assignments(rows, pool, k=3, on_empty="skip"))
     samples = S.training_samples(assigned, rows, D.derive(spark, sf, "latents"))
     return S.pair_count_distribution(assigned, samples, ["user_embedding_id"])
 
@@ -1012,8 +1013,8 @@ def j15(spark, sf):
        FROM (SELECT d.user_embedding_id, e.source_embedding_row_idx AS n FROM drawn1 d JOIN embs e USING (user_embedding_id)) c""",
 )
 def j17(spark, sf):
-    rows = D.embeddings(spark, sf)
-    assigned = assign.build_assignments(rows, D.pool(spark, sf), on_empty="skip")
+    rows, pool = D.base(spark, sf)
+    assigned = assign.build_assignments(rows, pool, on_empty="skip")
     n = F.col("source_embedding_row_idx")
     moved = assigned.withColumn("user_id", F.when(n % 31 == 0, "someone").otherwise(F.col("user_id")))
     moved = moved.withColumn("source_embedding_row_idx", F.when(n % 23 == 0, -1 - n).otherwise(n))

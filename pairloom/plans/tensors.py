@@ -10,6 +10,7 @@ from pairloom.functions import tensors as X
 from pairloom.operators import assign, context, distribution as Q, judging as J, latents as L, metrics as R, samples as S
 from pairloom.plans import derived as D
 from pairloom.plans.registry import CTES, query, rounded
+from pairloom.session import materialise
 
 CTES["finite"] = "SELECT vec_id, pos, v FROM tensors WHERE isfinite(v)"
 CTES["zeroed"] = "SELECT vec_id, pos, CASE WHEN isfinite(v) THEN v ELSE 0 END AS v FROM tensors"
@@ -65,8 +66,10 @@ def p18(spark, sf):
              USING (user_embedding_id))""",
 )
 def w12(spark, sf):
-    ids = D.embeddings(spark, sf).select("user_embedding_id", "source_embedding_row_idx")
-    rows = D.embedding_tensors(spark, sf).join(ids, "user_embedding_id")
+    base = D.embeddings(spark, sf)
+    ids = base.select("user_embedding_id", "source_embedding_row_idx")
+    rows = D.embedding_tensors(spark, sf, base).join(ids, "user_embedding_id")
+    rows = materialise(rows)
     padded = S.pad_and_mask(S.batch_ids(rows, "source_embedding_row_idx", 8))
     total = F.aggregate("emb", F.lit(0.0), lambda acc, row: acc + X.total(row))
     return padded.select(
