@@ -62,7 +62,7 @@ def preference_loss(df: DataFrame, keys: Sequence[str] = (), beta: float = 1.0)
     )
 
 
-def step_windows(log: DataFrame, every: int, columns: Sequence[str], step: str = "micro_step") -> DataFrame:
+def step_windows(log: DataFrame, every: int, columns: Sequence[str] = C.STEP_METRICS, step: str = "micro_step") -> DataFrame:
     """Metrics averaged over each accumulation window of `every` micro steps; the last may be short."""
     number = F.floor((F.col(step) - 1) / every).cast("bigint") + 1
     return log.groupBy(number.alias("optimizer_step")).agg(

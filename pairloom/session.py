@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The folder taken where a local session names none.
+_LOCAL: list[str] = []
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "pairloom") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (
@@ -35,9 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
