@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pairloom.plans import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+# The SQL texts as written, without the named sub-queries they use.
 ORACLES: dict[str, str] = {}
 
 # Named sub-queries the SQL texts may use; the derived inputs come first.
@@ -56,7 +57,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: _plain_types(fn(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
