@@ -13,12 +13,6 @@ from pairloom.operators import manifest
 from pairloom.operators.shots import first_per_key
 
 
-def scale_label(scale: Column) -> Column:
-    """Scale as it appears in a sample id: minus as m, point as p."""
-    text = F.regexp_replace(F.format_string("%.6f", scale.cast("double")), r"\.?0+$", "")
-    return F.translate(text, "-.", "mp")
-
-
 def condition_grid(
     prompts: DataFrame, seeds: Sequence[int], scales: Sequence[float], conditions: Sequence[str] = C.CONDITIONS
 ) -> DataFrame:
@@ -28,11 +22,12 @@ def condition_grid(
     the sample number follows from the positions.
     """
     axis = lambda items, kind: F.array(*[F.lit(i).cast(kind) for i in items])
+    labels = axis([f"{float(s):.6g}".replace("-", "m").replace(".", "p") for s in scales], "string")
     rows = prompts.select("*", F.posexplode(axis(seeds, "bigint")).alias("__a", "seed"))
     rows = rows.select("*", F.posexplode(axis(scales, "double")).alias("__b", "scale"))
     rows = rows.select("*", F.explode(axis(conditions, "string")).alias("condition"))
     number = (F.col("prompt_index") * len(seeds) + F.col("__a")) * len(scales) + F.col("__b")
-    label = F.format_string("sample_%02d_scale_%s", number.cast("bigint"), scale_label(F.col("scale")))
+    label = F.format_string("sample_%02d_scale_%s", number.cast("bigint"), F.element_at(labels, F.col("__b") + 1))
     return rows.withColumn("sample_index", number.cast("bigint")).withColumn("sample_id", label).drop("__a", "__b")
 
 

@@ -120,8 +120,8 @@ def test_embedding_checks(spark):
 
 def test_answers_and_scores(spark):
     m = "Prediction of user preference: "
-    texts = [m + "1", m + "1 then " + m + " 2 ", "1", m + "one", "", None]
-    assert each(spark, texts, "string", J.parse_answer) == [1, 2, 1, None, None, None]
+    texts = [m + "1", m + "1 then " + m + " 2 ", "1", m + "+2\n", m + "1.0", m + "one", "", None]
+    assert each(spark, texts, "string", J.parse_answer) == [1, 2, 1, 2, None, None, None, None]
     assert each(spark, ["2 or 1", "2", "x", None], "string", J.parse_answer_loose) == [1, 2, None, None]
     df = spark.createDataFrame(
         [(1, 2, False), (2, 1, False), (1, 1, False), (3, 2, False), (None, 1, False), (1, 2, True)], "a int, b int, f boolean"
@@ -176,8 +176,14 @@ def test_stored_statistics_must_be_whole(spark):
         df.select(L.bundle_stats(df)).collect()
 
 
-def test_scale_labels(spark):
-    assert each(spark, [1.0, 0.5, -2.0, 10.0, 0.125], "double", context.scale_label) == ["1", "0p5", "m2", "10", "0p125"]
+def test_condition_grid(spark, rows):
+    prompts = spark.createDataFrame([("a", 0), ("b", 1)], "prompt string, prompt_index long")
+    grid = context.condition_grid(prompts, [1, 2], [1.0, 0.5, -2.0, 1234567.0], ["base", "real_user"])
+    assert grid.count() == 2 * 2 * 4 * 2 and grid.select("sample_id").distinct().count() == 16
+    last = grid.filter("prompt = 'b' and seed = 2 and condition = 'base'")
+    assert rows(last, "sample_index", "sample_id") == [
+        (12, "sample_12_scale_1"), (13, "sample_13_scale_0p5"), (14, "sample_14_scale_m2"), (15, "sample_15_scale_1p23457e+06"),
+    ]
 
 
 def test_manual_prompts_win(spark, rows):

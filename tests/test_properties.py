@@ -140,6 +140,11 @@ def test_draws_spread_over_the_candidates(spark, pool, embeddings):
     assert got.select(F.inline("query_pairs")).select("source_row_idx").distinct().count() > n * 0.5
 
 
+def test_assignment_plan_has_only_hash_joins(spark, pool, embeddings):
+    plan = assign.build_assignments(embeddings, pool, on_empty="keep")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
 def test_empty_candidate_sets(spark):
     schema = "split string, user_id string, preferred_uid string, dispreferred_uid string, caption string, source_row_idx long"
     pool = spark.createDataFrame([("train", "u", f"p{i % 4}", "d", "c", i) for i in range(8)], schema)
