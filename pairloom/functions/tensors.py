@@ -9,6 +9,15 @@ from pyspark.sql import Column, functions as F
 INF = float("inf")
 
 
+def let(value: Column, body) -> Column:
+    """The body over a value that is computed once per row.
+
+    A column used inside an array lambda is evaluated again for every element;
+    what costs more than a field access is bound here first.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(values: Column) -> Column:
     return values.cast("array<double>")
 
@@ -31,7 +40,11 @@ def l2_norm(values: Column) -> Column:
 
 
 def population_std(values: Column, centre: Column) -> Column:
-    return F.sqrt(total(values, lambda x: (x - centre) * (x - centre)) / F.nullif(F.size(values), F.lit(0)))
+    """Std around a given mean."""
+    return let(
+        centre,
+        lambda c: F.sqrt(total(values, lambda x: (x - c) * (x - c)) / F.nullif(F.size(values), F.lit(0))),
+    )
 
 
 def finite_only(values: Column) -> Column:
@@ -95,17 +108,26 @@ def pair_metrics(a: Column, b: Column) -> Column:
     same = F.size(a) == F.size(b)
     gap = differences(a, b)
     dot = F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    n = F.nullif(F.size(a), F.lit(0))
-    only = lambda c: F.when(same, c)
-    squares = total(gap, lambda x: x * x)
-    return F.struct(
-        same.alias("same_shape"),
-        only(F.sqrt(squares)).alias("l2_norm"),
-        only(F.sqrt(squares) / (l2_norm(a) + 1e-12)).alias("relative_delta_norm"),
-        only(total(gap, F.abs) / n).alias("mean_abs_diff"),
-        only(F.array_max(F.transform(gap, F.abs))).alias("max_abs_diff"),
-        only(F.sqrt(squares / n)).alias("rmse"),
-        only(dot / F.greatest(l2_norm(a) * l2_norm(b), F.lit(1e-8))).alias("cosine_similarity"),
+    parts = F.struct(
+        F.sqrt(total(gap, lambda x: x * x)).alias("l2"),
+        total(gap, F.abs).alias("abs_sum"),
+        F.array_max(F.transform(gap, F.abs)).alias("abs_max"),
+        dot.alias("dot"),
+        l2_norm(a).alias("a"),
+        l2_norm(b).alias("b"),
+        F.nullif(F.size(a), F.lit(0)).alias("n"),
+    )
+    return let(
+        F.when(same, parts),
+        lambda p: F.struct(
+            p.isNotNull().alias("same_shape"),
+            p["l2"].alias("l2_norm"),
+            (p["l2"] / (p["a"] + 1e-12)).alias("relative_delta_norm"),
+            (p["abs_sum"] / p["n"]).alias("mean_abs_diff"),
+            p["abs_max"].alias("max_abs_diff"),
+            (p["l2"] / F.sqrt(p["n"])).alias("rmse"),
+            (p["dot"] / F.greatest(p["a"] * p["b"], F.lit(1e-8))).alias("cosine_similarity"),
+        ),
     )
 
 
@@ -120,23 +142,26 @@ def neg_log_sigmoid(z: Column) -> Column:
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(doubles(logits))
-    return top + F.log(total(F.transform(doubles(logits), lambda x: F.exp(x - top))))
+    return let(
+        F.array_max(doubles(logits)),
+        lambda top: top + F.log(total(logits, lambda x: F.exp(x - top))),
+    )
 
 
 def softmax(logits: Column) -> Column:
-    norm = log_sum_exp(logits)
-    return F.transform(doubles(logits), lambda x: F.exp(x - norm))
+    return let(log_sum_exp(logits), lambda norm: F.transform(doubles(logits), lambda x: F.exp(x - norm)))
 
 
 def true_class_rank(logits: Column, label: Column) -> Column:
     """1-based rank of the true class; equal logits rank by index."""
-    own = F.element_at(doubles(logits), (label + 1).cast("int"))
-    ahead = F.transform(
-        doubles(logits),
-        lambda x, i: F.when((x > own) | ((x == own) & (i < label)), 1).otherwise(0),
-    )
-    return F.aggregate(ahead, F.lit(1), lambda acc, x: acc + x)
+
+    def rank(own: Column) -> Column:
+        ahead = F.transform(
+            doubles(logits), lambda x, i: F.when((x > own) | ((x == own) & (i < label)), 1).otherwise(0)
+        )
+        return F.aggregate(ahead, F.lit(1), lambda acc, x: acc + x)
+
+    return let(F.element_at(doubles(logits), (label + 1).cast("int")), rank)
 
 
 def top_classes(logits: Column, k: int) -> Column:

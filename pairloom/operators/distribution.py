@@ -13,26 +13,33 @@ from pairloom.session import materialise
 
 def full_stats(values: Column) -> Column:
     """Struct of counts and finite-value statistics of one tensor."""
-    finite = X.finite_only(values)
-    n = F.size(finite)
-    centre = X.mean(finite)
-    squares = X.total(finite, lambda x: x * x)
     count = lambda test: F.size(F.filter(X.doubles(values), test)).cast("bigint")
-    return F.struct(
-        F.size(values).cast("bigint").alias("numel"),
-        n.cast("bigint").alias("finite_count"),
-        F.coalesce(n / F.nullif(F.size(values), F.lit(0)), F.lit(0.0)).alias("finite_fraction"),
-        count(F.isnan).alias("nan_count"),
-        count(lambda x: x == F.lit(X.INF)).alias("posinf_count"),
-        count(lambda x: x == F.lit(-X.INF)).alias("neginf_count"),
-        centre.alias("mean"),
-        X.population_std(finite, centre).alias("std"),
-        F.array_min(finite).alias("min"),
-        F.array_max(finite).alias("max"),
-        (X.total(finite, F.abs) / F.nullif(n, F.lit(0))).alias("abs_mean"),
-        F.sqrt(squares / F.nullif(n, F.lit(0))).alias("rms"),
-        F.sqrt(squares).alias("l2_norm"),
-    )
+
+    def over_finite(finite: Column) -> Column:
+        n = F.nullif(F.size(finite), F.lit(0))
+        sums = F.struct(
+            n.alias("n"), X.mean(finite).alias("mean"), X.total(finite, lambda x: x * x).alias("squares"), X.total(finite, F.abs).alias("abs")
+        )
+        return X.let(
+            sums,
+            lambda s: F.struct(
+                F.size(values).cast("bigint").alias("numel"),
+                F.size(finite).cast("bigint").alias("finite_count"),
+                F.coalesce(F.size(finite) / F.nullif(F.size(values), F.lit(0)), F.lit(0.0)).alias("finite_fraction"),
+                count(F.isnan).alias("nan_count"),
+                count(lambda x: x == F.lit(X.INF)).alias("posinf_count"),
+                count(lambda x: x == F.lit(-X.INF)).alias("neginf_count"),
+                s["mean"].alias("mean"),
+                X.population_std(finite, s["mean"]).alias("std"),
+                F.array_min(finite).alias("min"),
+                F.array_max(finite).alias("max"),
+                (s["abs"] / s["n"]).alias("abs_mean"),
+                F.sqrt(s["squares"] / s["n"]).alias("rms"),
+                F.sqrt(s["squares"]).alias("l2_norm"),
+            ),
+        )
+
+    return X.let(X.finite_only(values), over_finite)
 
 
 def with_full_stats(df: DataFrame, values: str = "vals") -> DataFrame:

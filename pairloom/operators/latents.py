@@ -61,12 +61,14 @@ def bundle_stats(df: DataFrame, stats: str = "stats", values: str | None = "vals
 
 def basic_stats(values: Column) -> Column:
     """min, max, mean and population std of one tensor."""
-    centre = X.mean(values)
-    return F.struct(
-        F.array_min(X.doubles(values)).alias("min"),
-        F.array_max(X.doubles(values)).alias("max"),
-        centre.alias("mean"),
-        X.population_std(values, centre).alias("std"),
+    return X.let(
+        X.mean(values),
+        lambda centre: F.struct(
+            F.array_min(X.doubles(values)).alias("min"),
+            F.array_max(X.doubles(values)).alias("max"),
+            centre.alias("mean"),
+            X.population_std(values, centre).alias("std"),
+        ),
     )
 
 
