@@ -268,3 +268,17 @@ def test_validation_summary_takes_the_first_batches(spark):
     df = spark.createDataFrame([("a", i, float(i)) for i in range(30)] + [("b", 0, 7.0)], "run string, i long, loss double")
     got = {r["run"]: (r["val_batches"], r["val_loss"]) for r in R.validation_summary(df, ["loss"], "i", 20, ["run"], width=4).collect()}
     assert got == {"a": (20, 9.5), "b": (1, 7.0)}
+
+
+def test_long_tensors_take_linear_time(spark):
+    """Whole statistics of full-size latents; work per element must not depend on the tensor's length."""
+    rng = np.random.default_rng(3)
+    arrays = [rng.normal(size=16 * 24 * 24) for _ in range(40)]
+    df = tensor_table(spark, arrays).withColumn("shape", F.array(F.lit(16), F.lit(24), F.lit(24)))
+    got = Q.with_full_stats(df).toPandas().sort_values("uid", key=lambda u: u.str[1:].astype(int))
+    np.testing.assert_allclose(got["std"], [a.std() for a in arrays])
+    np.testing.assert_allclose(got["l2_norm"], [np.linalg.norm(a) for a in arrays])
+    summary = Q.channel_summary(df)
+    moved = Q.calibrate_channels(df, summary, summary)
+    back = moved.select(F.array_max("vals").alias("m"), "uid").toPandas().sort_values("uid", key=lambda u: u.str[1:].astype(int))
+    np.testing.assert_allclose(back["m"], [a.max() for a in arrays])
