@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.common import map_arrow, spare, text_or_empty
@@ -33,7 +34,7 @@ def misra_gries(df: DataFrame, digest: str, counters: int) -> DataFrame:
         seen = 0
         for batch in batches:
             seen += batch.num_rows
-            for pair in pa.compute.value_counts(batch.column(0)).to_pylist():
+            for pair in pc.value_counts(batch.column(0)).to_pylist():
                 held[pair["values"]] = held.get(pair["values"], 0) + pair["counts"]
             if len(held) > counters:
                 # As mergeable summaries are cut: take the next largest count off all.
