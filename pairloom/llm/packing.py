@@ -39,7 +39,7 @@ FLUSH_BYTES = 8 << 20
 # A run of blanks and what follows it up to the next one.  The split pattern never joins text across the end of such
 # a unit, so a unit has the same ids wherever it stands.  Texts with other white space are encoded whole.
 UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+OTHER_SPACE = re.compile("[" + "".join(map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]")
 # Units that a worker remembers.
 REMEMBERED = 400_000
 

@@ -8,7 +8,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairloom.llm import exact, packing, secrets, sharding, simhash, warc
+from pairloom.llm import exact, packing, quality, secrets, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Constants of the quality rules as in quality.py; a document's windows and sketches are made by list functions.
+OP1_SQL = r"""
+WITH split AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+') AS w,
+           [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^ \t-\r]')] AS lines,
+           row_number() OVER () AS r
+    FROM documents),
+spans AS (SELECT r, unnest(range(1, len(w) - 6)) AS i FROM split WHERE len(w) >= 8),
+windows AS (SELECT s.r, s.i, array_to_string(list_slice(w, s.i, s.i + 7), ' ') AS gram FROM spans s JOIN split USING (r)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, gram) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(8) t(k) GROUP BY r),
+counts AS (
+    SELECT r, doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+           len(regexp_extract_all(body, '[#*$%&|<>]')) AS n_symbols,
+           len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM split LEFT JOIN covered USING (r)),
+based AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+           CASE WHEN n_words > 0 THEN {'symbols': 1000 * n_symbols // n_words, 'dup_lines': 1000 * n_dup_lines // n_words,
+                                       'word_length': 1000 * word_chars // n_words} END AS rates
+    FROM counts),
+points AS (
+    SELECT lang, source, unnest(['symbols', 'dup_lines', 'word_length']) AS fence,
+           unnest([rates.symbols, rates.dup_lines, rates.word_length]) AS v
+    FROM based WHERE NOT base_failed),
+low AS (
+    SELECT lang, source, fence, CASE WHEN v < 64 THEN v
+           ELSE CAST(pow(2, length(bin(v)) - 6) AS BIGINT) * (v // CAST(pow(2, length(bin(v)) - 6) AS BIGINT)) END AS v
+    FROM points),
+merged AS (
+    SELECT 1 AS level, lang, source, fence, count(*) AS n, quantile_disc(v, 0.25) AS q25, quantile_disc(v, 0.75) AS q75 FROM low GROUP BY ALL
+    UNION ALL
+    SELECT 2, lang, NULL, fence, count(*), quantile_disc(v, 0.25), quantile_disc(v, 0.75) FROM low GROUP BY ALL
+    UNION ALL
+    SELECT 3, NULL, NULL, fence, count(*), quantile_disc(v, 0.25), quantile_disc(v, 0.75) FROM low GROUP BY ALL),
+pairs AS (SELECT DISTINCT lang, source, fence FROM low),
+bounds AS (
+    SELECT p.lang, p.source, p.fence, q25, q75, 8 * (q75 - q25) + CASE p.fence WHEN 'word_length' THEN 2500 ELSE 100 END AS reach
+    FROM pairs p JOIN merged m ON m.fence = p.fence AND m.n >= 100
+     AND (m.level = 3 OR m.lang IS NOT DISTINCT FROM p.lang AND (m.level = 2 OR m.source IS NOT DISTINCT FROM p.source))
+    QUALIFY row_number() OVER (PARTITION BY p.lang, p.source, p.fence ORDER BY level) = 1),
+out AS (
+    SELECT r, count(*) AS n FROM based b JOIN bounds t ON t.lang IS NOT DISTINCT FROM b.lang AND t.source IS NOT DISTINCT FROM b.source
+    WHERE CASE fence WHEN 'symbols' THEN rates.symbols > q75 + reach WHEN 'dup_lines' THEN rates.dup_lines > q75 + reach
+          ELSE rates.word_length > q75 + reach OR rates.word_length < q25 - reach END
+    GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n IS NULL AS kept
+FROM based LEFT JOIN out USING (r)
+"""
+
+
+@query("op1_quality_rules", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op2_exact_dedup",
     """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
