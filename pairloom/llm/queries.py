@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairloom.llm import bpe, exact, packing, quality, secrets, sharding, simhash, urls, warc
+from pairloom.llm import bpe, exact, packing, quality, secrets, sharding, simhash, suffix, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_url_filter")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filtered(table(spark, sf_dir, "pages"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.without_repeats(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
