@@ -59,9 +59,9 @@ class Ranges:
             return i, place, place
         return i, start, int(self.ends[i])
 
-    def refined(self, places: list[int]) -> bool:
-        """Splits the divisible ranges that one of the places lies inside; False if there is none."""
-        hit = set()
+    def refined(self, places: list[int], most: int) -> bool:
+        """Splits the divisible ranges that a place lies inside or that hold a group above `most`; False if there is none."""
+        hit = {i for i, item in enumerate(self.items) if self.divisible[i] and item[2] > most}
         for place in places:
             i, *_ = self.around(place)
             if i < len(self.items) and self.divisible[i] and place != (int(self.ends[i - 1]) if i else 0):
@@ -74,59 +74,40 @@ class Ranges:
         return True
 
     def greedy(self, capacity: int, shards: int) -> list[int] | None:
-        """Cuts of shards that are filled one after another, None if they don't hold everything."""
+        """Cuts of shards that are filled one after another, None if they don't hold everything.
+
+        A group above the capacity has a shard to itself.
+        """
         cuts, at = [], 0
         for _ in range(shards):
             if at + capacity >= self.total:
                 return cuts
-            _, low, _ = self.around(at + capacity)
-            if low <= at:
-                return None
-            cuts.append(low)
-            at = low
+            _, low, high = self.around(at + capacity)
+            at = low if low > at else high
+            if at == self.total:
+                return cuts
+            cuts.append(at)
         return None
 
-    def capacity(self, shards: int) -> int:
-        """The smallest capacity of a shard that holds every group in order."""
+    def cuts(self, shards: int) -> list[str]:
+        """First digest (or a prefix of it) of the shards after the first.
+
+        The capacity is the smallest that suffices, single groups above it
+        apart; so the largest shard is as small as the order allows, and a huge
+        group doesn't leave the other shards uneven.
+        """
         while True:
-            low = max(-(-self.total // shards), max((i[2] for i in self.items), default=0))
-            high = max(low, self.total)
+            low, high = 1, max(1, self.total)
             while low < high:
                 middle = (low + high) // 2
                 if self.greedy(middle, shards) is None:
                     low = middle + 1
                 else:
                     high = middle
-            if not self.refined(self.greedy(low, shards)):
-                return low
-
-    def cuts(self, shards: int) -> list[str]:
-        """First digest (or a prefix of it) of the shards after the first.
-
-        No shard is above the smallest capacity.  Within it each cut is the
-        boundary next to an equal share of what is left, so that the last
-        shards aren't left empty where one group alone sets the capacity.
-        """
-        most = self.capacity(shards)
-        while True:
-            # Behind least[j] all that follows fits into the shards that are left.
-            least = [self.total]
-            for _ in range(shards - 1):
-                least.append(self.around(max(0, least[-1] - most))[2])
-            least = least[::-1]
-            cuts, at = [], 0
-            for j in range(shards - 1):
-                share = at + -(-(self.total - at) // (shards - j))
-                _, low, high = self.around(share)
-                place = low if low > at and share - low <= high - share else high
-                if place > at + most:
-                    place = low
-                place = max(place, least[j])
-                cuts.append(place)
-                at = place
-            if not self.refined(cuts):
+            cuts = self.greedy(low, shards)
+            if not self.refined(cuts, low):
                 starts = [int(np.searchsorted(self.ends, c, side="right")) for c in cuts]
-                return [self.items[i][0] if i < len(self.items) else "~" for i in starts]
+                return [self.items[i][0] for i in starts] + ["~"] * (shards - 1 - len(cuts))
 
 
 def _sums(groups: DataFrame, digits: int) -> DataFrame:
@@ -154,8 +135,8 @@ def shards(docs: DataFrame, id_column: str = "doc_id", text: str = "text", count
     """One row per row of docs: id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `bytes`: size is the UTF-8 bytes of the text (null: none) plus 8,
-    equal texts share a shard, and no shard exceeds the smallest capacity that
-    the order of the digests allows.  Repeated rows and null ids are rows like
+    equal texts share a shard, and the largest shard is as small as the order of
+    the digests allows.  Repeated rows and null ids are rows like
     others.  An empty table gives an empty result; other columns are ignored.
     """
     body = text_or_empty(text)
