@@ -80,10 +80,12 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     # Near keys may differ in the bits that the table leaves out, for there the pair differs.
     free = [[signed(1 << i) for i in range(BITS) if not m >> i & 1] for m in masks(radius)]
     flips = F.element_at(F.array(*[F.array(F.lit(0).cast("bigint"), *[F.lit(b) for b in bits]) for bits in free]), F.col("t") + 1)
+    flipped = tables.join(shared, ["t", "key"]).select("fp", F.explode(flips).alias("flip"))
+    near = flipped.select("fp", "flip", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
     if radius == 1:
-        near = tables.join(shared, ["t", "key"]).select("fp", F.col("fp").bitwiseXOR(F.explode(F.slice(flips, 2, BITS))).alias("z"))
-        return near.join(prints.select(F.col("fp").alias("z")).distinct(), "z").select(F.col("fp").alias("u"), F.col("z").alias("v")).distinct()
-    near = tables.join(shared, ["t", "key"]).select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z")).distinct()
+        met = near.where("flip <> 0").join(prints.select(F.col("fp").alias("z")).distinct(), "z", "left_semi")
+        return met.select(F.col("fp").alias("u"), F.col("z").alias("v")).distinct()
+    near = near.select("fp", "z").distinct()
     stars = near.groupBy("z").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)
     return stars.select(F.array_min("near").alias("u"), F.explode("near").alias("v")).where("u <> v").distinct()
 
