@@ -114,12 +114,18 @@ def row_order(key: Column) -> list[Column]:
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key in which runs of digits compare as numbers (up to 40 digits)."""
+    """Sort key in which runs of digits, however long, compare as numbers.
+
+    A run stands as "0", its length without leading zeros in ten digits, and
+    those digits: numbers of one length compare as text, a longer one is larger.
+    """
     parts = F.regexp_extract_all(path, F.lit(r"(\d+|\D+)"), 1)
-    padded = F.transform(
-        parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, "^0+", ""), 40, "0")).otherwise(p)
-    )
-    return F.concat(F.array_join(padded, ""), F.lit("|"), path)
+
+    def number(digits: Column) -> Column:
+        bare = F.regexp_replace(digits, "^0+", "")
+        return F.concat(F.lit("0"), F.lpad(F.length(bare).cast("string"), 10, "0"), bare)
+
+    return F.concat(F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(p)), ""), F.lit("|"), path)
 
 
 def make_locator(dataset: Column, split: Column, row_idx: Column, column: Column) -> Column:
@@ -151,5 +157,5 @@ def seeded_hash(seed: int | str, *parts: Column) -> Column:
 
 
 def hash_number(digest: Column) -> Column:
-    """Integer below 2^32 from the start of a hex digest."""
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    """Integer below 2^60 from the start of a hex digest."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")

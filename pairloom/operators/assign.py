@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import keys as K
-from pairloom.operators.ranking import position_by_hash
+from pairloom.functions.tensors import let
+from pairloom.operators.ranking import DIGITS, position_by_hash
 from pairloom.operators.shots import USER, first_per_key
 from pairloom.session import materialise
 
@@ -27,6 +29,7 @@ NUMBERED = re.compile(r"^(preferred_image_uid|dispreferred_image_uid|caption)_(\
 SOURCE_ALIASES = ("source_row_idx", "source_row_index", "source_idx", "pair_source_row_idx")
 
 SIGNATURE = ("preferred_uid", "dispreferred_uid", "caption")
+ROW = "__row_identity"
 
 
 def numbered_pairs(columns: Sequence[str]) -> list[int]:
@@ -191,12 +194,13 @@ def held_out_counts(
 ) -> DataFrame:
     """Embedding rows with candidate counts before and after support exclusion and dedupe."""
     candidates = distinct_candidates(pool, keys)
+    rows = rows.withColumn(ROW, _row_identity(rows, row_key, keys))
     gone = (
-        support_matches(rows, candidates, row_key, pairs, keys, captions_checked)
-        .groupBy(row_key)
+        support_matches(rows, candidates, ROW, pairs, keys, captions_checked)
+        .groupBy(ROW)
         .agg(F.count_distinct(F.struct(*SIGNATURE)).alias("__gone"))
     )
-    counted = rows.join(_user_sizes(pool, candidates, keys), list(keys), "left").join(gone, row_key, "left")
+    counted = rows.join(_user_sizes(pool, candidates, keys), list(keys), "left").join(gone, ROW, "left").drop(ROW)
     left = F.coalesce(F.col("__n"), F.lit(0)) - F.coalesce(F.col("__gone"), F.lit(0))
     return (
         counted.withColumn("num_candidate_pairs_after_filter", left)
@@ -211,78 +215,123 @@ def _user_sizes(pool: DataFrame, candidates: DataFrame, keys: Sequence[str]) ->
     return pooled.join(candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), list(keys))
 
 
+def _identity_columns(rows: DataFrame, row_key: str, keys: Sequence[str]) -> list[str]:
+    """What tells embedding rows apart: row numbers and default ids start again in every shard."""
+    return [c for c in dict.fromkeys([*keys, row_key, "shard_id", "source_embedding_row_idx"]) if c in rows.columns]
+
+
+def _row_identity(rows: DataFrame, row_key: str, keys: Sequence[str]) -> Column:
+    """One value per row identity, never null."""
+    parts = F.struct(*[F.col(c) for c in _identity_columns(rows, row_key, keys)])
+    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+
+
+@dataclass(frozen=True)
+class RankedPool:
+    """A pool's distinct candidates at their random positions, and each user's counts; both stored."""
+
+    placed: DataFrame
+    sizes: DataFrame
+
+
+def rank_pool(pool: DataFrame, seed: int = 0, keys: Sequence[str] = USER, digits: int = DIGITS) -> RankedPool:
+    """Ranks a pool once, for any number of calls that draw from it."""
+    keys = list(keys)
+    digest = K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
+    candidates = distinct_candidates(pool, keys).withColumn("__h", digest)
+    placed = materialise(position_by_hash(candidates, keys, "__h", SIGNATURE, "__at", digits).drop("__h"))
+    return RankedPool(placed, materialise(_user_sizes(pool, placed, keys)))
+
+
+def _draw(seed: int, named: Sequence[str], left: Column, k: int) -> Column:
+    """k distinct places below `left`, every such set being as likely (Floyd's method); all places if there are no more than k.
+
+    The numbers come from hashes of seed, row and step.
+    """
+
+    def step(got: Column, top: Column) -> Column:
+        wish = K.hash_number(K.seeded_hash(seed, *[F.col(c) for c in named], top)) % (top + 1)
+        return let(wish, lambda place: F.concat(got, F.array(F.when(F.array_contains(got, place), top).otherwise(place))))
+
+    none = F.array().cast("array<bigint>")
+    few = F.when(left > 0, F.sequence(F.lit(0).cast("bigint"), F.greatest(left, F.lit(1)) - 1)).otherwise(none)
+    drawn = F.aggregate(F.sequence(F.greatest(left, F.lit(k)) - k, F.greatest(left, F.lit(k)) - 1), none, step)
+    return F.when(left <= k, few).otherwise(drawn)
+
+
 def sample_held_out(
     rows: DataFrame,
-    pool: DataFrame,
+    pool: DataFrame | RankedPool,
     row_key: str,
     k: int = 1,
     seed: int = 0,
     pairs: str = "support_pairs",
     keys: Sequence[str] = USER,
-    digits: int = 2,
+    digits: int = DIGITS,
     captions_checked: bool = True,
 ) -> DataFrame:
     """Adds counts, `query_pairs` and the sampling label to each embedding row.
 
     With n distinct candidates of which some are excluded, the m left are those
-    at the remaining positions of the user's random order.  A row starts at a
-    hashed place among them and takes the next k, wrapping round: a uniform draw
-    without replacement.
+    at the remaining positions of the user's random order.  Each row draws k of
+    the m places by itself, uniformly and without replacement.  A row is told
+    apart by its keys, id, shard and row number.
+
+    Building the plan writes the ranked pool and the users' counts, and nothing
+    else; pass what rank_pool returns (made with the same seed) to reuse them.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     keys = list(keys)
-    digest = K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
-    # Ranking reads the candidates twice and the rest reads the ranked ones three times.
-    candidates = materialise(distinct_candidates(pool, keys).withColumn("__h", digest))
-    placed = materialise(position_by_hash(candidates, keys, "__h", SIGNATURE, "__at", digits).drop("__h"))
+    ranked = pool if isinstance(pool, RankedPool) else rank_pool(pool, seed, keys, digits)
+    placed = ranked.placed
+    # The seed and these name a row's draw.
+    named = [c for c in (row_key, "shard_id", "source_embedding_row_idx") if c in rows.columns]
+    rows = rows.withColumn(ROW, _row_identity(rows, row_key, keys))
     gone = (
-        support_matches(rows, placed.select(*keys, *SIGNATURE, "__at"), row_key, pairs, keys, captions_checked)
-        .groupBy(row_key)
+        support_matches(rows, placed.select(*keys, *SIGNATURE, "__at"), ROW, pairs, keys, captions_checked)
+        .groupBy(ROW)
         .agg(F.array_sort(F.collect_set("__at")).alias("__gone"))
     )
     counts = ["num_candidate_pairs_before_filter", "__left"]
     narrow = (
-        rows.select(*keys, row_key)
-        .join(_user_sizes(pool, placed, keys), keys, "left")
-        .join(gone, row_key, "left")
+        rows.select(ROW, *dict.fromkeys([*keys, *named]))
+        .distinct()
+        .join(ranked.sizes, keys, "left")
+        .join(gone, ROW, "left")
         .fillna(0, ["num_candidate_pairs_before_filter", "__n"])
         .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<bigint>")))
         .withColumn("__left", F.col("__n") - F.size("__gone"))
     )
-    start = K.hash_number(K.seeded_hash(seed, F.col(row_key))) % F.nullif(F.col("__left"), F.lit(0))
-    steps = F.when(F.col("__left") > 0, F.sequence(F.lit(0).cast("bigint"), F.least(F.col("__left"), F.lit(k)) - 1))
-    draws = narrow.withColumn("__start", start).select(
-        *keys, row_key, *counts, "__gone", "__start", F.explode_outer(steps).alias("__i")
+    draws = narrow.select(
+        *keys, ROW, *counts, "__gone", F.posexplode_outer(_draw(seed, named, F.col("__left"), k)).alias("__i", "__free")
     )
     spot = F.aggregate(
-        F.col("__gone"),
-        (F.col("__start") + F.col("__i")) % F.nullif(F.col("__left"), F.lit(0)),
-        lambda at, skipped: F.when(skipped <= at, at + 1).otherwise(at),
+        F.col("__gone"), F.col("__free"), lambda at, skipped: F.when(skipped <= at, at + 1).otherwise(at)
     )
     pair_fields = [c for c in placed.columns if c not in (*keys, "__at")]
     place = F.when(F.col("__left") <= k, F.col("source_row_idx")).otherwise(F.col("__i"))
     drawn = F.when(F.col("__at").isNotNull(), F.struct(place.alias("__o"), *pair_fields))
     label = F.when(F.col("__left") <= k, "all_candidates").otherwise(f"random_sample_without_replacement_k={k}")
     result = (
-        draws.select(*keys, row_key, *counts, "__i", spot.alias("__at"))
+        draws.select(*keys, ROW, *counts, "__i", spot.alias("__at"))
         .join(placed, [*keys, "__at"], "left")
-        .groupBy(row_key, *counts)
+        .groupBy(ROW, *counts)
         .agg(F.array_sort(F.collect_list(drawn)).alias("query_pairs"))
         .select(
-            row_key,
+            ROW,
             counts[0],
             F.col("__left").alias("num_candidate_pairs_after_filter"),
             label.alias("query_sampling_strategy"),
             F.transform("query_pairs", lambda p: p.dropFields("__o")).alias("query_pairs"),
         )
     )
-    return rows.join(result, row_key)
+    return rows.join(result, ROW).drop(ROW)
 
 
 def build_assignments(
     embeddings: DataFrame,
-    pool: DataFrame,
+    pool: DataFrame | RankedPool,
     k: int = 1,
     seed: int = 0,
     on_empty: str = "fail",

@@ -18,6 +18,8 @@ from pairloom.session import materialise
 BUCKET = "__bucket"
 BEFORE = "__before"
 WIDTH = 1 << 20
+# Leading hex digits of a digest that name a bucket: 65,536 of them per key.
+DIGITS = 4
 
 
 def _offset_ranks(
@@ -45,7 +47,7 @@ def position_by_hash(
     digest: str,
     tie: Sequence[str],
     name: str,
-    digits: int = 2,
+    digits: int = DIGITS,
     total: str | None = None,
 ) -> DataFrame:
     """0-based place of each row among its key's rows in digest order.

@@ -41,14 +41,19 @@ CTES["cands"] = """
     WHERE NOT EXISTS (SELECT 1 FROM supports p WHERE p.user_embedding_id = e.user_embedding_id
         AND p.preferred_uid = s.preferred_uid AND p.dispreferred_uid = s.dispreferred_uid AND p.caption = s.caption)"""
 CTES["ranked_cands"] = """
-    SELECT *, row_number() OVER (PARTITION BY user_embedding_id ORDER BY h) - 1 AS rn,
-           count(*) OVER (PARTITION BY user_embedding_id) AS m,
-           CAST(concat('0x', substr(md5('0|' || user_embedding_id), 1, 8)) AS BIGINT) AS start FROM cands"""
-CTES["drawn"] = """
-    SELECT *, (rn - start % m + m) % m AS place FROM ranked_cands WHERE (rn - start % m + m) % m < {k}"""
-CTES["drawn1"] = CTES["drawn"].format(k=1)
-CTES["drawn3"] = CTES["drawn"].format(k=3)
-del CTES["drawn"]
+    SELECT c.*, row_number() OVER (PARTITION BY c.user_embedding_id ORDER BY h) - 1 AS rn,
+           count(*) OVER (PARTITION BY c.user_embedding_id) AS m, concat_ws('|', '0', e.user_embedding_id, e.shard_id, e.source_embedding_row_idx) AS named
+    FROM cands c JOIN embs e USING (user_embedding_id)"""
+# One place below m is drawn by the hash of the row and m - 1.  For three, a place that was drawn gives way to the step's top.
+_WISH = "CAST(concat('0x', substr(md5(concat_ws('|', named, m - {n})), 1, 15)) AS BIGINT) % (m - {n} + 1)"
+CTES["drawn1"] = f"SELECT *, 0 AS place FROM ranked_cands WHERE rn = {_WISH.format(n=1)}"
+CTES["drawn3"] = f"""
+    SELECT c.*, CASE rn WHEN p0 THEN 0 WHEN p1 THEN 1 ELSE 2 END AS place FROM (
+        SELECT *, CASE WHEN w2 = p0 OR w2 = p1 THEN m - 1 ELSE w2 END AS p2 FROM (
+            SELECT *, CASE WHEN w1 = p0 THEN m - 2 ELSE w1 END AS p1 FROM (
+                SELECT *, CASE WHEN m > 3 THEN {_WISH.format(n=3)} END AS p0, CASE WHEN m > 3 THEN {_WISH.format(n=2)} END AS w1,
+                       CASE WHEN m > 3 THEN {_WISH.format(n=1)} END AS w2 FROM ranked_cands))) c
+    WHERE m <= 3 OR rn IN (p0, p1, p2)"""
 CTES["user_sizes"] = "SELECT split, user_id, count(*) AS n_before FROM pool GROUP BY ALL"
 CTES["left_sizes"] = "SELECT user_embedding_id, count(*) AS n_after FROM cands GROUP BY ALL"
 CTES["sightings"] = """
@@ -594,6 +599,69 @@ def w5(spark, sf):
     return _query_rows(D.assignments(spark, sf, k=3))
 
 
+def _draw_facts(assigned, embeddings, candidates):
+    """Per embedding row: counts, and whether the drawn pairs are distinct candidates without a support pair."""
+    pairs = lambda name: F.transform(name, lambda p: F.struct(*[p[c].alias(c) for c in assign.SIGNATURE]))
+    rows = assigned.select("shard_id", "user_embedding_id", "split", "user_id", "num_candidate_pairs_after_filter", "query_pairs", "support_pairs")
+    known = (
+        rows.select("shard_id", "user_embedding_id", "split", "user_id", F.inline(pairs("query_pairs")))
+        .join(candidates, ["split", "user_id", *assign.SIGNATURE], "left_semi")
+        .groupBy("shard_id", "user_embedding_id")
+        .agg(F.count(F.lit(1)).alias("n_known"))
+    )
+    return rows.join(known, ["shard_id", "user_embedding_id"], "left").select(
+        "shard_id",
+        "user_embedding_id",
+        F.col("num_candidate_pairs_after_filter").alias("n_left"),
+        F.size("query_pairs").cast("bigint").alias("n_drawn"),
+        F.size(F.array_distinct(pairs("query_pairs"))).cast("bigint").alias("n_distinct"),
+        F.coalesce("n_known", F.lit(0)).alias("n_candidates"),
+        F.size(F.array_intersect(pairs("query_pairs"), pairs("support_pairs"))).cast("bigint").alias("n_support"),
+    )
+
+
+_FACTS_SQL = """
+    SELECT e.shard_id, e.user_embedding_id, l.n_after AS n_left, least(l.n_after, 3) AS n_drawn, least(l.n_after, 3) AS n_distinct,
+           least(l.n_after, 3) AS n_candidates, 0::BIGINT AS n_support
+    FROM {embs} e JOIN {left_sizes} l USING ({key})"""
+
+
+@query("w5_draw_facts", _FACTS_SQL.format(embs="embs", left_sizes="left_sizes", key="user_embedding_id"))
+def w5_facts(spark, sf):
+    rows, pool = D.base(spark, sf)
+    return _draw_facts(assign.build_assignments(rows, pool, k=3, on_empty="skip"), rows, assign.distinct_candidates(pool))
+
+
+# Two shards in which every user's row numbers, and so the default ids, start again.
+CTES["two_shards"] = """
+    SELECT * REPLACE (n % 2 AS shard_id, printf('%s_emb_%06d', user_id, n // 2) AS user_embedding_id) FROM (
+        SELECT *, row_number() OVER (PARTITION BY split, user_id ORDER BY source_embedding_row_idx) - 1 AS n FROM embs)"""
+CTES["two_shard_left"] = """
+    SELECT t.split, t.user_id, t.n, t.shard_id, t.user_embedding_id, count(*) AS n_after
+    FROM two_shards t JOIN sigs s ON t.split = s.split AND t.user_id = s.user_id
+    WHERE NOT EXISTS (SELECT 1 FROM shots p WHERE p.split = t.split AND p.user_id = t.user_id AND p.chunk = t.chunk
+        AND p.preferred_uid = s.preferred_uid AND p.dispreferred_uid = s.dispreferred_uid AND p.caption = s.caption)
+    GROUP BY ALL"""
+
+
+@query(
+    "j3_two_shards",
+    """SELECT shard_id, user_embedding_id, n_after AS n_left, 1::BIGINT AS n_drawn, 1::BIGINT AS n_distinct, 1::BIGINT AS n_candidates,
+              0::BIGINT AS n_support FROM two_shard_left WHERE split = 'train'""",
+)
+def j3_two_shards(spark, sf):
+    from pyspark.sql import Window
+
+    rows, pool = D.base(spark, sf)
+    n = F.row_number().over(Window.partitionBy("split", "user_id").orderBy("source_embedding_row_idx")) - 1
+    again = rows.filter(F.col("split") == "train").withColumn("n", n).withColumns({
+        "shard_id": (F.col("n") % 2).cast("bigint"),
+        "source_embedding_row_idx": F.floor(F.col("n") / 2).cast("bigint"),
+    })
+    again = again.withColumn("user_embedding_id", F.format_string("%s_emb_%06d", "user_id", "source_embedding_row_idx")).drop("n")
+    return _draw_facts(assign.build_assignments(again, pool, on_empty="skip"), again, assign.distinct_candidates(pool))
+
+
 # --- manifests --------------------------------------------------------------------------------------
 
 

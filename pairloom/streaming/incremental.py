@@ -33,10 +33,14 @@ def _batch_folder(sink: str):
 def incremental_assignments(
     embeddings: DataFrame, pool: DataFrame, sink: str, checkpoint: str, k: int = 1, seed: int = 0
 ) -> StreamingQuery:
-    """Assigns held-out pairs to embedding rows of newly arrived shards; finished shards are not read again."""
+    """Assigns held-out pairs to embedding rows of newly arrived shards; finished shards are not read again.
+
+    The pool is ranked once, before the first micro-batch.
+    """
+    ranked = assign.rank_pool(pool, seed)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = assign.build_assignments(batch, pool, k=k, seed=seed, on_empty="skip")
+        out = assign.build_assignments(batch, ranked, k=k, seed=seed, on_empty="skip")
         out.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return _start(embeddings, write, checkpoint, "append")

@@ -140,6 +140,38 @@ def test_draws_spread_over_the_candidates(spark, pool, embeddings):
     assert got.select(F.inline("query_pairs")).select("source_row_idx").distinct().count() > n * 0.5
 
 
+def test_rows_of_different_shards_stay_apart(spark):
+    """Two shards with the same user and row number: one pair each, and only their own exclusions."""
+    schema = "split string, user_id string, preferred_uid string, dispreferred_uid string, caption string, source_row_idx long"
+    pool = spark.createDataFrame([("t", "u", f"p{i}", "d", "c", i) for i in range(3)], schema)
+    emb = spark.createDataFrame(
+        [("t", "u", "u_emb_0", s, 0, [(f"p{s}", "d", "c"), ("p2", "d", "c")]) for s in (0, 1)] + [("t", "u", "u_emb_0", None, 0, [])],
+        "split string, user_id string, user_embedding_id string, shard_id long, source_embedding_row_idx long, "
+        "support_pairs array<struct<preferred_uid:string,dispreferred_uid:string,caption:string>>",
+    )
+    got = {r["shard_id"]: r for r in assign.build_assignments(emb, pool).collect()}
+    assert {s: r["num_candidate_pairs_after_filter"] for s, r in got.items()} == {0: 1, 1: 1, None: 3}
+    assert [p["preferred_uid"] for p in got[0]["query_pairs"]] == ["p1"] and [p["preferred_uid"] for p in got[1]["query_pairs"]] == ["p0"]
+    assert len(got[None]["query_pairs"]) == 1
+    counts = assign.held_out_counts(emb, pool, "user_embedding_id")
+    assert {r["shard_id"]: r["num_candidate_pairs_after_filter"] for r in counts.collect()} == {0: 1, 1: 1, None: 3}
+
+
+def test_every_subset_can_be_drawn(spark):
+    """3 of 40 for 2,000 rows: nearly as many different sets as rows, and every candidate about as often."""
+    schema = "split string, user_id string, preferred_uid string, dispreferred_uid string, caption string, source_row_idx long"
+    pool = spark.createDataFrame([("t", "u", f"p{i}", "d", "c", i) for i in range(40)], schema)
+    emb = spark.range(2000).select(
+        F.lit("t").alias("split"), F.lit("u").alias("user_id"), F.col("id").cast("string").alias("user_embedding_id"),
+        F.array().cast("array<struct<preferred_uid:string,dispreferred_uid:string,caption:string>>").alias("support_pairs"),
+    )
+    ranked = assign.rank_pool(pool, seed=3)
+    got = [frozenset(p["source_row_idx"] for p in r["query_pairs"]) for r in assign.build_assignments(emb, ranked, k=3, seed=3).collect()]
+    assert all(len(s) == 3 for s in got) and len(set(got)) > 1700
+    times = [sum(i in s for s in got) for i in range(40)]
+    assert 100 < min(times) and max(times) < 210
+
+
 def test_assignment_plan_has_only_hash_joins(spark, pool, embeddings):
     plan = assign.build_assignments(embeddings, pool, on_empty="keep")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
