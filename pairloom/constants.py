@@ -94,12 +94,6 @@ COMPACT_META_FIELDS = (
     "source_paths",
 )
 
-# Prompts added to a user's own when none are ruled out.
-DEFAULT_EXTRA_PROMPTS = (
-    "A cozy reading room with warm afternoon light",
-    "A sleek wooden sports car parked on a mountain road",
-)
-
 # Columns of the two CSV reports.
 SAMPLE_CSV_COLUMNS = (
     "group", "uid", "category", "prompt", "seed", "shape", "finite_fraction", "nan_count",

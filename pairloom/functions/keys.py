@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from pairloom import constants as C
@@ -151,6 +151,19 @@ def parse_locator(locator: Column) -> Column:
     )
 
 
+def one_per_key(lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) with one row per key: the smallest value, by its JSON text where it isn't a string."""
+    order = F.col(value) if dict(lookup.dtypes)[value] == "string" else F.to_json(F.struct(F.col(value)))
+    return lookup.groupBy(key).agg(F.min_by(F.col(value), order).alias(value))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, two nulls being equal; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def seeded_hash(seed: int | str, *parts: Column) -> Column:
     """Hex digest that orders rows at random, the same way on every run."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))

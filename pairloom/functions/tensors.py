@@ -103,9 +103,14 @@ def differences(a: Column, b: Column) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
 
 
-def pair_metrics(a: Column, b: Column) -> Column:
-    """Struct of distances between two tensors; null with same_shape=false on a mismatch."""
+def pair_metrics(a: Column, b: Column, shape_a: Column | None = None, shape_b: Column | None = None) -> Column:
+    """Struct of distances between two tensors; null with same_shape=false on a mismatch.
+
+    Without shapes only the lengths are compared.
+    """
     same = F.size(a) == F.size(b)
+    if shape_a is not None and shape_b is not None:
+        same &= F.coalesce(shape_a.cast("array<int>") == shape_b.cast("array<int>"), F.lit(False))
     gap = differences(a, b)
     dot = F.aggregate(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     parts = F.struct(

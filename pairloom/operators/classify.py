@@ -21,7 +21,7 @@ def with_features(df: DataFrame, values: str = "vals", label: str = "class_id")
 
 def split_rows(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Repeatable train / test split by a hash of the row key."""
-    cut = int(test_share * (1 << 32))
+    cut = int(test_share * (1 << 60))
     place = K.hash_number(K.seeded_hash(seed, F.col(key)))
     return df.filter(place >= cut), df.filter(place < cut)
 

@@ -67,11 +67,11 @@ def select_prompts(
     assignments: DataFrame,
     row_key: str = "user_embedding_id",
     manual: Sequence[str] = (),
-    max_query_prompts: int = 2,
-    defaults: Sequence[str] = C.DEFAULT_EXTRA_PROMPTS,
+    max_query_prompts: int | None = None,
+    defaults: Sequence[str] = (),
     extras: Sequence[str] = (),
 ) -> DataFrame:
-    """Prompts of each assignment in order: manual or first query captions, then defaults, then extras.
+    """Prompts of each assignment in order: manual or query captions (all, or the first few), then defaults, then extras.
 
     Blank prompts and repeats are dropped.  Everything is decided inside the row,
     as a row has few prompts.
@@ -83,7 +83,9 @@ def select_prompts(
         first, source = F.array_distinct(tidy(listed(manual))), "manual"
     else:
         captions = F.transform("query_pairs", lambda p: F.coalesce(p["caption"], F.lit("")))
-        first, source = F.slice(F.array_distinct(tidy(captions)), 1, max_query_prompts), "query"
+        first, source = F.array_distinct(tidy(captions)), "query"
+        if max_query_prompts is not None:
+            first = F.slice(first, 1, max_query_prompts)
     prompts, sources = first, named(first, source)
     for items, name in ((defaults, "default_extra"), (extras, "extra")):
         fresh = F.array_except(tidy(listed(items)), prompts)
@@ -105,21 +107,24 @@ def find_embedding_rows(assignments: DataFrame, embeddings: DataFrame) -> DataFr
     """Embedding row of each assignment: by row number if its id agrees, else the first row with the id.
 
     Adds `found_by` (row_idx, id or null) and `reason` (not_found, user_mismatch).
+    Row numbers start again in every shard, so where both sides have a split or
+    shard these must agree too.
     """
+    shard = [c for c in ("split", "shard_id") if c in assignments.columns and c in embeddings.columns]
     resolved = F.coalesce(
         F.when(~K.is_blank(F.col("user_embedding_id")), F.col("user_embedding_id")),
         F.format_string("%s_emb_%06d", F.col("user_id"), F.col("source_embedding_row_idx")),
     )
     right = embeddings.select(
-        F.col("source_embedding_row_idx").alias("row_idx"), resolved.alias("row_id"), F.col("user_id").alias("row_user")
+        *shard, F.col("source_embedding_row_idx").alias("row_idx"), resolved.alias("row_id"), F.col("user_id").alias("row_user")
     )
     by_idx = right.select(
-        F.col("row_idx").alias("source_embedding_row_idx"), F.col("row_id").alias("idx_id"), F.col("row_user").alias("idx_user")
+        *shard, F.col("row_idx").alias("source_embedding_row_idx"), F.col("row_id").alias("idx_id"), F.col("row_user").alias("idx_user")
     )
-    by_id = first_per_key(right.withColumn("__o", F.col("row_idx")), ["row_id"], "__o").select(
-        F.col("row_id").alias("user_embedding_id"), F.col("row_idx").alias("id_row"), F.col("row_user").alias("id_user")
+    by_id = first_per_key(right.withColumn("__o", F.col("row_idx")), [*shard, "row_id"], "__o").select(
+        *shard, F.col("row_id").alias("user_embedding_id"), F.col("row_idx").alias("id_row"), F.col("row_user").alias("id_user")
     )
-    joined = assignments.join(by_idx, "source_embedding_row_idx", "left").join(by_id, "user_embedding_id", "left")
+    joined = assignments.join(by_idx, [*shard, "source_embedding_row_idx"], "left").join(by_id, [*shard, "user_embedding_id"], "left")
     agrees = F.coalesce(F.col("idx_id") == F.col("user_embedding_id"), F.lit(False))
     row = F.when(agrees, F.col("source_embedding_row_idx")).otherwise(F.col("id_row"))
     user = F.when(agrees, F.col("idx_user")).otherwise(F.col("id_user"))
@@ -164,6 +169,8 @@ def inspect_user(
     return manifest.attach_meta(pairs, meta, ["num_occurrences", "best_count", "non_best_count", "split_counts"])
 
 
-def report_rows(records: DataFrame, images: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Inference records with their image record, kept where there is none; the last image of an id counts."""
-    return records.join(images, key, "left")
+def report_rows(records: DataFrame, images: DataFrame, key: str = "sample_id", order: str = "place") -> DataFrame:
+    """Inference records with their image record, kept where there is none; of an id's images the last in `order` counts."""
+    rest = [c for c in images.columns if c != key]
+    last = images.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__last"))
+    return records.join(last, key, "left").select(*records.columns, *[F.col("__last")[c].alias(c) for c in rest])

@@ -219,7 +219,8 @@ def calibrate_channels(
     """Moves each channel from the source's mean and std to the target's.
 
     Both statistics have one row per channel, so together they are one small
-    array, and the tensors are rewritten in place without a shuffle.
+    map, and the tensors are rewritten in place without a shuffle.  A tensor with
+    a channel that one of them lacks is an error.
     """
     at_least = lambda c: F.greatest(F.col(c), F.lit(eps))
     moves = source.select("channel", F.col("channel_mean").alias("m"), at_least("channel_std").alias("s")).join(
@@ -227,13 +228,15 @@ def calibrate_channels(
     )
     # x -> scale * x + shift
     scale = F.col("ts") / F.col("s")
-    row = F.struct("channel", scale.alias("scale"), (F.col("tm") - F.col("m") * scale).alias("shift"))
-    listed = moves.agg(F.array_sort(F.collect_list(row)).alias("a")).scalar()
+    move_type = "struct<scale:double,shift:double>"
+    row = F.struct(F.col("channel").cast("bigint"), F.struct(scale.alias("scale"), (F.col("tm") - F.col("m") * scale).alias("shift")).cast(move_type))
+    listed = moves.agg(F.map_from_entries(F.collect_list(row)).alias("a")).scalar()
     size = F.element_at(shape, 2) * F.element_at(shape, 3)
 
     def moved(x: Column, i: Column) -> Column:
-        move = F.element_at(F.col("__moves"), (F.floor(i / size) + 1).cast("int"))
-        return x * move["scale"] + move["shift"]
+        move = F.try_element_at(F.col("__moves"), F.floor(i / size).cast("bigint"))
+        missing = F.raise_error(F.lit("a channel has no statistics on one of the sides")).cast("double")
+        return F.when(move.isNull(), missing).otherwise(x * move["scale"] + move["shift"])
 
     rows = df.withColumn("__moves", listed)
     return rows.withColumn(values, F.transform(X.doubles(F.col(values)), moved)).drop("__moves")

@@ -60,12 +60,17 @@ def embed(
     prompt: str = "prompt",
     batch_size: int = 16,
 ) -> DataFrame:
-    """Adds text and emb (2-D) to each group of shots; fn maps prompts to (text, emb) pairs."""
+    """Adds text, emb (2-D) and error to each group of shots; fn maps prompts to (text, emb) pairs.
+
+    A failing batch, or one with another number of results, marks each of its
+    rows with the error and the run goes on.
+    """
     out = T.StructType(
         list(df.schema.fields)
         + [
             T.StructField("text", T.StringType()),
             T.StructField("emb", T.ArrayType(T.ArrayType(T.FloatType()))),
+            T.StructField("error", T.StringType()),
         ]
     )
 
@@ -73,10 +78,16 @@ def embed(
         for batch in batches:
             found = []
             for start in range(0, len(batch), batch_size):
-                found.extend(fn(list(batch[prompt].iloc[start : start + batch_size])))
+                part = list(batch[prompt].iloc[start : start + batch_size])
+                try:
+                    rows = [(text, [list(map(float, row)) for row in emb], None) for text, emb in fn(part)]
+                    if len(rows) != len(part):
+                        raise ValueError("the model returned a different number of embeddings")
+                except Exception as problem:
+                    rows = [(None, None, str(problem))] * len(part)
+                found.extend(rows)
             result = batch.copy()
-            result["text"] = [t for t, _ in found]
-            result["emb"] = [[list(map(float, row)) for row in e] for _, e in found]
+            result["text"], result["emb"], result["error"] = (list(c) for c in zip(*found)) if found else ([], [], [])
             yield result
 
     return df.mapInPandas(run, out)

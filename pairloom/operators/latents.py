@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import constants as C
 from pairloom.functions import keys as K
 from pairloom.functions import tensors as X
+from pairloom.session import materialise
 
 
 def _present(df: DataFrame, names: Sequence[str]) -> list[Column]:
@@ -95,24 +96,34 @@ def build_manifest(
     )
     rows = rows.select(*[c for c in rows.columns if c != "s"], "s.*")
     if paths is not None:
-        rows = rows.join(paths.select("uid", F.col("path").alias("uid_to_path_value")), "uid", "left")
+        known = K.one_per_key(paths.filter(F.col("path").isNotNull()), "uid", "path")
+        rows = rows.join(known.withColumnRenamed("path", "uid_to_path_value"), "uid", "left")
     if meta is not None:
-        rows = rows.join(meta.select("uid", "uid_meta"), "uid", "left")
+        rows = rows.join(K.one_per_key(meta, "uid", "uid_meta"), "uid", "left")
     return rows
 
 
 def mark_duplicates(rows: DataFrame, key: str = "uid", order: str = "latent_path", fail: bool = False) -> DataFrame:
-    """Adds `first_path` and `is_duplicate`: all but the first path of a uid.
+    """Adds `first_path` and `is_duplicate`: all but the first path of a uid, and all but one of equal paths.
 
-    The first path comes from a combining aggregate and is joined back, so a uid
-    with any number of copies is never ranked in one task.
+    The first row comes from a combining aggregate and is joined back, so a uid
+    with any number of copies is never ranked in one task.  Rows are stored with
+    a number of their own, which decides among equal paths; null paths come
+    last, and rows without a uid are copies of each other like any others.
     """
-    firsts = rows.groupBy(key).agg(F.min(order).alias("first_path"))
-    marked = rows.join(firsts, key).withColumn("is_duplicate", F.col(order) > F.col("first_path"))
+    stored = materialise(rows.withColumn("__row", F.monotonically_increasing_id()))
+    place = F.struct(F.col(order).isNull().alias("none"), F.col(order).alias("path"), F.col("__row").alias("row"))
+    firsts = stored.groupBy(key).agg(F.min(place).alias("__first"))
+    marked = (
+        K.null_safe_join(stored, firsts, [key])
+        .withColumn("first_path", F.col("__first.path"))
+        .withColumn("is_duplicate", F.col("__first.row") != F.col("__row"))
+        .drop("__first", "__row")
+    )
     if fail:
         marked = marked.withColumn(
             "is_duplicate",
-            F.when(F.col("is_duplicate"), F.raise_error(F.concat(F.lit("duplicate uid "), F.col(key))).cast("boolean"))
+            F.when(F.col("is_duplicate"), F.raise_error(F.concat(F.lit("duplicate uid "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean"))
             .otherwise(F.lit(False)),
         )
     return marked

@@ -175,13 +175,17 @@ def materialise_images(cells: DataFrame, overwrite: bool = False) -> DataFrame:
     )
 
 
-def attach(rows: DataFrame, lookup: DataFrame, value: str, name: str) -> DataFrame:
+def attach(rows: DataFrame, lookup: DataFrame, value: str, name: str, unique: bool = False) -> DataFrame:
     """Left-joins a per-uid value for both sides of a pair.
 
+    Of repeated uids in the lookup one value counts, so rows never multiply;
+    `unique` says that there are none, which spares wide values an aggregation.
+
     The lookup is a table that grows with the data, so no broadcast is forced:
     the planner picks one when its size allows, else both joins shuffle on uid
     and adaptive execution splits a hot uid.
     """
+    lookup = lookup if unique else K.one_per_key(lookup, "uid", value)
     for side in ("preferred", "dispreferred"):
         right = lookup.select(F.col("uid").alias(f"{side}_uid"), F.col(value).alias(f"{side}_{name}"))
         rows = rows.join(right, f"{side}_uid", "left")

@@ -71,10 +71,12 @@ def step_windows(log: DataFrame, every: int, columns: Sequence[str] = C.STEP_MET
 
 
 def validation_summary(
-    batches: DataFrame, columns: Sequence[str], order: str, max_batches: int = 20, keys: Sequence[str] = (), width: int = WIDTH
+    batches: DataFrame, columns: Sequence[str], order: str, max_batches: int | None = None, keys: Sequence[str] = (), width: int = WIDTH
 ) -> DataFrame:
-    """Mean over the first max_batches validation batches of each run."""
-    ranked = position_by_ordinal(batches, list(keys), order, "__p", width).filter(F.col("__p") < max(1, max_batches))
+    """Mean over the first max_batches validation batches of each run, or over all of them."""
+    ranked = batches
+    if max_batches is not None:
+        ranked = position_by_ordinal(batches, list(keys), order, "__p", width).filter(F.col("__p") < max(1, max_batches))
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("val_batches"), *[F.avg(c).alias(f"val_{c}") for c in columns]
     )

@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairloom.functions.keys import null_safe_join
 from pairloom.session import materialise
 
 BUCKET = "__bucket"
@@ -35,7 +36,7 @@ def _offset_ranks(
     inside = Window.partitionBy(*spot).orderBy(*order)
     return (
         df.withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
-        .join(offsets, spot)
+        .transform(null_safe_join, offsets, spot)
         .withColumn(name, F.col(name) + F.col(BEFORE))
         .drop(BUCKET, BEFORE)
     )
@@ -63,7 +64,7 @@ def position_by_hash(
 def position_by_ordinal(
     df: DataFrame, keys: Sequence[str], ordinal: str, name: str, width: int = WIDTH, tie: Sequence[str] = ()
 ) -> DataFrame:
-    """0-based place of each row among its key's rows in ordinal order.
+    """0-based place of each row among its key's rows in ordinal order; null keys are a key, null ordinals come first.
 
     The ordinal is an integer that is unique up to the tie columns, so a bucket
     of `width` consecutive ordinals bounds the rows of one group.
@@ -121,7 +122,7 @@ def running(
     inside = Window.partitionBy(*spot).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, end)
     out = bucketed.withColumns(
         {name: _COMBINE[kind](column).over(inside) for name, (kind, column) in specs.items()}
-    ).join(carried, spot)
+    ).transform(null_safe_join, carried, spot)
     merged = {}
     for name, (kind, _) in specs.items():
         here, before = F.col(name), F.col(f"__{name}")

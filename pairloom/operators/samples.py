@@ -48,6 +48,7 @@ def match_embeddings(
     right = embeddings.select(
         *keys,
         F.col("source_embedding_row_idx"),
+        F.lit(True).alias("__present"),
         F.col("user_id").cast("string").alias("__user"),
         F.coalesce(
             F.col("user_embedding_id"),
@@ -60,9 +61,9 @@ def match_embeddings(
     given_id = F.coalesce(F.col("user_embedding_id").cast("string"), F.col("__id"))
     reason = F.coalesce(
         F.when(F.col("source_embedding_row_idx").isNull(), F.lit("missing_row_idx")),
-        F.when(F.col("__user").isNull(), F.lit("row_out_of_range")),
+        F.when(F.col("__present").isNull(), F.lit("row_out_of_range")),
         F.when(K.is_blank(F.col("user_id")), F.lit("missing_user_id")),
-        F.when(F.col("user_id").cast("string") != F.col("__user"), F.lit("user_mismatch")),
+        F.when(~F.col("user_id").cast("string").eqNullSafe(F.col("__user")), F.lit("user_mismatch")),
         F.when(given_id != F.col("__id"), F.lit("embedding_id_mismatch")),
         F.when(F.col("support_pairs").isNull(), F.lit("support_mismatch")),
         F.when(signatures(F.col("support_pairs")) != signatures(F.col("__support")), F.lit("support_mismatch"))
@@ -70,7 +71,7 @@ def match_embeddings(
         else F.lit(None).cast("string"),
         F.when(F.col("query_pairs").isNull(), F.lit("missing_query_pairs")),
     )
-    return joined.withColumn("reason", reason).drop("__user", "__id", "__support")
+    return joined.withColumn("reason", reason).drop("__present", "__user", "__id", "__support")
 
 
 def explode_queries(matched: DataFrame) -> DataFrame:
@@ -135,8 +136,11 @@ def direct_samples(
 
 
 def attach_tensors(samples: DataFrame, tensors: DataFrame, values: str = "vals") -> DataFrame:
-    """Adds the latent tensors of both sides, as the last join of a chain."""
-    return manifest.attach(samples, tensors, values, "latent")
+    """Adds the latent tensors of both sides, as the last join of a chain.
+
+    Tensors must be unique by uid (latents.mark_duplicates finds those that aren't).
+    """
+    return manifest.attach(samples, tensors, values, "latent", unique=True)
 
 
 def sample_stats(samples: DataFrame, emb_length: str = "emb_length") -> DataFrame:
@@ -149,6 +153,28 @@ def sample_stats(samples: DataFrame, emb_length: str = "emb_length") -> DataFram
     )
 
 
+def dataset_counters(
+    marked_pairs: DataFrame, matched: DataFrame, exploded: DataFrame, samples: DataFrame
+) -> DataFrame:
+    """One row of counters of a run over embedding pairs, assignments and samples.
+
+    `marked_pairs` has a `valid` flag per stored pair (assign.fold_pairs,
+    exploded), `matched` comes from match_embeddings, `exploded` from
+    explode_queries with latents attached, and `samples` are those kept.
+    """
+    pairs = marked_pairs.agg(
+        F.count(F.lit(1)).alias("num_pairs_seen"),
+        F.count_if(~F.coalesce("valid", F.lit(False))).alias("num_malformed_pairs"),
+        F.count_if(K.is_blank(F.col("user_id"))).alias("num_pairs_without_user"),
+    )
+    assigned = matched.agg(
+        F.count(F.lit(1)).alias("num_assignment_records"), F.count_if(F.col("reason").isNotNull()).alias("num_failed_validation")
+    )
+    queries = exploded.agg(F.count(F.lit(1)).alias("num_query_pairs"), F.count_if("missing_latent").alias("missing_latents_skipped"))
+    kept = samples.agg(F.count(F.lit(1)).alias("num_samples"), F.count_distinct("user_id").alias("num_users"))
+    return kept.select("*", *[one.select(c).scalar().alias(c) for one in (pairs, assigned, queries) for c in one.columns])
+
+
 def pair_count_distribution(rows: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number of rows by their number of valid pairs, rows without any included."""
     per_row = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_pairs"))
@@ -182,12 +208,16 @@ def global_index(samples: DataFrame, offsets: DataFrame, ordinal: str, width: in
 
 
 def match_shards(embedding_files: DataFrame, assignment_files: DataFrame, name: str = "name") -> DataFrame:
-    """Shard numbers of both sides with a status: matched, duplicate, missing_assignment, missing_embedding."""
-    count = lambda df, label: df.groupBy(K.shard_number(F.col(name)).alias("shard_id")).agg(
-        F.count(F.lit(1)).alias(label)
-    )
-    both = count(embedding_files, "n_embedding").join(count(assignment_files, "n_assignment"), "shard_id", "full_outer")
-    both = both.fillna(0, ["n_embedding", "n_assignment"])
+    """(split, shard number) of both sides with a status: matched, duplicate, missing_assignment, missing_embedding.
+
+    Names without a split or a number are counted under null.
+    """
+    def count(df: DataFrame, label: str, other: str) -> DataFrame:
+        named = df.select(K.shard_split(F.col(name)).alias("split"), K.shard_number(F.col(name)).alias("shard_id"))
+        return named.select("*", F.lit(1).alias(label), F.lit(0).alias(other))
+
+    files = count(embedding_files, "n_embedding", "n_assignment").unionByName(count(assignment_files, "n_assignment", "n_embedding"))
+    both = files.groupBy("split", "shard_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_embedding", "n_assignment")])
     status = (
         F.when((F.col("n_embedding") > 1) | (F.col("n_assignment") > 1), "duplicate")
         .when(F.col("n_assignment") == 0, "missing_assignment")

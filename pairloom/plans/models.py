@@ -107,7 +107,7 @@ def f4(spark, sf):
     train, test = classify.split_rows(rows, "vec_id")
     model = classify.train_classifier(train, 64, 10, hidden=[(16,), (32,)], max_iter=[15])
     scored = R.classifier_metrics(classify.predict_logits(model, test))
-    return R.mean_of_batch_means(scored, ["loss", "desired_prob", "top1", "top2", "top4", "top8"], max_batches=10)
+    return R.mean_of_batch_means(scored, ["loss", "desired_prob", "top1", "top2", "top4", "top8"])
 
 
 # --- streams ------------------------------------------------------------------------------------------

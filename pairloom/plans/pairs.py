@@ -76,6 +76,9 @@ CTES["first_refs"] = """
     FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY line, list, i, side) AS r FROM refs) WHERE r = 1"""
 
 
+EXTRA_PROMPTS = ("A cozy reading room with warm afternoon light", "A sleek wooden sports car parked on a mountain road")
+
+
 def _query_rows(assigned):
     """One row per drawn pair of an assignment table."""
     return assigned.select(
@@ -407,11 +410,11 @@ def p13(spark, sf):
 
 @query(
     "p14_source_index",
-    "SELECT split, user_id, chunk, row_idx_0 AS index_0, row_idx_1 AS index_1, row_idx_3 AS index_3 FROM numbered",
+    "SELECT split, user_id, chunk, row_idx_0 AS index_0, row_idx_1 AS index_1, row_idx_2 AS index_2, row_idx_3 AS index_3 FROM numbered",
 )
 def p14(spark, sf):
     rows = _numbered(spark, sf)
-    return rows.select("split", "user_id", "chunk", *[assign.source_index(rows, k).alias(f"index_{k}") for k in (0, 1, 3)])
+    return rows.select("split", "user_id", "chunk", *[assign.source_index(rows, k).alias(f"index_{k}") for k in range(4)])
 
 
 @query(
@@ -926,7 +929,7 @@ def j10(spark, sf):
 
 @query(
     "j11_shard_matching",
-    """SELECT coalesce(e.id, a.id) AS shard_id, coalesce(e.n, 0) AS n_embedding, coalesce(a.n, 0) AS n_assignment,
+    """SELECT 'train' AS split, coalesce(e.id, a.id) AS shard_id, coalesce(e.n, 0) AS n_embedding, coalesce(a.n, 0) AS n_assignment,
               CASE WHEN e.n > 1 OR a.n > 1 THEN 'duplicate' WHEN a.n IS NULL THEN 'missing_assignment'
                    WHEN e.n IS NULL THEN 'missing_embedding' ELSE 'matched' END AS status
        FROM (SELECT CAST(regexp_extract(name, '[0-9]+', 0) AS BIGINT) AS id, count(*) AS n FROM shard_files WHERE side = 'embedding' GROUP BY 1) e
@@ -1058,7 +1061,7 @@ CTES["prompts"] = """
            UNION ALL SELECT DISTINCT user_embedding_id, 'one more', 'extra', 2, 0 FROM drawn3)""",
 )
 def w10(spark, sf):
-    return context.select_prompts(D.assignments(spark, sf, k=3), extras=["one more", " "])
+    return context.select_prompts(D.assignments(spark, sf, k=3), max_query_prompts=2, defaults=EXTRA_PROMPTS, extras=["one more", " "])
 
 
 @query(
@@ -1128,14 +1131,14 @@ def j18(spark, sf):
 
 @query(
     "j19_report_rows",
-    """SELECT c.sample_id, c.condition, i.grid_path FROM conditions c
-       LEFT JOIN (SELECT DISTINCT sample_id, concat('grid/', sample_id, '.png') AS grid_path FROM conditions WHERE sample_id % 3 > 0) i USING (sample_id)""",
+    """SELECT c.sample_id, c.condition, i.place, i.grid_path FROM conditions c
+       LEFT JOIN (SELECT sample_id, max(length(condition)) AS place, concat('grid/', sample_id, '_', max(length(condition)), '.png') AS grid_path
+                  FROM conditions WHERE sample_id % 3 > 0 GROUP BY sample_id) i USING (sample_id)""",
 )
 def j19(spark, sf):
     records = D.derive(spark, sf, "conditions").select("sample_id", "condition")
-    images = records.filter(F.col("sample_id") % 3 > 0).select(
-        "sample_id", F.concat(F.lit("grid/"), F.col("sample_id").cast("string"), F.lit(".png")).alias("grid_path")
-    ).distinct()
+    images = records.filter(F.col("sample_id") % 3 > 0).select("sample_id", F.length("condition").alias("place"))
+    images = images.withColumn("grid_path", F.format_string("grid/%d_%d.png", "sample_id", "place"))
     return context.report_rows(records, images)
 
 

@@ -552,16 +552,15 @@ def p34(spark, sf):
 
 CTES["logits"] = """
     SELECT vec_id, class_id::BIGINT AS class_id, batch_id, generate_subscripts(vals, 1) - 1 AS j, CAST(unnest(vals) AS DOUBLE) AS z FROM classified"""
-CTES["first_logits"] = "SELECT * FROM logits WHERE j < 10"
 CTES["class_rows"] = """
     SELECT vec_id, batch_id, ln(sum(exp(z))) - max(CASE WHEN j = class_id THEN z END) AS loss,
            max(CASE WHEN j = class_id THEN exp(z) END) / sum(exp(z)) AS desired_prob,
            1 + count(*) FILTER (z > own OR (z = own AND j < class_id)) AS rank
-    FROM (SELECT *, max(CASE WHEN j = class_id THEN z END) OVER (PARTITION BY vec_id) AS own FROM first_logits) GROUP BY ALL"""
+    FROM (SELECT *, max(CASE WHEN j = class_id THEN z END) OVER (PARTITION BY vec_id) AS own FROM logits) GROUP BY ALL"""
 
 
 def _classified(spark, sf):
-    rows = D.derive(spark, sf, "classified").withColumn("logits", F.slice("vals", 1, 10)).drop("vals")
+    rows = D.derive(spark, sf, "classified").withColumnRenamed("vals", "logits")
     return R.classifier_metrics(rows)
 
 

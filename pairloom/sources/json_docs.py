@@ -22,6 +22,40 @@ def _documents(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     )
 
 
+# What each kind of document starts with.
+_STARTS = {"columnar": ("[", "{"), "grouped": ("{",), "mapping": ("{",), "uids": ("[", "{"), "samples": ("[", "{"), "sidecar": ("{",)}
+
+
+def _reason(kind: str) -> Column:
+    """Null for a usable document; json where it can't be parsed, shape for another layout, no_uids or no_samples."""
+    doc = F.col("doc")
+    inside = {
+        name: F.from_json(doc, T.StructType([T.StructField(name, T.ArrayType(T.StringType()))]))[name] for name in ("uids", "samples")
+    }
+    lacks = [F.when(doc.startswith("{") & inside[kind].isNull(), f"no_{kind}")] if kind in inside else []
+    return F.coalesce(
+        F.when(F.try_parse_json(doc).isNull(), "json"), F.when(~F.substring(doc, 1, 1).isin(*_STARTS[kind]), "shape"), *lacks
+    )
+
+
+def document_reasons(spark: SparkSession, path: str | Sequence[str], kind: str) -> DataFrame:
+    """(file, reason) of each document: why the reader of this kind leaves it out, null if it doesn't.
+
+    Kinds: columnar, grouped, mapping, uids, samples, sidecar.
+    """
+    return _documents(spark, path).select("file", _reason(kind).alias("reason"))
+
+
+def _usable(docs: DataFrame, kind: str, strict: bool) -> DataFrame:
+    """Documents without a reason; with strict a broken one fails the job."""
+    docs = docs.withColumn("__reason", _reason(kind))
+    ok = F.col("__reason").isNull()
+    if strict:
+        what = F.concat(F.lit("unusable document ("), F.col("__reason"), F.lit(") "), F.col("file"))
+        ok = F.when(ok, True).otherwise(F.raise_error(what).cast("boolean"))
+    return docs.filter(ok).drop("__reason")
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(file, line_no, line) of text files, numbered from 0 in file order.
 
@@ -64,7 +98,7 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
     return rows.filter(ok).drop("bad_line")
 
 
-def read_columnar_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
+def read_columnar_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, strict: bool = False) -> DataFrame:
     """Records of documents in any of the accepted layouts, with file, row_key and row_idx.
 
     Layouts: list of records; {column: {row: value}}; {column: [values]}; plain
@@ -72,7 +106,7 @@ def read_columnar_json(spark: SparkSession, path: str | Sequence[str], schema: T
     Absent cells are null.  Rows are numbered digits first, then by text.
     """
     names = [f.name for f in schema.fields]
-    docs = _documents(spark, path)
+    docs = _usable(_documents(spark, path), "columnar", strict)
     typed = lambda wrap: T.StructType([T.StructField(f.name, wrap(f.dataType)) for f in schema.fields])
     as_map = F.from_json("doc", typed(lambda t: T.MapType(T.StringType(), t)))
     as_list = F.from_json("doc", typed(T.ArrayType))
@@ -123,11 +157,11 @@ def read_columnar_json(spark: SparkSession, path: str | Sequence[str], schema: T
     return rows.withColumn("row_idx", (F.row_number().over(order) - 1).cast("bigint"))
 
 
-def read_user_grouped_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
+def read_user_grouped_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, strict: bool = False) -> DataFrame:
     """Records of {user: [record, ...]} documents; a record's own user_id wins over the key."""
     fields = [f for f in schema.fields if f.name != "user_id"]
     record = T.StructType([T.StructField("user_id", T.StringType()), *fields])
-    parsed = _documents(spark, path).select(
+    parsed = _usable(_documents(spark, path), "grouped", strict).select(
         "file", F.explode(F.from_json("doc", T.MapType(T.StringType(), T.ArrayType(record)))).alias("key", "records")
     )
     rows = parsed.select("file", "key", F.posexplode("records").alias("pos", "r"))
@@ -136,9 +170,9 @@ def read_user_grouped_json(spark: SparkSession, path: str | Sequence[str], schem
     )
 
 
-def read_mapping_json(spark: SparkSession, path: str | Sequence[str], value: str = "path") -> DataFrame:
+def read_mapping_json(spark: SparkSession, path: str | Sequence[str], value: str = "path", strict: bool = False) -> DataFrame:
     """(uid, value) of object documents; null values are dropped, keys become trimmed text."""
-    parsed = _documents(spark, path).select(
+    parsed = _usable(_documents(spark, path), "mapping", strict).select(
         F.explode(F.from_json("doc", T.MapType(T.StringType(), T.StringType()))).alias("uid", value)
     )
     return parsed.filter(F.col(value).isNotNull()).select(K.trimmed_key(F.col("uid")).alias("uid"), value)
@@ -151,10 +185,10 @@ def tidy_uid_list(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_uid_list(spark: SparkSession, path: str) -> DataFrame:
+def read_uid_list(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Distinct uids of a text file (one per line) or JSON document, with their first position."""
     if path.endswith(".json"):
-        docs = _documents(spark, path)
+        docs = _usable(_documents(spark, path), "uids", strict)
         listed = F.coalesce(
             F.from_json("doc", T.StructType([T.StructField("uids", T.ArrayType(T.StringType()))]))["uids"],
             F.from_json("doc", T.ArrayType(T.StringType())),
@@ -165,9 +199,12 @@ def read_uid_list(spark: SparkSession, path: str) -> DataFrame:
     return tidy_uid_list(rows.withColumn("pos", F.col("pos").cast("bigint")))
 
 
-def read_samples(spark: SparkSession, path: str, paths: DataFrame | None = None) -> DataFrame:
-    """uid, category and image path of sample lists; a path inside the list wins over the map."""
-    docs = _documents(spark, path)
+def read_samples(spark: SparkSession, path: str, paths: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """uid, category and image path of sample lists; a path inside the list wins over the map.
+
+    With strict a broken document or a sample without a path fails the job.
+    """
+    docs = _usable(_documents(spark, path), "samples", strict)
     items = F.when(
         F.col("doc").startswith("{"),
         F.from_json("doc", T.StructType([T.StructField("samples", T.ArrayType(T.StringType()))]))["samples"],
@@ -181,18 +218,22 @@ def read_samples(spark: SparkSession, path: str, paths: DataFrame | None = None)
         F.col("r.category").alias("category"),
         F.col("r.image_path").alias("image_path"),
     )
-    if paths is None:
-        return rows
-    known = paths.select("uid", F.col("path").alias("__p"))
-    return rows.join(known, "uid", "left").withColumn("image_path", F.coalesce("image_path", "__p")).drop("__p")
+    if paths is not None:
+        known = K.one_per_key(paths.filter(F.col("path").isNotNull()), "uid", "path").withColumnRenamed("path", "__p")
+        rows = rows.join(known, "uid", "left").withColumn("image_path", F.coalesce("image_path", "__p")).drop("__p")
+    if strict:
+        missing = F.raise_error(F.concat(F.lit("no image path for sample "), F.coalesce("uid", F.lit("null"))))
+        rows = rows.withColumn("image_path", F.coalesce("image_path", missing.cast("string")))
+    return rows
 
 
-def scan_sidecars(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
-    """Sidecar documents below a folder with their path."""
+def scan_sidecars(spark: SparkSession, root: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
+    """Sidecar documents below a folder with their path; broken ones are left out, or fail the job when strict."""
     docs = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
         .text(root, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("json_path"), F.from_json("value", schema).alias("r"))
+        .select(F.col("_metadata.file_path").alias("file"), K.strip(F.col("value")).alias("doc"))
     )
-    return docs.select("json_path", "r.*")
+    usable = _usable(docs, "sidecar", strict)
+    return usable.select(F.col("file").alias("json_path"), F.from_json("doc", schema).alias("r")).select("json_path", "r.*")

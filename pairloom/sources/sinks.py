@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import keys as K
-from pairloom.operators.manifest import not_yet_written
-
-# A single JSON document is built by one task; larger maps and lists stay tables.
-DOCUMENT_LIMIT = 1_000_000
-
+from pairloom.session import materialise
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:
     """One JSON object per line, nulls written out."""
@@ -24,18 +21,10 @@ def write_uid_map(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def _checked_size(df: DataFrame, limit: int) -> int:
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{n} entries are too many for one JSON document; write a table instead")
-    return n
-
-
-def export_uid_map(df: DataFrame, path: str, key: str = "uid", value: str = "path", limit: int = DOCUMENT_LIMIT) -> None:
-    """The map as one JSON object, for small exports only (the size is checked)."""
-    _checked_size(df, limit)
-    doc = df.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))).alias("value"))
-    doc.coalesce(1).write.text(path)
+def export_uid_map(df: DataFrame, path: str, key: str = "uid", value: str = "path") -> None:
+    """The map as JSON objects of one entry each, one per line over the part files, in key order within each."""
+    entry = F.to_json(F.map_from_entries(F.array(F.struct(F.col(key).cast("string"), F.col(value)))))
+    df.filter(F.col(key).isNotNull()).repartition(F.col(key)).sortWithinPartitions(key).select(entry.alias("value")).write.text(path)
 
 
 def write_summary(df: DataFrame, path: str, **parameters) -> None:
@@ -49,12 +38,10 @@ def write_uid_list(df: DataFrame, path: str, sort_by_uid: bool = False, order: s
     ordered.select(F.col("uid").cast("string")).write.text(path)
 
 
-def export_uid_list(df: DataFrame, path: str, field: str = "uids", order: str = "uid", limit: int = DOCUMENT_LIMIT) -> None:
-    """{field: [...], num_field: n} as one JSON document, for small exports only (the size is checked)."""
-    n = _checked_size(df, limit)
-    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("uid").alias("u")))), lambda s: s["u"])
-    doc = df.agg(items.alias(field)).withColumn(f"num_{field}", F.lit(n))
-    doc.coalesce(1).write.json(path)
+def export_uid_list(df: DataFrame, path: str, field: str = "uids", order: str = "uid") -> None:
+    """The list in order over the part files of path/items, and {num_field: n} as a document in path/count."""
+    write_uid_list(df, f"{path}/items", order=order)
+    df.agg(F.count(F.lit(1)).alias(f"num_{field}")).coalesce(1).write.json(f"{path}/count")
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], mode: str = "error") -> None:
@@ -92,15 +79,26 @@ def write_sharded(df: DataFrame, path: str, uid: str = "uid", mode: str = "error
     rows.write.mode(mode).partitionBy("shard").parquet(path)
 
 
-def write_missing(df: DataFrame, path: str, key: Sequence[str], overwrite: bool = False) -> None:
-    """Appends only rows whose key the target lacks; rewrites everything with overwrite."""
-    spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    if overwrite or not exists:
-        df.write.mode("overwrite").parquet(path)
-        return
-    not_yet_written(df, spark.read.parquet(path), key).write.mode("append").parquet(path)
+def write_missing(df: DataFrame, path: str, key: Sequence[str], overwrite: bool = False) -> DataFrame:
+    """Appends only rows whose key the target lacks, one per key; rewrites everything with overwrite.
+
+    Returns one row: num_seen, num_written, and num_skipped because the key was
+    there already or came twice.  Null keys are keys.
+    """
+    spark, key = df.sparkSession, list(key)
+    fresh = materialise(df.dropDuplicates(key))
+    there = None
+    if not overwrite:
+        try:
+            there = spark.read.parquet(path)
+        except AnalysisException:  # there is no target yet
+            there = None
+    if there is not None:
+        fresh = materialise(K.null_safe_join(fresh, there.select(*key).distinct(), key, "left_anti"))
+    fresh.write.mode("overwrite" if there is None else "append").parquet(path)
+    seen, written = df.agg(F.count(F.lit(1)).alias("n")), fresh.agg(F.count(F.lit(1)).alias("num_written"))
+    counts = written.select(seen.scalar().alias("num_seen"), "num_written")
+    return counts.withColumn("num_skipped", F.col("num_seen") - F.col("num_written"))
 
 
 def publish_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -16,6 +16,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     The reader knows each row's place in its file; only the file sizes are
     aggregated to turn that into a running number, so no row is sorted or moved.
+    Rows with a null key are numbered as rows of one more key.
     """
     keys = list(keys)
     located = df.select("*", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
@@ -23,7 +24,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     earlier = Window.partitionBy(*keys).orderBy(K.natural_key(F.col("__f"))).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__s", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
     return (
-        located.join(starts, [*keys, "__f"]).withColumn("row_idx", F.col("__s") + F.col("__r")).drop("__f", "__r", "__s")
+        K.null_safe_join(located, starts, [*keys, "__f"]).withColumn("row_idx", F.col("__s") + F.col("__r")).drop("__f", "__r", "__s")
     )
 
 

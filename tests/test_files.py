@@ -1,6 +1,7 @@
 """File layouts: readers and writers on small hand-written files."""
 
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -200,13 +201,12 @@ def test_writers(spark, tmp_path, rows):
     sinks.write_uid_map(df, str(tmp_path / "m"))
     assert rows(spark.read.parquet(str(tmp_path / "m"))) == [("a", None), ("b", "2")]
     sinks.export_uid_map(df.filter("path is not null"), str(tmp_path / "d"))
-    assert json.loads(read_text(tmp_path / "d")[0]) == {"b": "2"}
-    with pytest.raises(ValueError, match="too many"):
-        sinks.export_uid_map(df, str(tmp_path / "e"), limit=1)
+    assert [json.loads(x) for x in read_text(tmp_path / "d")] == [{"b": "2"}]
     sinks.write_uid_list(df, str(tmp_path / "t"), sort_by_uid=True)
     assert read_text(tmp_path / "t") == ["a", "b"]
     sinks.export_uid_list(df, str(tmp_path / "j"))
-    assert json.loads(read_text(tmp_path / "j")[0]) == {"uids": ["a", "b"], "num_uids": 2}
+    assert read_text(tmp_path / "j" / "items") == ["a", "b"]
+    assert json.loads(read_text(tmp_path / "j" / "count")[0]) == {"num_uids": 2}
     sinks.write_summary(df.agg(F.count(F.lit(1)).alias("n")), str(tmp_path / "s"), seed=3, strict=True)
     assert json.loads(read_text(tmp_path / "s")[0]) == {"n": 2, "seed": 3, "strict": True}
 
@@ -228,8 +228,9 @@ def test_sharded_missing_split_and_append_writers(spark, tmp_path, rows):
     sinks.write_sharded(df, str(tmp_path / "s"), files_per_shard=2)
     assert rows(spark.read.parquet(str(tmp_path / "s")), "uid", "shard") == [("a/c", "a_"), ("abc", "ab"), ("b", "xx")]
     target = str(tmp_path / "t")
-    sinks.write_missing(df.limit(2), target, ["uid"])
-    sinks.write_missing(df.withColumn("n", F.col("n") + 10), target, ["uid"])
+    first = spark.createDataFrame([("abc", 1), ("b", 2), ("abc", 1)], "uid string, n int")
+    assert rows(sinks.write_missing(first, target, ["uid"])) == [(3, 2, 1)]
+    assert rows(sinks.write_missing(df.withColumn("n", F.col("n") + 10), target, ["uid"])) == [(3, 1, 2)]
     assert rows(spark.read.parquet(target)) == [("a/c", 13), ("abc", 1), ("b", 2)]
     sinks.write_missing(df, target, ["uid"], overwrite=True)
     assert rows(spark.read.parquet(target)) == [("a/c", 3), ("abc", 1), ("b", 2)]
@@ -238,3 +239,36 @@ def test_sharded_missing_split_and_append_writers(spark, tmp_path, rows):
     for n in (1, 2):
         sinks.append_metrics(spark.createDataFrame([(n, 0.5)], "micro_step long, loss double"), str(tmp_path / "m"))
     assert rows(spark.read.json(str(tmp_path / "m")), "micro_step") == [(1,), (2,)]
+
+
+def test_broken_documents_have_a_reason_and_strict_fails(spark, tmp_path, rows):
+    schema = T.StructType([T.StructField("user_id", T.StringType()), T.StructField("n", T.LongType())])
+    texts = {"good": '{"uids": ["a"], "samples": ["a"], "u": []}', "cut": '{"uids": ["a", ', "text": '"x"', "none": '{"no_uids": ["a"]}'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    reasons = lambda kind: {
+        os.path.basename(f): r for f, r in rows(JD.document_reasons(spark, str(tmp_path), kind))
+    }
+    assert reasons("uids") == {"good.json": None, "cut.json": "json", "text.json": "shape", "none.json": "no_uids"}
+    assert reasons("samples")["none.json"] == "no_samples" and reasons("mapping")["none.json"] is None
+    cut = str(tmp_path / "cut.json")
+    assert JD.read_columnar_json(spark, cut, schema).count() == 0
+    for read in (
+        lambda: JD.read_columnar_json(spark, cut, schema, strict=True),
+        lambda: JD.read_user_grouped_json(spark, cut, schema, strict=True),
+        lambda: JD.read_mapping_json(spark, cut, strict=True),
+        lambda: JD.read_uid_list(spark, str(tmp_path / "none.json"), strict=True),
+        lambda: JD.read_samples(spark, str(tmp_path / "none.json"), strict=True),
+        lambda: JD.scan_sidecars(spark, str(tmp_path), schema, strict=True),
+    ):
+        with pytest.raises(PySparkException, match="unusable document"):
+            read().collect()
+    with pytest.raises(PySparkException, match="no image path"):
+        JD.read_samples(spark, str(tmp_path / "good.json"), strict=True).collect()
+
+
+def test_rows_of_a_null_split_are_numbered(spark, tmp_path, rows):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "split string, n int")
+    df.coalesce(1).write.parquet(str(tmp_path / "p"))
+    got = rows(tables.read_preferences(spark, str(tmp_path / "p")), "split", "n")
+    assert got == [("a", 1), (None, 2), (None, 3)]

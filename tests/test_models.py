@@ -77,3 +77,14 @@ def test_streams_pick_up_new_files_once(spark, tmp_path, late):
     got = sorted(tuple(r) for r in incremental.latest(spark, sink, ["optimizer_step"]).select("optimizer_step", "accumulation_count", "loss").collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert all(abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, want))
+
+
+def test_failing_embedding_batches_are_marked(spark):
+    def model(prompts):
+        if "bad" in prompts:
+            raise ValueError("no answer")
+        return [(p, [[1.0]]) for p in prompts if p != "short"]
+
+    df = spark.createDataFrame([("ok",), ("bad",), ("short",)], "prompt string").coalesce(1)
+    got = {r.prompt: (r.text, r.error) for r in inference.embed(df, model, batch_size=1).collect()}
+    assert got["ok"] == ("ok", None) and got["bad"] == (None, "no answer") and "different number" in got["short"][1]

@@ -7,7 +7,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Window, functions as F
 
 from pairloom.functions import keys as K
-from pairloom.operators import assign, distribution as Q, manifest as M, metrics as R, ranking, samples as S, shots
+from pairloom.functions import tensors as X
+from pairloom.operators import assign, context, distribution as Q, latents as L, manifest as M, metrics as R, ranking, samples as S, shots
 
 
 def skewed_pool(spark, n=3000):
@@ -314,3 +315,51 @@ def test_long_tensors_take_linear_time(spark):
     moved = Q.calibrate_channels(df, summary, summary)
     back = moved.select(F.array_max("vals").alias("m"), "uid").toPandas().sort_values("uid", key=lambda u: u.str[1:].astype(int))
     np.testing.assert_allclose(back["m"], [a.max() for a in arrays])
+
+
+def test_null_keys_and_equal_paths_are_kept_once(spark, rows):
+    df = spark.createDataFrame([("a", "p"), ("a", "p"), ("a", None), (None, "q"), (None, "r")], "uid string, latent_path string")
+    got = rows(L.mark_duplicates(df), "uid", "latent_path", "first_path", "is_duplicate")
+    assert len(got) == 5 and sorted(r[0] or "" for r in got if not r[3]) == ["", "a"]
+    assert {r[1] for r in got if not r[3]} == {"p", "q"}
+
+
+def test_null_ordinals_keep_their_rows(spark):
+    df = spark.createDataFrame([("k", None), ("k", 5), (None, 1)], "k string, n long")
+    got = ranking.position_by_ordinal(df, ["k"], "n", "at").collect()
+    assert sorted((r.k or "", r["at"]) for r in got) == [("", 0), ("k", 0), ("k", 1)]
+
+
+def test_repeated_lookup_uids_do_not_multiply_rows(spark, rows):
+    pairs = spark.createDataFrame([("a", "b")], "preferred_uid string, dispreferred_uid string")
+    latents = spark.createDataFrame([("a", "2"), ("a", "1"), ("b", "3"), ("b", " ")], "uid string, latent_path string")
+    assert rows(S.attach_latents(pairs, latents), "preferred_latent_path", "dispreferred_latent_path") == [("1", "3")]
+
+
+def test_last_image_counts_and_shards_stay_apart(spark, rows):
+    records = spark.createDataFrame([(1, "x"), (2, "y")], "sample_id long, c string")
+    images = spark.createDataFrame([(1, 0, "old"), (1, 1, "new")], "sample_id long, place long, path string")
+    assert rows(context.report_rows(records, images), "sample_id", "path") == [(1, "new"), (2, None)]
+    emb = spark.createDataFrame([("t", s, "u", "u_emb_0", 0) for s in (0, 1)], "split string, shard_id long, user_id string, user_embedding_id string, source_embedding_row_idx long")
+    assert context.find_embedding_rows(emb, emb).count() == 2
+    files = spark.createDataFrame([("train_shard1.json",), ("validation_shard1.json",)], "name string")
+    assert {r.status for r in S.match_shards(files, files).collect()} == {"matched"}
+
+
+def test_missing_user_of_an_embedding_row_is_not_out_of_range(spark, rows):
+    schema = "split string, shard_id long, user_id string, user_embedding_id string, source_embedding_row_idx long, support_pairs array<struct<preferred_uid:string,dispreferred_uid:string,caption:string>>"
+    emb = spark.createDataFrame([("t", 0, None, "e", 0, [])], schema)
+    asked = spark.createDataFrame([("t", 0, "u", "e", 0, [])], schema).withColumn("query_pairs", F.col("support_pairs"))
+    assert rows(S.match_embeddings(asked, emb), "reason") == [("user_mismatch",)]
+
+
+def test_shapes_and_channels_are_compared(spark):
+    row = spark.range(1).select(F.array(*[F.lit(1.0)] * 4).alias("v"))
+    shape = lambda *n: F.array(*[F.lit(x) for x in n])
+    same = lambda a, b: row.select(X.pair_metrics(F.col("v"), F.col("v"), a, b)["same_shape"]).first()[0]
+    assert same(shape(2, 2), shape(2, 2)) and not same(shape(1, 4), shape(4, 1))
+    df = row.select(F.col("v").alias("vals"), shape(4, 1, 1).alias("shape"))
+    stats = spark.createDataFrame([(c, 0.0, 1.0) for c in range(4)], "channel int, channel_mean double, channel_std double")
+    assert Q.calibrate_channels(df, stats, stats).first()["vals"] == [1.0] * 4
+    with pytest.raises(PySparkException, match="no statistics"):
+        Q.calibrate_channels(df, stats, stats.filter("channel <> 1")).collect()
