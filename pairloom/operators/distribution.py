@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import tensors as X
+from pairloom.functions.tensors import let
 from pairloom.session import materialise
 
 
@@ -48,6 +49,35 @@ def with_full_stats(df: DataFrame, values: str = "vals") -> DataFrame:
     return rows.select(*df.columns, "__s.*")
 
 
+def group_stats(df: DataFrame, keys: Sequence[str] = (), values: str = "vals") -> DataFrame:
+    """Statistics of all tensors of a group together, over their finite values, with counts of the others.
+
+    Each tensor becomes a few numbers before any shuffle.
+    """
+    part = X.doubles(F.col(values))
+    finite = F.filter(part, X.is_finite)
+    rows = df.select(
+        *keys,
+        F.size(part).cast("bigint").alias("total"),
+        F.size(F.filter(part, F.isnan)).cast("bigint").alias("nan"),
+        let(finite, lambda x: F.struct(
+            F.size(x).cast("bigint").alias("n"), X.total(x).alias("s"), X.total(x, lambda v: v * v).alias("q"), X.total(x, F.abs).alias("a"),
+            F.array_min(x).alias("lo"), F.array_max(x).alias("hi"),
+        )).alias("f"),
+    )
+    sums = rows.groupBy(*keys).agg(
+        F.sum("total").alias("total_count"), F.sum("nan").alias("nan_count"), F.sum("f.n").alias("n"), F.sum("f.s").alias("s"),
+        F.sum("f.q").alias("q"), F.sum("f.a").alias("a"), F.min("f.lo").alias("min_value"), F.max("f.hi").alias("max_value"),
+    )
+    n = F.nullif(F.col("n"), F.lit(0))
+    mean = F.col("s") / n
+    return sums.select(
+        *keys, "total_count", "nan_count", (F.col("total_count") - F.col("nan_count") - F.col("n")).alias("inf_count"),
+        F.col("n").alias("finite_count"), "min_value", "max_value", mean.alias("mean_value"),
+        F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0))).alias("std_value"), (F.col("a") / n).alias("mean_abs"), F.sqrt("q").alias("l2_norm"),
+    )
+
+
 def finite_flags(values: Column) -> Column:
     """has_nan, has_inf and all_finite of one tensor."""
     return F.struct(

@@ -18,6 +18,9 @@ _IMG = "concat('img_', lpad(CAST({n} AS STRING), 10, '0'))"
 _USER = "concat('user_', lpad(CAST(user_id AS STRING), 10, '0'))"
 _SPLIT = "CASE WHEN event_id % 10 < 8 THEN 'train' WHEN event_id % 10 = 8 THEN 'validation' ELSE 'test' END"
 
+# Distinct images grow with the events.
+_UIDS = "(SELECT 20 + CAST(floor(count(*) / 2) AS BIGINT) FROM {{events}})"
+
 SQL = {
     "prefs": f"""
         SELECT row_idx, user_id, split, caption, {_IMG.format(n="a")} AS image_0_uid, {_IMG.format(n="b")} AS image_1_uid,
@@ -27,7 +30,7 @@ SQL = {
         FROM (SELECT event_id AS row_idx, {_USER} AS user_id, {_SPLIT} AS split, value,
                      CASE WHEN event_id % 97 = 0 THEN ' '
                           ELSE concat(event_type, ' ', CAST(event_id % 50 AS STRING)) END AS caption,
-                     event_id % 520 AS a, (event_id * 7 + user_id) % 520 AS b,
+                     event_id % {_UIDS.format()} AS a, (event_id * 7 + user_id) % {_UIDS.format()} AS b,
                      event_type <> 'error' AS has_label
               FROM {{events}}) e""",
     "latents": """
@@ -46,10 +49,9 @@ SQL = {
                concat('more/', 'img_', lpad(CAST(vec_id AS STRING), 10, '0'), '.bin') AS latent_path
         FROM {embeddings}""",
     "paths": """
-        SELECT concat('img_', lpad(CAST(event_id % 520 AS STRING), 10, '0')) AS uid,
-               max(CASE WHEN event_id % 520 % 13 <> 0
-                   THEN concat('images/', CAST(event_id % 520 AS STRING), '.jpg') END) AS path
-        FROM {events} GROUP BY 1""",
+        SELECT concat('img_', lpad(CAST(n AS STRING), 10, '0')) AS uid,
+               max(CASE WHEN n % 13 <> 0 THEN concat('images/', CAST(n AS STRING), '.jpg') END) AS path
+        FROM (SELECT event_id % """ + _UIDS.format() + """ AS n FROM {events}) e GROUP BY 1""",
     "flags": """
         SELECT event_id,
                CASE event_id % 9 WHEN 0 THEN 'true' WHEN 1 THEN '0' WHEN 2 THEN ' Yes ' WHEN 3 THEN 'n'

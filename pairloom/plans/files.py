@@ -165,6 +165,82 @@ def k2(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("k2_uid_map_json", "SELECT uid, path FROM known_paths")
+def k2_json(spark, sf):
+    path = scratch_path(spark, "uid-map")
+    sinks.export_uid_map(D.derive(spark, sf, "paths").filter(F.col("path").isNotNull()), path)
+    return spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("uid", "path"))
+
+
+@query(
+    "k8_write_missing",
+    """SELECT count(*) AS num_seen, count(DISTINCT uid) FILTER (NOT there) AS num_written,
+              count(*) - count(DISTINCT uid) FILTER (NOT there) AS num_skipped
+       FROM (SELECT uid, uid IN (SELECT uid FROM latents WHERE NOT scaled) AS there FROM sightings)""",
+)
+def k8_write(spark, sf):
+    path = scratch_path(spark, "present")
+    sinks.write_missing(D.latents(spark, sf).filter(~F.col("scaled")).select("uid"), path, ["uid"])
+    return sinks.write_missing(M.sightings(D.derive(spark, sf, "prefs")).select("uid"), path, ["uid"])
+
+
+@query("s9_image_scan", "SELECT split, 1::BIGINT AS n_files FROM prefs GROUP BY split")
+def s9(spark, sf):
+    path = scratch_path(spark, "images")
+    D.derive(spark, sf, "prefs").select("split", "row_idx").repartition("split").write.partitionBy("split").parquet(path)
+    found = tables.scan_images(spark, path, extensions=("parquet",))
+    return found.groupBy(F.regexp_extract("path", "split=([^/]+)", 1).alias("split")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("s12_shard_list", "SELECT split, row_number() OVER (ORDER BY split) - 1 AS place FROM prefs GROUP BY split")
+def s12(spark, sf):
+    path = scratch_path(spark, "shards")
+    sinks.publish_splits(D.derive(spark, sf, "prefs"), path)
+    names = tables.expand_shards(spark, [f"{path}/split=t*", f"{path}/split=*"])
+    listed = spark.createDataFrame([(name.rpartition("=")[2], place) for place, name in enumerate(names)], "split string, place bigint")
+    return listed.join(tables.read_preferences(spark, path).select("split").distinct(), "split")
+
+
+# Forty documents: every fourth is whole, cut off, of another layout, or an object without the list.
+_BROKEN_SQL = """
+    SELECT reason, count(*) AS n_documents FROM (
+        SELECT DISTINCT event_id % 40 AS doc, CASE event_id % 4 WHEN 1 THEN 'json' WHEN 2 THEN 'shape' WHEN 3 THEN '{lacks}' ELSE 'ok' END AS reason
+        FROM events) GROUP BY ALL"""
+
+
+def _broken_documents(spark, sf):
+    events = D.table(spark, sf, "events").select((F.col("event_id") % 40).alias("doc"), F.col("event_id").cast("string").alias("id"))
+    whole = events.groupBy("doc").agg(F.to_json(F.struct(F.collect_list("id").alias("uids"), F.collect_list("id").alias("samples"))).alias("whole"))
+    value = (
+        F.when(F.col("doc") % 4 == 1, F.substring("whole", 1, F.length("whole") - 2))
+        .when(F.col("doc") % 4 == 2, F.lit('"text"'))
+        .when(F.col("doc") % 4 == 3, F.lit('{"other": ["a"]}'))
+        .otherwise(F.col("whole"))
+    )
+    return _write_documents(whole.select("doc", value.alias("value")), scratch_path(spark, "broken"))
+
+
+def _bad_documents(name: str, kind: str, lacks: str) -> None:
+    @query(f"{name}_bad_documents", _BROKEN_SQL.format(lacks=lacks))
+    def bad(spark, sf):
+        reasons = JD.document_reasons(spark, _broken_documents(spark, sf), kind)
+        return reasons.groupBy(F.coalesce("reason", F.lit("ok")).alias("reason")).agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+for _name, _kind, _lacks in (
+    ("s2", "columnar", "ok"), ("s5", "grouped", "ok"), ("s6", "mapping", "ok"), ("s7", "uids", "no_uids"), ("s8", "samples", "no_samples"), ("s11", "sidecar", "ok"),
+):
+    _bad_documents(_name, _kind, _lacks)
+
+
+@query("s11_sidecars", "SELECT event_id % 40 AS number, count(*) AS n_events FROM events GROUP BY ALL")
+def s11(spark, sf):
+    path = scratch_path(spark, "sidecars")
+    rows = D.table(spark, sf, "events").groupBy((F.col("event_id") % 40).alias("number")).agg(F.count(F.lit(1)).alias("n_events"))
+    rows.withColumn("doc", F.col("number")).repartition("doc").write.partitionBy("doc").json(path)
+    return JD.scan_sidecars(spark, path, "number bigint, n_events bigint").select("number", "n_events")
+
+
 @query("k4_uid_list", "SELECT DISTINCT uid, dense_rank() OVER (ORDER BY uid) - 1 AS place FROM sightings")
 def k4(spark, sf):
     from pairloom.operators.ranking import position_by_sort

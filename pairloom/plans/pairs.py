@@ -941,6 +941,23 @@ def j11(spark, sf):
     return S.match_shards(files.filter(F.col("side") == "embedding"), files.filter(F.col("side") == "assignment"))
 
 
+@query(
+    "a9_dataset_counters",
+    """SELECT count(*) FILTER (kept) AS num_samples, count(DISTINCT user_id) FILTER (kept) AS num_users,
+              (SELECT 4 * count(*) FROM numbered) AS num_pairs_seen, (SELECT count(*) FILTER (row_idx_2 % 7 = 0) FROM numbered) AS num_malformed_pairs,
+              0::BIGINT AS num_pairs_without_user, count(*) AS num_assignment_records, count(reason) AS num_failed_validation,
+              count(*) FILTER (reason IS NULL) AS num_query_pairs, count(*) FILTER (reason IS NULL AND NOT kept) AS missing_latents_skipped
+       FROM (SELECT c.*, c.reason IS NULL AND la.uid IS NOT NULL AND lb.uid IS NOT NULL AS kept FROM checked c
+             LEFT JOIN latents la ON c.preferred_uid = la.uid LEFT JOIN latents lb ON c.dispreferred_uid = lb.uid)""",
+)
+def a9_counters(spark, sf):
+    rows, pool = D.base(spark, sf)
+    matched = materialise(S.match_embeddings(_broken(assign.build_assignments(rows, pool, on_empty="skip")), rows))
+    exploded = materialise(S.attach_latents(S.explode_queries(matched), D.derive(spark, sf, "latents")))
+    pairs = assign.fold_pairs(_numbered(spark, sf)).select("user_id", F.inline("pairs"))
+    return S.dataset_counters(pairs, matched, exploded, exploded.filter(~F.col("missing_latent")))
+
+
 @query(
     "a9_sample_stats",
     """SELECT count(*) AS num_samples, count(DISTINCT c.user_id) AS num_users, min(l.n) AS embedding_length_min, max(l.n) AS embedding_length_max

@@ -590,6 +590,39 @@ def a16(spark, sf):
     return out.select("num_batches", *rounded("loss", "top1", "desired_prob"))
 
 
+@query(
+    "a18_group_stats",
+    f"""SELECT vec_id % 10 AS part, count(*) AS total_count, count(*) FILTER (isnan(v)) AS nan_count, count(*) FILTER (isinf(v)) AS inf_count,
+              count(*) FILTER (isfinite(v)) AS finite_count, min(v) FILTER (isfinite(v)) AS min_value, max(v) FILTER (isfinite(v)) AS max_value,
+              {_r('avg(v) FILTER (isfinite(v))', 'mean_value')}, {_r('stddev_pop(v) FILTER (isfinite(v))', 'std_value')},
+              {_r('avg(abs(v)) FILTER (isfinite(v))', 'mean_abs')}, {_r('sqrt(sum(v * v) FILTER (isfinite(v)))', 'l2_norm')}
+       FROM tensors GROUP BY ALL""",
+)
+def a18_group(spark, sf):
+    rows = D.bad_tensors(spark, sf).withColumn("part", F.col("vec_id") % 10)
+    out = Q.group_stats(rows, ["part"])
+    exact = ["part", "total_count", "nan_count", "inf_count", "finite_count", "min_value", "max_value"]
+    return out.select(*exact, *rounded("mean_value", "std_value", "mean_abs", "l2_norm"))
+
+
+@query(
+    "p33_profile_messages",
+    """SELECT row_idx, 6::BIGINT AS n_parts, true AS valid, concat('likes ', caption) AS description,
+              CASE WHEN row_idx % 2 = 0 THEN concat(preferred_uid, ',', dispreferred_uid) ELSE concat(dispreferred_uid, ',', preferred_uid) END AS images
+       FROM pool""",
+)
+def p33_profile(spark, sf):
+    said = F.concat(F.lit("likes "), F.col("caption"))
+    both = [J.profile_messages(said, F.col("preferred_uid"), F.col("dispreferred_uid"), swap) for swap in (False, True)]
+    rows = D.pool(spark, sf).withColumn("m", F.when(F.col("row_idx") % 2 == 0, both[0]).otherwise(both[1]))
+    parts = F.flatten(F.transform("m", lambda m: m["content"]))
+    images = F.transform(F.filter(parts, lambda p: p["type"] == "image"), lambda p: p["image_uid"])
+    return rows.select(
+        "row_idx", F.size(parts).cast("bigint").alias("n_parts"), J.messages_valid(F.col("m")).alias("valid"),
+        F.element_at(parts, 3)["text"].alias("description"), F.array_join(images, ",").alias("images"),
+    )
+
+
 @query(
     "l3_top_classes",
     """SELECT vec_id, string_agg(j, ',' ORDER BY z DESC, j) AS top FROM (
