@@ -31,8 +31,8 @@ from pairloom.llm.common import map_arrow, text_or_empty
 from pairloom.llm.packing import OTHER_SPACE, UNIT
 from pairloom.session import scratch_path
 
-BLOCK_BYTES = 24 << 20
-FLUSH_IDS = 2 << 20
+BLOCK_BYTES = 12 << 20
+FLUSH_IDS = 1 << 20
 
 
 def rank_table(path: str) -> list[bytes]:
@@ -146,6 +146,16 @@ def _words(units: list[str], pattern, shares: int) -> tuple[list[list[str]], lis
     return by_unit, dealt
 
 
+def _of_units(row: dict, pattern, shares: int) -> list[bytes]:
+    """The packed ids of each of a block's units, from the answers for its words."""
+    by_unit, dealt = _words([u.decode() for u in unpack(row["units"])], pattern, shares)
+    ids: dict[str, bytes] = {}
+    for part in row["answers"] or ():
+        ids.update(zip(dealt[part["share"]], unpack(part["answer"])))
+        dealt[part["share"]] = []
+    return [b"".join([ids[w] for w in words]) for words in by_unit]
+
+
 def asked(stored: DataFrame, pattern: str, shares: int) -> DataFrame:
     """share, block, words: the distinct words of a block that fall into each share."""
 
@@ -209,20 +219,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
         compiled = regex.compile(pattern)
         for batch in batches:
             kind = batch.schema.field(1).type.value_type
-            for row in batch.to_pylist():
-                units = [u.decode() for u in unpack(row["units"])]
-                by_unit, dealt = _words(units, compiled, shares)
-                ids = {}
-                for part in row["answers"] or ():
-                    ids.update(zip(dealt[part["share"]], unpack(part["answer"])))
-                of_unit = [b"".join([ids[w] for w in words]) for words in by_unit]
-                yield from _documents(row, of_unit, kind)
+            for at in range(batch.num_rows):
+                (row,) = batch.slice(at, 1).to_pylist()
+                yield from _documents(row, _of_units(row, compiled, shares), kind)
 
     def _documents(row, of_unit, kind) -> Iterator[pa.RecordBatch]:
-        places = _places(row["places"]).tolist()
+        places = _places(row["places"])
         at, names, bodies, held = 0, [], [], 0
         for doc, count in zip(row["ids"], row["counts"]):
-            body = b"".join([of_unit[p] for p in places[at : at + count]])
+            body = b"".join([of_unit[p] for p in places[at : at + count].tolist()])
             at += count
             names.append(doc)
             bodies.append(body)
@@ -245,6 +250,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc
     return map_arrow(joined, run, schema)
 
 
+def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The bytes of each list's ids: the found tokens stand one after another, so a list's bytes are one range of them."""
+    found = table.take(lists.flatten())
+    if not len(found):
+        return pa.array([b""] * len(lists), pa.binary())
+    offsets = np.frombuffer(found.buffers()[1], np.int32)[: len(found) + 1]
+    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets[bounds].tobytes()), found.buffers()[2]])
+
+
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """tokens with the bytes of their ids, joined with the table of the tokens' bytes; an unknown id is an error."""
     schema = T.StructType([*tokens.schema.fields, T.StructField(into, T.BinaryType())])
@@ -253,13 +268,13 @@ def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", into: str = "de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(rank_table(ranks_path), pa.binary())
         for batch in batches:
-            lists = batch.column(place)
-            found = table.take(lists.flatten())
-            offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            data = found.buffers()[2] if len(found) else pa.py_buffer(b"")
-            decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(offsets[starts].astype(np.int32).tobytes()), data])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, into])
+            ends = batch.column(place).offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + FLUSH_IDS, side="right")) - 1)
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, _joined(part.column(place), table)], names=[*batch.schema.names, into])
+                at = to
 
     return map_arrow(tokens, run, schema)
 
