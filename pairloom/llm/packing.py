@@ -30,9 +30,9 @@ from pairloom.operators.ranking import position_by_sort
 from pairloom.session import materialise
 
 CAPACITY = 2048
-GROUPS = 512
+GROUPS = 2048
 # Pieces up to this length fill gaps.
-SMALL = 128
+SMALL = 384
 END_ID = 0
 FLUSH_BYTES = 8 << 20
 
