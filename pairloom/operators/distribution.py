@@ -172,6 +172,20 @@ def quantiles(
     return found.select(*keys, *blend)
 
 
+def with_quantiles(df: DataFrame, values: str = "vals", points: Mapping[str, float] = C.QUANTILES) -> DataFrame:
+    """Adds the exact quantiles of each tensor's finite values, sorted inside the row; null where it has none."""
+
+    def at(ordered: Column, q: float) -> Column:
+        place = (F.size(ordered) - 1) * F.lit(q)
+        low, high = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+        return low + (high - low) * (place - F.floor(place))
+
+    # Adding zero folds -0.0 into 0.0.
+    finite = F.transform(F.filter(X.doubles(F.col(values)), X.is_finite), lambda v: v + 0.0)
+    found = let(F.array_sort(finite), lambda ordered: F.struct(*[at(ordered, q).alias(n) for n, q in points.items()]))
+    return df.withColumn("__q", found).select(*df.columns, "__q.*")
+
+
 def channel_summary(df: DataFrame, keys: Sequence[str] = (), values: str = "vals", shape: str = "shape") -> DataFrame:
     """Mean and std of every channel over samples and space; non-finite counts as 0."""
     size = F.element_at(shape, 2) * F.element_at(shape, 3)

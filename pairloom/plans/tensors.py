@@ -241,7 +241,7 @@ def a20(spark, sf):
     "SELECT vec_id, " + ", ".join(_r(f"quantile_cont(v, {q})", n) for n, q in C.QUANTILES.items()) + " FROM finite GROUP BY ALL",
 )
 def a20_rows(spark, sf):
-    return Q.quantiles(D.bad_tensors(spark, sf).select("vec_id", "vals"), ["vec_id"]).select("vec_id", *rounded(*C.QUANTILES))
+    return Q.with_quantiles(D.bad_tensors(spark, sf).select("vec_id", "vals")).select("vec_id", *rounded(*C.QUANTILES))
 
 
 @query(
