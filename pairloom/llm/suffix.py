@@ -41,7 +41,7 @@ from pairloom.session import materialise
 
 LENGTH = 200
 GRAM = 64
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 # Window starts that are hashed at a time.
 PIECE = 1 << 20
 HOT = 1 << 16
@@ -388,6 +388,12 @@ class Block:
         return place, one, two
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one at a time, for each is a block."""
+    for at in range(batch.num_rows):
+        yield batch.slice(at, 1).to_pylist()[0]
+
+
 def _share_rows(block: str, parts) -> pa.RecordBatch:
     shares, values = zip(*parts) if parts else ((), ())
     return pa.RecordBatch.from_arrays(
@@ -497,21 +503,21 @@ def without_repeats(
 
     def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = opened(row)
                 values, counts = block.distinct()
                 yield _share_rows(row["block"], [(s, _packed(values[p], np.zeros(len(values[p]), "<u8"), counts[p].astype("<u4"))) for s, p in block.parts(values)])
 
     def ask_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = opened(row)
                 by_share, _, _ = block.contexts(block.repeated(row["grams"]))
                 yield _share_rows(row["block"], [(s, _run(c)) for s, c in by_share.items()])
 
     def ask_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = opened(row)
                 one, two, counts = _digests(block, block.repeated(row["grams"]))[2:]
                 yield _share_rows(row["block"], [(s, _packed(one[p], two[p], counts[p].astype("<u4"))) for s, p in block.parts(one)])
@@ -519,7 +525,7 @@ def without_repeats(
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field(1).type.value_type
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 block = opened(row)
                 state = block.repeated(row["grams"])
                 covered = np.zeros(len(block.data) + 1, np.int32)
@@ -536,7 +542,7 @@ def without_repeats(
                     twice = block.answer(row["strings"], one)[inverse] > 0
                     np.add.at(covered, place[twice], 1)
                     np.add.at(covered, place[twice] + length, -1)
-                yield _kept(row["ids"], block, np.cumsum(covered[:-1]) > 0, kind)
+                yield _kept(row["ids"], block, np.cumsum(covered[:-1], dtype=np.int32) > 0, kind)
 
     def _kept(ids, block: Block, gone: np.ndarray, kind) -> pa.RecordBatch:
         rows = []
