@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-# The folder taken where a local session names none.
+# The folder taken where a local session names none; it goes when the process ends.
 _LOCAL: list[str] = []
+# Paths below the shared folder that this process has handed out.
+_MADE: list[str] = []
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "pairloom") -> SparkSession:
@@ -41,12 +45,27 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return _LOCAL[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables and files this process has put below the shared folder; returns how many paths there were.
+
+    To be called when a run's results are written: DataFrames that still read
+    such a table fail afterwards.
+    """
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def materialise(df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairloom import session
 from pairloom.operators import latents as L, manifest as M
 from pairloom.sources import json_docs as JD, sinks, tables
 
@@ -272,3 +273,11 @@ def test_rows_of_a_null_split_are_numbered(spark, tmp_path, rows):
     df.coalesce(1).write.parquet(str(tmp_path / "p"))
     got = rows(tables.read_preferences(spark, str(tmp_path / "p")), "split", "n")
     assert got == [("a", 1), (None, 2), (None, 3)]
+
+
+def test_scratch_tables_are_released(spark, monkeypatch):
+    monkeypatch.setattr(session, "_MADE", [])
+    kept = session.materialise(spark.range(3))
+    (path,) = session._MADE
+    assert kept.count() == 3 and os.path.isdir(path)
+    assert session.release(spark) == 1 and not os.path.isdir(path) and session._MADE == []
