@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.common import map_arrow, spare, text_or_empty
+from pairloom.llm.common import map_arrow, row_key, surviving, text_or_empty
 from pairloom.session import materialise
 
 # Digests in more than one row of HEAVY are split off, so there are at most as many.
@@ -107,10 +107,12 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
-    row, digest = spare(docs, "__row"), spare(docs, "__digest")
-    stored = materialise(
-        docs.withColumns({row: F.monotonically_increasing_id(), digest: F.sha2(text_or_empty(text), 256)})
+    rows = materialise(
+        docs.select(
+            F.col(f"`{id_column}`").alias("id"),
+            F.sha2(text_or_empty(text), 256).alias("digest"),
+            row_key(id_column, text).alias("key"),
+            F.monotonically_increasing_id().alias("row"),
+        )
     )
-    narrow = stored.select(F.col(f"`{id_column}`").alias("id"), F.col(digest).alias("digest"), F.col(row).alias("row"))
-    lost = keepers(narrow, "digest", "id", "row", heavy).where(~F.col("kept")).select(F.col("row").alias(row))
-    return stored.join(lost, row, "left_anti").drop(row, digest)
+    return surviving(docs, keepers(rows, "digest", "id", "row", heavy), id_column, text)

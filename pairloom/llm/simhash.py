@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pairloom.llm.common import encoded, map_arrow, spare
+from pairloom.llm.common import encoded, map_arrow, row_key, spare, surviving
 from pairloom.llm.components import components
 from pairloom.session import materialise
 
@@ -96,9 +96,8 @@ def near_groups(prints: DataFrame, id_column: str, radius: int = 2) -> DataFrame
     roots = components(links(prints, radius))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named)
-    joined = named.where("root <> fp").select("root").distinct()
-    grouped = named.join(joined, "root").groupBy("root").agg(F.min("least").alias("component"))
-    return named.join(grouped, "root", "left").select("fp", F.coalesce("component", "least").alias("component"))
+    grouped = named.groupBy("root").agg(F.min("least").alias("component"))
+    return named.join(grouped, "root").select("fp", "component")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
@@ -122,11 +121,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
     """One row of docs of each group stays: that with the smallest id (null ids last), the first stored of repeated ones."""
-    row, fp = spare(docs, "__row"), spare(docs, "__fp")
-    stored = materialise(with_fingerprint(docs, text, words, fp).withColumn(row, F.monotonically_increasing_id()))
-    prints = stored.select(F.col(f"`{id_column}`").alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    keyed = docs.select(
+        F.col(f"`{id_column}`").alias("id"), row_key(id_column, text).alias("key"), F.col(f"`{text}`").alias("__text")
+    )
+    prints = with_fingerprint(keyed, "__text", words).drop("__text").withColumn("row", F.monotonically_increasing_id())
     # Rows stand in for documents: their order is that of the ids, then of the rows.
-    ranked = prints.select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "row").alias("place"))
-    groups = near_groups(materialise(ranked), "place", radius)
-    stays = groups.select("component.row").distinct().withColumnRenamed("row", row)
-    return stored.join(stays, row, "left_semi").drop(row, fp)
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    ranked = materialise(prints.select("key", "fp", "row", place.alias("place")))
+    stays = near_groups(ranked, "place", radius).select(F.col("component.row").alias("row"), F.lit(True).alias("stays")).distinct()
+    verdicts = ranked.join(stays, "row", "left").select("key", F.coalesce("stays", F.lit(False)).alias("kept"))
+    return surviving(docs, verdicts, id_column, text)
