@@ -266,17 +266,19 @@ def _arrays(value: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def blocks(docs: DataFrame, id_column: str, text: str, block_bytes: int) -> DataFrame:
-    """block, ids and byte lengths of its documents, their bytes compressed."""
+def blocks(docs: DataFrame, id_column: str, text: str, block_bytes: int, length: int, gram: int) -> DataFrame:
+    """block, ids and byte lengths of its documents, their bytes compressed, its anchors."""
     narrow = docs.select(F.col(f"`{id_column}`").alias("id"), encoded(text).alias("body"))
-    names = ["block", "ids", "lengths", "body"]
+    names = ["block", "ids", "lengths", "body", "anchors"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, ids, bodies, held = None, [], [], 0
 
         def block() -> pa.RecordBatch:
-            values = [uuid.uuid4().hex, ids, [len(b) for b in bodies], zstandard.compress(b"".join(bodies), 3)]
-            kinds = [pa.string(), pa.list_(kind), pa.list_(pa.int64()), pa.binary()]
+            body, lengths = b"".join(bodies), [len(b) for b in bodies]
+            places, hashes = anchors(np.frombuffer(body, np.uint8), _starts(lengths), length, gram)
+            values = [uuid.uuid4().hex, ids, lengths, zstandard.compress(body, 3), _packed(places.astype("<u4"), hashes)]
+            kinds = [pa.string(), pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=names)
 
         for batch in batches:
@@ -296,19 +298,27 @@ def blocks(docs: DataFrame, id_column: str, text: str, block_bytes: int) -> Data
         T.StructField("ids", T.ArrayType(narrow.schema["id"].dataType)),
         T.StructField("lengths", T.ArrayType(T.LongType())),
         T.StructField("body", T.BinaryType()),
+        T.StructField("anchors", T.BinaryType()),
     ])
     return map_arrow(narrow, run, schema)
 
 
+def _starts(lengths: list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
+
+
 class Block:
     """A block's bytes with its anchors, and what it asks of the shares in each round."""
 
-    def __init__(self, lengths: list[int], body: bytes, shares: int, length: int, gram: int) -> None:
-        self.bytes = zstandard.decompress(body) if body else b""
-        self.data = np.frombuffer(self.bytes, np.uint8)
-        self.starts = np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64)
+    def __init__(self, row: dict, shares: int, length: int, gram: int) -> None:
+        """A row without the body knows its anchors only."""
         self.shares, self.length, self.gram = shares, length, gram
-        self.places, self.hashes = anchors(self.data, self.starts, length, gram)
+        places, self.hashes = _arrays(row["anchors"], "<u4", "<u8")
+        self.places = places.astype(np.int64)
+        if row.get("body"):
+            self.bytes = zstandard.decompress(row["body"])
+            self.data = np.frombuffer(self.bytes, np.uint8)
+            self.starts = _starts(row["lengths"])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes by (share, hash) with their counts; the share of a hash is its remainder."""
@@ -403,16 +413,18 @@ def _share_rows(block: str, parts) -> pa.RecordBatch:
 
 
 QUESTION = "share int, block string, question binary"
-ANSWER = "share int, block string, answer binary"
+ANSWER = "share int, block string, answer binary, hot boolean"
 
 
-def _answers(table: pa.Table, answers: list[bytes]) -> pa.Table:
-    return pa.table({"share": table["share"], "block": table["block"], "answer": pa.array(answers, pa.binary())})
+def _answers(table: pa.Table, answers: list[bytes], hot: list[bool] | None = None) -> pa.Table:
+    """One row per question; `hot` says whether an answer holds a 2."""
+    marks = pa.array(hot or [False] * len(answers), pa.bool_())
+    return pa.table({"share": table["share"], "block": table["block"], "answer": pa.array(answers, pa.binary()), "hot": marks})
 
 
 def _by_block(answers: DataFrame, name: str) -> DataFrame:
     """A block's answers as a list: at most one per share, and together no larger than what the block asked."""
-    return materialise(answers.groupBy("block").agg(F.collect_list(F.struct("share", "answer")).alias(name)))
+    return materialise(answers.groupBy("block").agg(F.collect_list(F.struct("share", "answer")).alias(name), F.max("hot").alias("hot")))
 
 
 def _count(hot: int):
@@ -428,7 +440,8 @@ def _count(hot: int):
         total = np.bincount(group, np.concatenate([c for _, _, c in asked]))
         state = ((total > 1).astype(np.uint8) + (total >= hot))[group].astype(np.uint8)
         ends = np.cumsum([len(a) for a, _, _ in asked])[:-1]
-        return _answers(table, [_packed(x) for x in np.split(state, ends)])
+        parts = np.split(state, ends)
+        return _answers(table, [_packed(x) for x in parts], [bool((x == 2).any()) for x in parts])
 
     return run
 
@@ -496,10 +509,10 @@ def without_repeats(
         raise ValueError(f"gram <= length < {NONE} is needed")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = 4 * partitions
-    stored = bucketed(blocks(docs, id_column, text, block_bytes), "block", partitions)
+    stored = bucketed(blocks(docs, id_column, text, block_bytes, length, gram), "block", partitions)
 
     def opened(row) -> Block:
-        return Block(row["lengths"], row["body"], shares, length, gram)
+        return Block(row, shares, length, gram)
 
     def ask_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -557,20 +570,22 @@ def without_repeats(
             names=[id_column, "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
-    asked = map_arrow(stored.select("block", "lengths", "body"), ask_grams, QUESTION)
+    asked = map_arrow(stored.select("block", "anchors"), ask_grams, QUESTION)
     grams = _by_block(asked.groupBy("share").applyInArrow(_count(hot), ANSWER), "grams")
     known = stored.join(grams, "block", "left")
-    asked = map_arrow(known.select("block", "lengths", "body", "grams"), ask_contexts, QUESTION)
+    # Strings are asked for where a gram is hot only.
+    heated = known.where("hot")
+    asked = map_arrow(known.select("block", "lengths", "body", "anchors", "grams"), ask_contexts, QUESTION)
     contexts = _by_block(asked.groupBy("share").applyInArrow(_merge(length, gram), ANSWER), "contexts")
-    asked = map_arrow(known.select("block", "lengths", "body", "grams"), ask_strings, QUESTION)
+    asked = map_arrow(heated.select("block", "lengths", "body", "anchors", "grams"), ask_strings, QUESTION)
     strings = _by_block(asked.groupBy("share").applyInArrow(_count(2), ANSWER), "strings")
-    everything = known.join(contexts, "block", "left").join(strings, "block", "left")
+    everything = known.drop("hot").join(contexts.drop("hot"), "block", "left").join(strings.drop("hot"), "block", "left")
     schema = T.StructType([
         T.StructField(id_column, docs.schema[id_column].dataType),
         *[T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")],
         T.StructField("kept", T.BinaryType()),
     ])
-    return map_arrow(everything.select("block", "ids", "lengths", "body", "grams", "contexts", "strings"), remove, schema)
+    return map_arrow(everything.select("block", "ids", "lengths", "body", "anchors", "grams", "contexts", "strings"), remove, schema)
 
 
 def _digests(block: Block, kind: np.ndarray):
