@@ -38,7 +38,7 @@ RULES = (
 ROUNDS = 10
 # Of 100; the rest returns to the seeds.
 DAMPING = 85
-# Rank of all seeds together, and the parts in which a host's links share its rank.
+# Rank of all seeds together, and the parts of one unit in which ranks are kept, so that small shares last.
 MASS = 10**12
 PARTS = 1 << 20
 # A host needs this much distrust, and more of it than trust, to be blocked.
@@ -85,29 +85,35 @@ def seeds(judged: DataFrame) -> DataFrame:
     sided = hosts.select("host", F.when(F.col("allow") * 2 > F.col("n"), 0).when(F.col("block") * 2 > F.col("n"), 1).alias("side")).where("side IS NOT NULL")
     sided = materialise(sided)
     sizes = sided.groupBy("side").agg(F.count(F.lit(1)).alias("n"))
-    return sided.join(sizes, "side").select("side", "host", F.expr(f"{MASS} div n").alias("rank"))
+    return sided.join(sizes, "side").select("side", "host", F.expr(f"{MASS * PARTS} div n").alias("rank"))
 
 
 def _shares(edges: DataFrame) -> DataFrame:
-    """side, host, to, share: links as trust follows them, and reversed as distrust does."""
+    """side, host, to, n, all (links of the host): links as trust follows them, and reversed as distrust does."""
     both = edges.select(F.lit(0).alias("side"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(
         edges.select(F.lit(1).alias("side"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     )
     sums = both.groupBy("side", "host").agg(F.sum("n").alias("all"))
-    return both.join(sums, ["side", "host"]).select("side", "host", "to", F.expr(f"n * {PARTS} div all").alias("share"))
+    return both.join(sums, ["side", "host"]).select("side", "host", "to", "n", "all")
+
+
+def _part(rank: str, n: str, of: str) -> Column:
+    """rank * n / of, rounded down; the product has up to 38 digits."""
+    long = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
+    return F.expr(f"{long(rank)} * {long(n)} div {long(of)}")
 
 
 def propagate(start: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """side, host, rank after some rounds of personalised PageRank from the seeds."""
     shares = materialise(_shares(edges))
-    base = materialise(start.select("side", "host", F.expr(f"rank * {100 - DAMPING} div 100").alias("rank")))
+    base = materialise(start.select("side", "host", _part("rank", str(100 - DAMPING), "100").alias("rank")))
     ranks = start
     for _ in range(rounds):
         moved = (
             ranks.join(shares, ["side", "host"])
             .groupBy("side", F.col("to").alias("host"))
-            .agg(F.sum(F.expr(f"rank * share div {PARTS}")).alias("rank"))
-            .select("side", "host", F.expr(f"rank * {DAMPING} div 100").alias("rank"))
+            .agg(F.sum(_part("rank", "n", "all")).alias("rank"))
+            .select("side", "host", _part("rank", str(DAMPING), "100").alias("rank"))
         )
         ranks = materialise(base.unionByName(moved).groupBy("side", "host").agg(F.sum("rank").alias("rank")))
     return ranks
@@ -117,7 +123,7 @@ def host_verdicts(ranks: DataFrame) -> DataFrame:
     """host, standing: block where distrust prevails."""
     of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("rank"))), F.lit(0))
     sides = ranks.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
-    bad = (F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") > F.col("trust"))
+    bad = (F.col("distrust") >= LEAST_DISTRUST * PARTS) & (F.col("distrust") > F.col("trust"))
     return sides.select("host", F.when(bad, "block").otherwise("allow").alias("standing"))
 
 
