@@ -261,7 +261,7 @@ def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """tokens with the bytes of their ids, joined with the table of the tokens' bytes; an unknown id is an error."""
+    """tokens with the bytes of their ids, which each task looks up in the rank file; an unknown id is an error."""
     schema = T.StructType([*tokens.schema.fields, T.StructField(into, T.BinaryType())])
     place = tokens.columns.index(ids)
 
