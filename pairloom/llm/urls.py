@@ -41,7 +41,8 @@ DAMPING = 85
 # Rank of all seeds together, and the parts of one unit in which ranks are kept, so that small shares last.
 MASS = 10**12
 PARTS = 1 << 20
-# A host needs this much distrust, and more of it than trust, to be blocked.
+# A host needs this much distrust, and more of it than trust, to be blocked; with n blocked seeds, each of which
+# starts with MASS / n, an n-th of it.
 LEAST_DISTRUST = MASS // 10**6
 
 
@@ -119,11 +120,12 @@ def propagate(start: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataF
     return ranks
 
 
-def host_verdicts(ranks: DataFrame) -> DataFrame:
-    """host, standing: block where distrust prevails."""
+def host_verdicts(ranks: DataFrame, start: DataFrame) -> DataFrame:
+    """host, standing: block where distrust prevails and is at least a fixed share of what a blocked seed starts with."""
     of = lambda side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("rank"))), F.lit(0))
     sides = ranks.groupBy("host").agg(of(0).alias("trust"), of(1).alias("distrust"))
-    bad = (F.col("distrust") >= LEAST_DISTRUST * PARTS) & (F.col("distrust") > F.col("trust"))
+    seed = start.where("side = 1").agg(F.max("rank")).scalar()
+    bad = (F.col("distrust") >= seed / F.lit(MASS // LEAST_DISTRUST)) & (F.col("distrust") > F.col("trust"))
     return sides.select("host", F.when(bad, "block").otherwise("allow").alias("standing"))
 
 
@@ -137,7 +139,8 @@ def filtered(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, rounds: int =
     """
     host, path = host_and_path(F.col("url"))
     judged = materialise(pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("hit", matched(rules)))
-    standing = materialise(host_verdicts(propagate(materialise(seeds(judged)), materialise(host_edges(pages)), rounds)))
+    start = materialise(seeds(judged))
+    standing = materialise(host_verdicts(propagate(start, materialise(host_edges(pages)), rounds), start))
     return judged.join(standing, "host", "left").select(
         "page_id",
         "host",

@@ -15,3 +15,24 @@ def test_a_host_of_many_links_passes_rank_to_each(spark):
     small, large = mass // 3_000_001 * 85 // 100, mass * 3_000_000 // 3_000_001 * 85 // 100
     assert abs(got[0, "one"] - small) < 2 and abs(got[1, "two"] - small) < 2 and small > 0
     assert abs(got[0, "rest"] - large) < 2 and abs(got[1, "more"] - large) < 2 and got[0, "hub"] == got[1, "hub"] == mass * 15 // 100
+
+
+def test_verdicts_of_a_copied_graph_are_those_of_one(spark):
+    """A blocked host with 200 linking hosts, one of which an allowed host links to."""
+
+    def pages(copy):
+        yield f"http://bad{copy}.com/de/", ""
+        yield f"http://good{copy}.com/fr/", f'<a href="http://h0.c{copy}.net">'
+        for i in range(200):
+            yield f"http://h{i}.c{copy}.net/", f'<a href="http://bad{copy}.com/">'
+        yield f"http://far.c{copy}.net/", f'<a href="http://h1.c{copy}.net/">'
+
+    def verdicts(copies):
+        rows = [(n, *p) for n, p in enumerate(p for c in range(copies) for p in pages(c))]
+        got = urls.filtered(spark.createDataFrame(rows, "page_id bigint, url string, html string"), rounds=3).collect()
+        return {r.host: r.verdict for r in got}
+
+    one, many = verdicts(1), verdicts(1000)
+    assert one["h1.c0.net"] == one["far.c0.net"] == "block" and one["h0.c0.net"] == "allow"
+    assert all(many[h.replace("c0.", f"c{c}.").replace("d0.", f"d{c}.")] == v for c in (0, 1, 999) for h, v in one.items())
+    assert sum(v == "block" for v in many.values()) == 1000 * sum(v == "block" for v in one.values())
