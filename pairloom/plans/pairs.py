@@ -653,11 +653,11 @@ CTES["two_shard_left"] = """
               0::BIGINT AS n_support FROM two_shard_left WHERE split = 'train'""",
 )
 def j3_two_shards(spark, sf):
-    from pyspark.sql import Window
+    from pairloom.operators.ranking import position_by_ordinal
 
     rows, pool = D.base(spark, sf)
-    n = F.row_number().over(Window.partitionBy("split", "user_id").orderBy("source_embedding_row_idx")) - 1
-    again = rows.filter(F.col("split") == "train").withColumn("n", n).withColumns({
+    numbered = position_by_ordinal(rows.filter(F.col("split") == "train"), ["split", "user_id"], "source_embedding_row_idx", "n")
+    again = numbered.withColumns({
         "shard_id": (F.col("n") % 2).cast("bigint"),
         "source_embedding_row_idx": F.floor(F.col("n") / 2).cast("bigint"),
     })
