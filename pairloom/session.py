@@ -55,16 +55,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _MADE[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes all tables and files this process has put below the shared folder; returns how many paths there were.
+def made() -> int:
+    """How many paths have been handed out and not been released; a mark for release()."""
+    return len(_MADE)
 
-    To be called when a run's results are written: DataFrames that still read
-    such a table fail afterwards.
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Deletes the tables and files this process has put below the shared folder; returns how many paths there were.
+
+    Only those handed out after the mark `since` go, and none that `keep` reads.
+    To be called when results are written: other DataFrames that still read such
+    a table fail afterwards.
     """
+    read = [] if keep is None else keep.inputFiles()
+    held = [p for p in _MADE[since:] if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]
     gone = 0
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for name in _MADE[since:]:
+        if name not in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE[since:] = held
     return gone
 
 
