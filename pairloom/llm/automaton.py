@@ -15,6 +15,8 @@ import numpy as np
 
 # Never part of UTF-8, so it can stand between texts and reset the scan.
 GAP = 0xFF
+# So few lanes are corrected one by one.
+FEW = 8
 
 
 def _set_of(items, folded: bool) -> frozenset[int]:
@@ -150,6 +152,16 @@ class Automaton:
                 found = at
         return found
 
+    def first_accept(self, data: bytes, start: int) -> int:
+        """The first place, reading on from start, at which an unanchored automaton accepts; -1 if it never does."""
+        state = 0
+        table, classes, accept = self.table.tolist(), self.classes.tolist(), self.accept.tolist()
+        for at in range(start, len(data)):
+            state = table[state][classes[data[at]]]
+            if accept[state]:
+                return at + 1
+        return -1
+
 
 def compile_rules(patterns: list[str], anchored: bool = False, mirrored: bool = False) -> Automaton:
     """One minimal automaton for all patterns; unanchored, it accepts at each end of each match."""
@@ -230,12 +242,25 @@ def scan(machine: Automaton, data: np.ndarray, lanes: int = 2048) -> tuple[np.nd
         state = flat[state + read[t]]
         states[t] = state
     assumed = np.zeros(lanes, np.int32)
+    plain: list[int] = []
     while True:
         true = np.concatenate([[0], states[-1, :-1]]).astype(np.int32)
         wrong = np.flatnonzero(true != assumed)
         if not len(wrong):
             break
         assumed, state = true, true[wrong]
+        if len(wrong) <= FEW:
+            # A long match corrects lane after lane; plain steps are faster there than gathers of a few values.
+            plain = plain or flat.tolist()
+            for lane, at in zip(wrong.tolist(), state.tolist()):
+                before, now = states[:, lane].tolist(), []
+                for symbol, old in zip(read[:, lane].tolist(), before):
+                    at = plain[at + symbol]
+                    if at == old:
+                        break
+                    now.append(at)
+                states[: len(now), lane] = now
+            continue
         for t in range(steps):
             state = flat[state + read[t, wrong]]
             differs = state != states[t, wrong]

@@ -54,33 +54,43 @@ def _machines(rules: tuple[Rule, ...]):
     one = automaton.compile_rules([r.pattern for r in rules])
     forth = [automaton.compile_rules([r.pattern], anchored=True) for r in rules]
     back = [automaton.compile_rules([r.pattern], anchored=True, mirrored=True) for r in rules]
-    return one, forth, back, [re.compile(r.pattern.encode()) for r in rules]
+    alone = [automaton.compile_rules([r.pattern]) for r in rules]
+    return one, forth, back, alone, [re.compile(r.pattern.encode()) for r in rules]
 
 
 def find(texts: Sequence[bytes], rules: tuple[Rule, ...] = RULES, machines=None) -> list[list[tuple[int, int, int]]]:
-    """(start, end, rule) in bytes for each text, by start and rule; leftmost and non-overlapping per rule."""
-    one, forth, back, plain = machines or _machines(rules)
+    """(start, end, rule) in bytes for each text, by start and rule; leftmost and non-overlapping per rule.
+
+    Linear: a backward read ends where the match before it ended, and an end
+    whose start lies before that is skipped by one forward read, which goes on
+    behind the match it finds.
+    """
+    one, forth, back, alone, plain = machines or _machines(rules)
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     ends, bits = automaton.scan(one, np.frombuffer(b"\xff".join(texts), np.uint8))
     owner = np.searchsorted(starts, ends - 1, side="right") - 1
     for number, rule in enumerate(rules):
-        own = np.flatnonzero(bits >> number & 1)
-        whose, where = owner[own], ends[own] - starts[owner[own]]
+        own = ends[bits >> number & 1 > 0]
+        whose = owner[bits >> number & 1 > 0]
         i = free = 0
         doc = -1
         while i < len(own):
             if whose[i] != doc:
                 doc, free = int(whose[i]), 0
-            text = texts[doc]
-            start = back[number].last_accept(text, int(where[i]), free, -1)
+            text, base = texts[doc], int(starts[doc])
+            start = back[number].last_accept(text, int(own[i]) - base, free, -1)
+            if start < 0:
+                # What was accepted here starts before `free`: the next end of a match that does not.
+                end = alone[number].first_accept(text, free)
+                start = back[number].last_accept(text, end, free, -1) if end >= 0 else -1
             if start < 0:
-                i += 1
+                i = int(np.searchsorted(own, base + len(text), side="right"))
                 continue
             free = forth[number].last_accept(text, start, len(text), 1)
             if not rule.least or len(plain[number].fullmatch(text, start, free)[rule.group]) >= rule.least:
                 out[doc].append((start, free, number))
-            i = int(np.searchsorted(starts[whose] + where, starts[doc] + free, side="right"))
+            i = int(np.searchsorted(own, base + free, side="right"))
     for spans in out:
         spans.sort(key=lambda s: (s[0], s[2]))
     return out
@@ -100,8 +110,9 @@ SPANS = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").ad
 def with_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
     """docs with an array of (kind, start, end) in code points, by start, then the order of the rules.
 
-    A null or empty text has no spans.  Texts are scanned whole, in pieces of
-    some megabytes; a longer one makes a piece of its own.  No shuffle.
+    A null or empty text has no spans.  Repeated rows each get a row, an empty
+    table gives an empty one.  Texts are scanned whole, in pieces of some
+    megabytes; a longer one makes a piece of its own.  No shuffle.
     """
     raw = spare(docs, "__bytes")
     columns = [F.col(f"`{c}`") for c in docs.columns]
@@ -141,7 +152,11 @@ def digests(spans: DataFrame, base: Sequence[str] = tuple(r.kind for r in BASE))
 
 
 def masked(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret replaced by [kind]; overlapping secrets by the first one's kind.  A null text stays null."""
+    """docs with every secret replaced by [kind]; overlapping secrets by the first one's kind.
+
+    A null text stays null, repeated rows each get a row, an empty table gives
+    an empty one, all other columns stay as they are.
+    """
     raw = spare(docs, "__bytes")
     names = docs.columns
     place = names.index(text)
@@ -167,6 +182,6 @@ def _cut(text: bytes, spans: list[tuple[int, int, int]], kinds: list[str]) -> st
     out, at = [], 0
     for start, end, kind in spans:
         if start >= at:
-            out += [text[at:start], f"[{kind}]".encode()]
+            out += [text[at:start], f"[{kinds[kind]}]".encode()]
         at = max(at, end)
     return b"".join([*out, text[at:]]).decode()

@@ -1,7 +1,9 @@
 """Quality rules, URL filter and secret scan against brute force."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import cases
@@ -204,3 +206,16 @@ def test_secret_columns_and_masking(spark):
     assert shown[900] == "é [assign] [access] [hex]".replace("[assign]", "[assign]'") and shown[901] == "[github]"
     assert hidden.where("text is null").count() == sum(r[1] is None for r in cases.rows())
     assert secrets.with_secrets(cases.empty(spark)).collect() == [] and secrets.masked(cases.empty(spark)).collect() == []
+
+
+def test_scan_is_linear_in_long_texts():
+    """Many matches in one text, a run of megabytes, and ends whose start lies in the match before."""
+    rng = random.Random(5)
+    words = ["token=abcdef ", "secret=", "token: ", "aaaa", "AKIA" + "Z" * 17, "0a" * 13, '"', " ", "xtoken=bcdefg"]
+    for _ in range(200):
+        text = "".join(rng.choice(words) for _ in range(rng.randint(1, 12))).encode()
+        assert secrets.find([text])[0] == sorted(brute(text), key=lambda s: (s[0], s[2])), text
+    began = time.time()
+    assert len(secrets.find([b"token=abcdef " * 160_000])[0]) == 160_000
+    assert secrets.find([b"secret=token: " + b"a" * 2_000_000])[0] == [(14, 2_000_014, 2)]
+    assert time.time() - began < 60
