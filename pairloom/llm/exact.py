@@ -106,7 +106,11 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
-    """The rows of docs that stay, with the columns of docs."""
+    """The rows of docs that stay, with the columns of docs.
+
+    Of equal texts (null: empty) the row with the largest id, null ids last; of
+    repeated rows one.  An empty table gives an empty one.
+    """
     rows = materialise(
         docs.select(
             F.col(f"`{id_column}`").alias("id"),

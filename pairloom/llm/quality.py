@@ -208,7 +208,11 @@ def quality_verdicts(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs that pass, with the columns of docs."""
+    """The rows of docs that pass, with the columns of docs.
+
+    A null text fails; repeated rows are judged alike; an empty table gives an
+    empty one.
+    """
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(f"`{text}`").alias("__text"), "lang", "source"
     )

@@ -38,22 +38,31 @@ def signed(number: int) -> int:
     return number - (1 << BITS) if number >> BITS - 1 else number
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Lower-cased (A-Z) words; a bit is set if it is in over half of the shingles' hashes; no word gives 0."""
+def shingle_hashes(text: bytes, words: int, blank: bool = False) -> np.ndarray:
+    """XXH64 (big-endian) of every run of lower-cased (A-Z) words; a text without a word has none, or that of b"" if `blank`."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.array([xxhash.xxh64_intdigest(b"", 42)] * blank, ">u8")
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     size = min(words, len(found))
     starts = [0, *(ends[: len(found) - size] + 1).tolist()]
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], ">u8")
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], ">u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """Lower-cased (A-Z) words; a bit is set if it is in over half of the shingles' hashes; no word gives 0."""
+    return majority(shingle_hashes(text, words))
+
+
 def with_fingerprint(docs: DataFrame, text: str = "text", words: int = 3, into: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed long."""
     raw = spare(docs, "__bytes")
@@ -120,7 +129,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """One row of docs of each group stays: that with the smallest id (null ids last), the first stored of repeated ones."""
+    """One row of docs of each group stays: that with the smallest id (null ids last), the first stored of repeated ones.
+
+    A null text is empty; texts without a word are one group; an empty table
+    gives an empty one.
+    """
     keyed = docs.select(
         F.col(f"`{id_column}`").alias("id"), row_key(id_column, text).alias("key"), F.col(f"`{text}`").alias("__text")
     )

@@ -1,14 +1,24 @@
-"""Near copies by the share of common shingles: min-hash bands name candidates, exact Jaccard similarity decides.
-
-Texts at a similarity of 0.8 differ in up to a third of a SimHash's bits, more
-than keys of a fingerprint can cover.  Of 24 bands of four minima each they miss
-all with a probability of 0.59^24 (3 in a million), and fewer the more alike
-they are; a passage that many texts share makes no hot band.
-
-Bands of up to SMALL texts are compared in pairs.  In larger ones each text is
-compared with the first texts only; what is left of such a band goes on to the
-next round, with twice as many of the first, until all of it is compared.  So a
-band of near copies costs linear work, and none is cut short.
+"""Near copies by the share of common shingles: fingerprints, then rare shingles name candidates, exact Jaccard decides.
+
+1. SimHash fingerprints of the shingles that covering masks bring within two
+   bits are compared first.  At a similarity of 0.8 fingerprints differ in up to
+   a third of their bits, so this finds the closest copies only.
+2. Min-hash bands tell which texts may have a near copy at all: of 24 bands of
+   four minima a pair at 0.8 shares none with a probability of 0.59^24 (3 in a
+   million).  Only these texts' shingles are looked at further.
+3. Among them the search is exact.  A text's shingles are ordered by how many
+   texts have them, rare ones first.  Similar texts share one of their first
+   shingles, and the places where they do bound how much they can share in all.
+   Passages that many texts have in common come last in that order, and a text
+   with too many shingles of its own meets nobody.
+4. Texts that share a first shingle are compared with one of them, the one with
+   the fewest shingles of its own, which all of a group of copies resemble.
+   What is linked then is one component.  Texts for which the bounds leave a
+   partner in another component go on to the next round with more texts to
+   compare with, until none is left.  No pairs within a group are listed.
+
+All of this is the same at every size: no caps, and no link is lost but by the
+chance of the bands.
 """
 
 from __future__ import annotations
@@ -20,7 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from pairloom.llm.common import encoded, map_arrow, row_key, surviving
+from pairloom.llm import simhash
+from pairloom.llm.common import encoded, map_arrow, row_key, slices, surviving
 from pairloom.llm.components import components
 from pairloom.session import materialise
 
@@ -28,22 +39,17 @@ WORDS = 5
 # Similar: common shingles * 5 >= all shingles of both * 4.
 PART, WHOLE = 4, 5
 BANDS, MINIMA = 24, 4
-SMALL = 32
+RADIUS = 2
+# Texts of a bucket that the others are compared with: one in the first round, then so many times more in each.
+STEP = 8
 _RANDOM = np.random.Generator(np.random.PCG64(7))
 _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIPS = _RANDOM.integers(0, (1 << 64) - 1, BANDS * MINIMA, np.uint64)
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+def distinct_shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Distinct hashes of the runs of lower-cased (A-Z) words; a shorter text is one run, also that without a word."""
-    found = text.lower().split()
-    joined = b" ".join(found)
-    size = min(words, len(found))
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    if not found:
-        return np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
-    starts = [0, *(ends[: len(found) - size] + 1).tolist()]
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())], np.uint64))
+    return np.unique(simhash.shingle_hashes(text, words, blank=True)).astype(np.uint64)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -55,80 +61,149 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def _with_longs(docs: DataFrame, into: str, make) -> DataFrame:
-    """docs, of which __text is the last column, with a list of longs in its place."""
+def _with(docs: DataFrame, make, fields: list[T.StructField], kinds: list[pa.DataType]) -> DataFrame:
+    """docs, of which __text is the last column, with what make(text) returns in its place."""
     names = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = pa.array([make(t.as_py()) for t in batch.column(batch.num_columns - 1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*names, into])
+            for piece in slices(batch, batch.num_columns - 1):
+                made = [make(t) for t in piece.column(piece.num_columns - 1).to_pylist()]
+                columns = zip(*made) if made else [[]] * len(kinds)
+                arrays = [pa.array(list(c), k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *arrays], names=[*names, *(f.name for f in fields)])
 
-    schema = T.StructType([*docs.schema.fields[:-1], T.StructField(into, T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields[:-1], *fields])
     return map_arrow(docs.select(*names, encoded("__text").alias("__text")), run, schema)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _signed(keyed: DataFrame, words: int) -> DataFrame:
+    """keyed with node (digest of the shingle set), fp and bands in place of its text."""
+
+    def make(text: bytes):
+        hashes = simhash.shingle_hashes(text, words, blank=True)
+        own = np.unique(hashes).astype(np.uint64)
+        return xxhash.xxh3_128_digest(own.tobytes()), simhash.signed(simhash.majority(hashes)), bands(own)
+
+    fields = [T.StructField("node", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return _with(keyed, make, fields, [pa.binary(), pa.int64(), pa.list_(pa.int64())])
+
+
+def _sets(named: DataFrame, words: int) -> DataFrame:
+    """named with its shingles (set) in place of its text."""
+    make = lambda t: (distinct_shingles(t, words).view(np.int64),)
+    return _with(named, make, [T.StructField("set", T.ArrayType(T.LongType()))], [pa.list_(pa.int64())])
+
+
+def _by_fingerprint(rows: DataFrame) -> DataFrame:
+    """(u, v): nodes of equal fingerprints as stars, and one node for each link of fingerprints."""
+    prints = materialise(rows.select("fp", "node").distinct())
+    lead = prints.groupBy("fp").agg(F.min("node").alias("lead"))
+    same = prints.join(lead, "fp").where("node <> lead").select(F.col("lead").alias("u"), F.col("node").alias("v"))
+    of = lambda c: lead.select(F.col("fp").alias(f"fp_{c}"), F.col("lead").alias(c))
+    near = simhash.links(prints, RADIUS).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v"))
+    return same.unionByName(near.join(of("u"), "fp_u").join(of("v"), "fp_v").where("u <> v").select("u", "v"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) that are similar."""
-    of = lambda c: sets.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}"))
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}"))
     common = F.size(F.array_intersect("set_u", "set_v"))
     either = F.size("set_u") + F.size("set_v") - common
     return pairs.join(of("u"), "u").join(of("v"), "v").where(common * WHOLE >= either * PART).select("u", "v")
 
 
-def _first(entries: DataFrame, count: int) -> DataFrame:
-    """(band, u): the first texts of each band."""
-    nth = F.row_number().over(Window.partitionBy("band").orderBy("place", "key"))
-    return entries.withColumn("nth", nth).where(F.col("nth") <= count).select("band", F.col("key").alias("u"))
+def _entries(sets: DataFrame) -> DataFrame:
+    """A row (h, node, n, most, own) for each of a node's first shingles that another node may meet there.
+
+    `n` is the size of its set, `most` that of the largest partner for which the
+    shingle's place p allows a common share of 0.8: two sets that have their
+    first common shingle at places p and q share min(n - p, m - q) at most.
+    `own` is the share of shingles that no other node has.
+    """
+    tokens = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("h"))
+    often = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = tokens.join(often, "h").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("list"))
+    single = F.col("n") - F.size("list")
+    first = F.expr(f"n - ({PART} * n + {WHOLE - 1}) div {WHOLE} + 1").cast("int")
+    named = ordered.select("node", "n", single.alias("single"), F.slice("list", F.lit(1), F.greatest(F.lit(0), first - single)).alias("list"))
+    placed = named.select("node", "n", "single", F.posexplode("list").alias("at", "x"))
+    most = F.expr(f"({PART + WHOLE} * (n - single - at)) div {PART} - n")
+    entries = placed.select(F.col("x.h").alias("h"), "node", "n", most.alias("most"), (F.col("single") / F.col("n")).alias("own"))
+    met = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    return entries.join(met, "h", "left_semi")
+
+
+def _open(entries: DataFrame) -> DataFrame:
+    """The entries (with root) for which the bounds leave a partner with another root.
+
+    A bucket's entries are summed up per size: the largest `most`, and the
+    largest one of another root.
+    """
+    best = entries.groupBy("h", "n", "root").agg(F.max("most").alias("most"))
+    top = best.groupBy("h", "n").agg(F.max(F.struct("most", "root")).alias("top"))
+    other = best.join(top, ["h", "n"]).where("root <> top.root").groupBy("h", "n").agg(F.max("most").alias("second"))
+    sizes = top.join(other, ["h", "n"], "left").select(F.col("h").alias("of"), F.col("n").alias("m"), "top", "second")
+    reach = F.when(F.col("root") == F.col("top.root"), F.col("second")).otherwise(F.col("top.most"))
+    meets = (F.col("h") == F.col("of")) & (F.col("m") <= F.col("most")) & (F.col("m") * WHOLE >= F.col("n") * PART) & (reach >= F.col("n"))
+    return entries.join(sizes, meets, "left_semi")
+
+
+def _with_roots(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    joined = entries.join(roots, "node", "left")
+    return joined.select("h", "node", "n", "most", "own", F.coalesce("root", "node").alias("root"))
 
 
-def _removed(entries: DataFrame, sets: DataFrame, small: int) -> DataFrame:
-    """(key): texts that a similar one before them, or a chain of similar ones to it, makes superfluous.
+def groups(rows: DataFrame, texts: DataFrame, words: int = WORDS, step: int = STEP) -> DataFrame:
+    """(node, root) for the nodes that are similar to another, by chains of similar ones; roots are left out.
 
-    `entries` has a row (band, key, place) for each band with several texts.
+    `rows` (stored) has key, node, fp, bands; `texts` has key and __text.
     """
-    gone, first = None, 1
-    places = materialise(entries.select("key", "place").distinct())
+    every = rows.select("node", F.explode("bands").alias("band")).distinct()
+    met = every.groupBy("band").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    pairs = materialise(_by_fingerprint(rows).distinct())
+    candidates = every.join(met, "band", "left_semi").select("node")
+    candidates = candidates.unionByName(pairs.select(F.col("u").alias("node"))).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    # One text stands for all with the same shingles.
+    named = materialise(rows.groupBy("node").agg(F.min("key").alias("key")).join(candidates, "node", "left_semi"))
+    sets = materialise(_sets(named.join(texts, "key").select("node", "__text"), words).dropDuplicates(["node"]))
+
+    links = materialise(_alike(pairs, sets))
+    roots = components(links)
+    entries = materialise(_entries(sets))
+    count = 1
     while True:
-        sizes = materialise(entries.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        few = entries.join(sizes.where(f"n <= {small}"), "band").groupBy("band").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-        each = few.select("keys", F.posexplode("keys").alias("at", "u"))
-        pairs = each.select("u", F.explode(F.slice("keys", F.col("at") + 2, F.size("keys"))).alias("v"))
-        many = entries.join(sizes.where(f"n > {small}").select("band"), "band")
-        starred = many.join(_first(many, first), "band").where("u <> key").select("u", F.col("key").alias("v"))
-        alike = _similar(materialise(pairs.unionByName(starred).distinct()), sets)
-        roots = materialise(components(alike))
-        members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        placed = materialise(members.join(places.withColumnRenamed("key", "node"), "node"))
-        stays = placed.groupBy("root").agg(F.min(F.struct("place", "node"))["node"].alias("node"))
-        lost = materialise(placed.select(F.col("node").alias("key")).join(stays.select(F.col("node").alias("key")), "key", "left_anti"))
-        gone = lost if gone is None else gone.unionByName(lost)
-        open_bands = sizes.where(f"n > {max(small, first)}").select("band")
-        entries = materialise(entries.join(open_bands, "band", "left_semi").join(lost, "key", "left_anti"))
-        if entries.isEmpty():
-            return gone
-        first *= 2
-
-
-def drop_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, small: int = SMALL) -> DataFrame:
+        now = materialise(_open(_with_roots(entries, roots)))
+        if now.isEmpty():
+            return roots
+        nth = F.row_number().over(Window.partitionBy("h").orderBy("own", "node"))
+        chosen = materialise(now.withColumn("nth", nth).where(F.col("nth") <= count).drop("nth"))
+        lead = chosen.select("h", *[F.col(c).alias(f"lead_{c}") for c in ("node", "n", "most", "root")])
+        fits = "root <> lead_root AND n <= lead_most AND lead_n <= most"
+        pairs = now.join(lead, "h").where(fits).select(F.least("node", "lead_node").alias("u"), F.greatest("node", "lead_node").alias("v"))
+        links = _alike(materialise(pairs.distinct()), sets)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+        entries = materialise(now.drop("root").join(chosen.select("h", "node"), ["h", "node"], "left_anti"))
+        count *= step
+
+
+def drop_similar(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = WORDS, step: int = STEP) -> DataFrame:
     """Of each group of similar texts one row of docs stays: that with the smallest id (null ids last), once if repeated.
 
-    Of two rows that stay none is similar to the other (but for the bands'
-    chance).  Groups are chained through similar texts; in a band of more than
-    `small` texts a chain may end at a text that went before, and its next one
-    stays.  A null text is empty.
+    A group is what chains of similar texts connect.  A null text is empty; texts
+    without a word are similar to each other, texts of fewer words than a shingle
+    to those with the same words.  An empty table gives an empty result, other
+    columns stay as they are.
     """
     keyed = docs.select(
         row_key(id_column, text).alias("key"),
         F.struct(F.col(f"`{id_column}`").isNull().alias("none"), F.col(f"`{id_column}`").alias("id")).alias("place"),
         F.col(f"`{text}`").alias("__text"),
     )
-    rows = materialise(_with_longs(keyed, "bands", lambda t: bands(shingles(t, words))))
-    every = rows.select("key", "place", F.explode("bands").alias("band")).distinct()
-    met = every.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    entries = materialise(every.join(met, "band", "left_semi"))
-    named = keyed.select("key", "__text").join(entries.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    sets = materialise(_with_longs(named, "set", lambda t: shingles(t, words).view(np.int64).tolist()))
-    gone = _removed(entries, sets, small)
-    verdicts = rows.select("key").join(gone.withColumn("goes", F.lit(True)), "key", "left").select("key", F.col("goes").isNull().alias("kept"))
+    rows = materialise(_signed(keyed, words))
+    roots = materialise(groups(rows, keyed.select("key", "__text"), words, step))
+    grouped = rows.select("key", "place", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = grouped.groupBy("root").agg(F.min(F.struct("place", "key"))["key"].alias("key"))
+    kept = stays.select("key").distinct().withColumn("stays", F.lit(True))
+    verdicts = rows.select("key").join(kept, "key", "left").select("key", F.col("stays").isNotNull().alias("kept"))
     return surviving(docs, verdicts, id_column, text)
