@@ -7,10 +7,12 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 # The folder taken where a local session names none; it goes when the process ends.
 _LOCAL: list[str] = []
 # Paths below the shared folder that this process has handed out.
@@ -88,3 +90,17 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets local workers import this package; on a cluster it is installed or sent by --py-files."""
+    settings = spark.sparkContext.environment
+    paths = settings.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        settings["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow, with this package importable by the workers."""
+    importable(df.sparkSession)
+    return df.mapInArrow(run, schema)

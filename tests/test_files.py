@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pairloom import session
 from pairloom.operators import latents as L, manifest as M
-from pairloom.sources import json_docs as JD, sinks, tables
+from pairloom.sources import json_docs as JD, json_items as JI, sinks, tables
 
 EMB = T.StructType(
     [
@@ -281,3 +281,55 @@ def test_scratch_tables_are_released(spark, monkeypatch):
     (path,) = session._MADE
     assert kept.count() == 3 and os.path.isdir(path)
     assert session.release(spark) == 1 and not os.path.isdir(path) and session._MADE == []
+
+
+ODD_DOCUMENTS = {
+    "map": {"user_id": {"0": "a", "10": "b\\\"{[,:]}", "9": "é€", "x": None}, "emb": {"0": [[1.5, 2.0], [3.0]], "9": []}, "text": "same", "more": [1, {"a": [2]}]},
+    "lists": {"user_id": ["a", "b", None], "text": ["\\", "\\\\\"", "]"], "caption_0": "c"},
+    "records": [{"user_id": "a", "emb": [[1.0]]}, {"text": "{[\"", "user_id": None}, {}],
+    "single": {"user_id": "a", "text": "t,:"},
+    "empty": {}, "none": [],
+}
+BROKEN_DOCUMENTS = [
+    '{"user_id": {"0": "a"}', '{"user_id": {"0": "a"]}', '{"user_id": {"0": "a",}}', '{"user_id": {"0" "a"}}', '[{"user_id": "a"},]', '[{"user_id": tru}]',
+    '{"user_id": {"0": "a"}} x', '{"user_id": {"0": "a"} x}', '{"user_id": {"0": "a}', '[1, 2]]', '   ', '{"user_id" {"0": "a"}}', '[,]',
+]
+
+
+@pytest.mark.parametrize("size", [5, 64, 1 << 20])
+def test_documents_in_ranges_of_any_size(spark, tmp_path, size):
+    """The same rows wherever a range begins: in a string, an escape, a key, a number or a bracket."""
+    for name, doc in ODD_DOCUMENTS.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=size % 3 or None, ensure_ascii=size == 7), encoding="utf-8")
+    for n, text in enumerate(BROKEN_DOCUMENTS):
+        (tmp_path / f"bad{n}.json").write_text(text)
+    reasons = {os.path.basename(r.file)[:-5]: r.reason for r in JD.document_reasons(spark, str(tmp_path), "columnar", size).collect()}
+    assert reasons == {n: None for n in ODD_DOCUMENTS} | {f"bad{n}": "json" for n in range(len(BROKEN_DOCUMENTS))}
+    got = {}
+    for r in JD.read_columnar_json(spark, str(tmp_path), EMB, range_bytes=size).orderBy("file", "row_idx").collect():
+        got.setdefault(os.path.basename(r.file)[:-5], []).append((r.row_key, r.user_id, r.text, r.emb, r.caption_0))
+    assert got == {
+        "map": [
+            ("0", "a", "same", [[1.5, 2.0], [3.0]], None), ("9", "é€", "same", [], None), ("10", 'b\\"{[,:]}', "same", None, None),
+            ("x", None, "same", None, None),
+        ],
+        "lists": [("0", "a", "\\", None, "c"), ("1", "b", '\\\\"', None, "c"), ("2", None, "]", None, "c")],
+        "records": [("0", "a", None, [[1.0]], None), ("1", None, '{["', None, None), ("2", None, None, None, None)],
+        "single": [("0", "a", "t,:", None, None)], "empty": [("0", None, None, None, None)],
+    }
+
+
+def test_one_document_spans_many_tasks(spark, tmp_path):
+    """A document of eight ranges and more is read by as many tasks, none of which holds more than a range and a row."""
+    count = 20_000
+    doc = {"user_id": {str(i): f"u{i}" for i in range(count)}, "emb": {str(i): [[float(i), 0.5]] * 3 for i in range(count)}, "text": "t"}
+    path = write(tmp_path / "large.json", json.dumps(doc))
+    size = os.path.getsize(path) // 8
+    parts = JI.ranges(spark, [path], size)
+    assert parts.count() >= 8 and parts.rdd.getNumPartitions() >= 8
+    rows = JD.read_columnar_json(spark, path, EMB, range_bytes=size)
+    facts = rows.agg(
+        F.count("user_id"), F.max("row_idx"), F.sum(F.col("emb")[0][0]), F.sum((F.col("row_idx").cast("string") == F.col("row_key")).cast("int")),
+        F.countDistinct("user_id"), F.sum((F.concat(F.lit("u"), "row_key") == F.col("user_id")).cast("int")),
+    ).first()
+    assert tuple(facts) == (count, count - 1, count * (count - 1) / 2, count, count, count)
