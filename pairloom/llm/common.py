@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pairloom.session import map_arrow  # noqa: F401
+
 # White space that ends a word: code points 32 and 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 8 << 20
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow, with this package importable by local workers; on a cluster it is installed or sent by --py-files."""
-    settings = df.sparkSession.sparkContext.environment
-    paths = settings.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        settings["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    return df.mapInArrow(run, schema)
 
 
 def text_or_empty(name: str = "text") -> Column:
