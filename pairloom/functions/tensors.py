@@ -47,6 +47,26 @@ def population_std(values: Column, centre: Column) -> Column:
     )
 
 
+def moments(values: Column) -> Column:
+    """Mergeable state (n, mean, m2, rest) of an array; no values give (0, null, 0, 0).
+
+    m2 and rest are the sums of squared and of plain distances from `mean`; rest
+    is what rounding the mean leaves.
+    """
+
+    def around(v: Column) -> Column:
+        return let(
+            mean(v),
+            lambda m: F.struct(
+                F.size(v).cast("bigint").alias("n"), m.alias("mean"), total(v, lambda x: (x - m) * (x - m)).alias("m2"), total(v, lambda x: x - m).alias("rest")
+            ),
+        )
+
+    return let(values, lambda v: F.when(F.size(v) > 0, around(v)).otherwise(
+        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("m2"), F.lit(0.0).alias("rest"))
+    ))
+
+
 def finite_only(values: Column) -> Column:
     return F.filter(doubles(values), is_finite)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import tensors as X
+from pairloom.functions.keys import null_safe_join
 from pairloom.functions.tensors import let
 from pairloom.session import materialise
 
@@ -49,32 +50,68 @@ def with_full_stats(df: DataFrame, values: str = "vals") -> DataFrame:
     return rows.select(*df.columns, "__s.*")
 
 
+def merge_moments(states: DataFrame, keys: Sequence[str] = (), state: str = "m") -> DataFrame:
+    """keys, n, mean, m2, rest: the states of each group merged into one (see tensors.moments).
+
+    Means are merged first; then each state moves its sums to the merged mean,
+    so nothing large is subtracted from something as large.  The result may be
+    merged again.  `states` should be stored: it is read twice.  Null keys are
+    keys.
+    """
+    keys = list(keys)
+    part = states.select(*keys, f"{state}.*")
+    weight = F.sum("n")
+    means = part.groupBy(*keys).agg(weight.alias("__n"), (F.sum(F.col("mean") * F.col("n")) / F.nullif(weight, F.lit(0))).alias("__mean"))
+    joined = null_safe_join(part, means, keys) if keys else part.withColumns({c: means.select(c).scalar() for c in ("__n", "__mean")})
+    apart = F.coalesce(F.col("mean") - F.col("__mean"), F.lit(0.0))
+    out = joined.groupBy(*keys).agg(
+        F.max("__n").alias("n"), F.max("__mean").alias("mean"),
+        F.sum(F.col("m2") + 2 * apart * F.col("rest") + F.col("n") * apart * apart).alias("m2"),
+        F.sum(F.col("rest") + F.col("n") * apart).alias("rest"),
+    )
+    return out if keys else out.where("n IS NOT NULL")
+
+
+def merged_mean() -> Column:
+    """Mean of a merged state; null without values."""
+    return F.col("mean") + F.col("rest") / F.nullif(F.col("n"), F.lit(0))
+
+
+def merged_std() -> Column:
+    """Population std of a merged state; null without values."""
+    n = F.nullif(F.col("n"), F.lit(0))
+    return F.sqrt(F.greatest(F.col("m2") - F.col("rest") * F.col("rest") / n, F.lit(0.0)) / n)
+
+
 def group_stats(df: DataFrame, keys: Sequence[str] = (), values: str = "vals") -> DataFrame:
     """Statistics of all tensors of a group together, over their finite values, with counts of the others.
 
-    Each tensor becomes a few numbers before any shuffle.
+    Each tensor becomes a few numbers before any shuffle; mean and spread are
+    merged as moments, so values far from zero lose no digits.
     """
+    keys = list(keys)
     part = X.doubles(F.col(values))
     finite = F.filter(part, X.is_finite)
-    rows = df.select(
+    rows = materialise(df.select(
         *keys,
         F.size(part).cast("bigint").alias("total"),
         F.size(F.filter(part, F.isnan)).cast("bigint").alias("nan"),
         let(finite, lambda x: F.struct(
-            F.size(x).cast("bigint").alias("n"), X.total(x).alias("s"), X.total(x, lambda v: v * v).alias("q"), X.total(x, F.abs).alias("a"),
+            X.moments(x).alias("m"), X.total(x, lambda v: v * v).alias("q"), X.total(x, F.abs).alias("a"),
             F.array_min(x).alias("lo"), F.array_max(x).alias("hi"),
         )).alias("f"),
-    )
+    ))
     sums = rows.groupBy(*keys).agg(
-        F.sum("total").alias("total_count"), F.sum("nan").alias("nan_count"), F.sum("f.n").alias("n"), F.sum("f.s").alias("s"),
-        F.sum("f.q").alias("q"), F.sum("f.a").alias("a"), F.min("f.lo").alias("min_value"), F.max("f.hi").alias("max_value"),
+        F.sum("total").alias("total_count"), F.sum("nan").alias("nan_count"), F.sum("f.q").alias("q"), F.sum("f.a").alias("a"),
+        F.min("f.lo").alias("min_value"), F.max("f.hi").alias("max_value"),
     )
+    merged = merge_moments(rows.select(*keys, "f.m"), keys)
+    both = null_safe_join(sums, merged, keys) if keys else sums.withColumns({c: merged.select(c).scalar() for c in ("n", "mean", "m2", "rest")})
     n = F.nullif(F.col("n"), F.lit(0))
-    mean = F.col("s") / n
-    return sums.select(
+    return both.select(
         *keys, "total_count", "nan_count", (F.col("total_count") - F.col("nan_count") - F.col("n")).alias("inf_count"),
-        F.col("n").alias("finite_count"), "min_value", "max_value", mean.alias("mean_value"),
-        F.sqrt(F.greatest(F.col("q") / n - mean * mean, F.lit(0.0))).alias("std_value"), (F.col("a") / n).alias("mean_abs"), F.sqrt("q").alias("l2_norm"),
+        F.col("n").alias("finite_count"), "min_value", "max_value", merged_mean().alias("mean_value"),
+        merged_std().alias("std_value"), (F.col("a") / n).alias("mean_abs"), F.sqrt("q").alias("l2_norm"),
     )
 
 
@@ -93,7 +130,10 @@ def flat_values(df: DataFrame, keys: Sequence[str], values: str = "vals") -> Dat
 def running_stats(df: DataFrame, keys: Sequence[str] = (), values: str = "vals") -> DataFrame:
     """Mergeable statistics: counts and sums per tensor, folded over the group.
 
-    Each tensor becomes five numbers before any shuffle.
+    Each tensor becomes five numbers before any shuffle.  The variance is that
+    of the sums, q / n - mean^2, as the format of the running numbers has it: it
+    loses as many digits as the mean's square is larger than the variance.
+    `group_stats` has no such loss.
     """
     part = F.col(values)
     rows = df.select(
@@ -186,26 +226,35 @@ def with_quantiles(df: DataFrame, values: str = "vals", points: Mapping[str, flo
     return df.withColumn("__q", found).select(*df.columns, "__q.*")
 
 
+def _part_summary(rows: DataFrame, keys: Sequence[str], parts: Column, name: str, prefix: str) -> DataFrame:
+    """Mean and std over the states that `parts` (an array) has at each place."""
+    states = materialise(rows.select(*keys, F.posexplode(parts).alias("__at", "m")).withColumn(name, F.col("__at").cast("bigint")).drop("__at"))
+    merged = merge_moments(states, [*keys, name])
+    return merged.select(*keys, name, merged_mean().alias(f"{prefix}_mean"), merged_std().alias(f"{prefix}_std"))
+
+
 def channel_summary(df: DataFrame, keys: Sequence[str] = (), values: str = "vals", shape: str = "shape") -> DataFrame:
-    """Mean and std of every channel over samples and space; non-finite counts as 0."""
+    """Mean and std of every channel over samples and space; non-finite counts as 0.
+
+    A tensor gives one state per channel, whatever its size.
+    """
     size = F.element_at(shape, 2) * F.element_at(shape, 3)
-    rows = df.select(*keys, size.alias("__hw"), F.posexplode(X.zero_bad(F.col(values))).alias("pos", "v"))
-    return (
-        rows.withColumn("channel", F.floor(F.col("pos") / F.col("__hw")).cast("bigint"))
-        .groupBy(*keys, "channel")
-        .agg(F.avg("v").alias("channel_mean"), F.stddev_pop("v").alias("channel_std"))
-    )
+    rows = df.where((F.size(values) > 0) & (size > 0)).select(*keys, size.cast("int").alias("__hw"), X.zero_bad(F.col(values)).alias("__v"))
+    starts = F.sequence(F.lit(1), F.size("__v"), F.col("__hw"))
+    states = F.transform(starts, lambda at: X.moments(F.slice("__v", at, F.col("__hw"))))
+    return _part_summary(rows, keys, states, "channel", "channel")
 
 
 def spatial_summary(df: DataFrame, keys: Sequence[str] = (), values: str = "vals", shape: str = "shape") -> DataFrame:
-    """Mean and std of every spatial position over samples and channels; non-finite counts as 0."""
+    """Mean and std of every spatial position over samples and channels; non-finite counts as 0.
+
+    A tensor gives one state per position, whatever its number of channels.
+    """
     size = F.element_at(shape, 2) * F.element_at(shape, 3)
-    rows = df.select(*keys, size.alias("__hw"), F.posexplode(X.zero_bad(F.col(values))).alias("pos", "v"))
-    return (
-        rows.withColumn("position", (F.col("pos") % F.col("__hw")).cast("bigint"))
-        .groupBy(*keys, "position")
-        .agg(F.avg("v").alias("spatial_mean"), F.stddev_pop("v").alias("spatial_std"))
-    )
+    rows = df.where((F.size(values) > 0) & (size > 0)).select(*keys, size.cast("int").alias("__hw"), X.zero_bad(F.col(values)).alias("__v"))
+    places = F.sequence(F.lit(0), F.least(F.col("__hw"), F.size("__v")) - 1)
+    column = lambda p: F.transform(F.sequence(p, F.size("__v") - 1, F.col("__hw")), lambda i: F.get("__v", i))
+    return _part_summary(rows, keys, F.transform(places, lambda p: X.moments(column(p))), "position", "spatial")
 
 
 def summary_of(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

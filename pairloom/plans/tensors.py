@@ -605,6 +605,17 @@ def a18_group(spark, sf):
     return out.select(*exact, *rounded("mean_value", "std_value", "mean_abs", "l2_norm"))
 
 
+@query(
+    "a18_shifted_stats",
+    f"""SELECT label, count(*) AS finite_count, {_r('avg(v)', 'mean_value')}, {_r('stddev_pop(v)', 'std_value')}
+        FROM (SELECT label, unnest(embedding)::DOUBLE + 100000 * (1 + label) AS v FROM embeddings) GROUP BY label""",
+)
+def a18_shifted(spark, sf):
+    shift = F.lit(100000.0) * (1 + F.col("label"))
+    rows = D.table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double") + shift).alias("vals"))
+    return Q.group_stats(rows, ["label"]).select("label", "finite_count", *rounded("mean_value", "std_value"))
+
+
 @query(
     "p33_profile_messages",
     """SELECT row_idx, 6::BIGINT AS n_parts, true AS valid, concat('likes ', caption) AS description,

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import types as T
 
 from pairloom.functions import keys as K
 from pairloom.functions import tensors as X
-from pairloom.operators import assign, context, judging as J, latents as L, pool as P, samples as S
+from pairloom.operators import assign, context, distribution as Q, judging as J, latents as L, pool as P, samples as S
 from pairloom.sources.tables import natural_sort_key
 
 
@@ -192,3 +193,33 @@ def test_manual_prompts_win(spark, rows):
     assert rows(got, "prompt_index", "prompt", "source") == [
         (0, "b", "manual"), (1, "a", "manual"), (2, "d", "default_extra"), (3, "x", "extra"),
     ]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e8])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_moments_merge_without_loss(spark, shift, parts):
+    """Group, channel and position statistics equal numpy's however far the values are from zero."""
+    rng = np.random.default_rng(3)
+    tensors = [(("a", "b", None)[i % 3], (rng.standard_normal(2 * 3 * 4) + shift).tolist(), [2, 3, 4]) for i in range(50)]
+    tensors += [("a", [], [1, 0, 0]), ("b", None, None), ("none", [float("nan"), float("inf")], [1, 1, 2])]
+    df = spark.createDataFrame(tensors, "k string, vals array<double>, shape array<int>").repartition(parts)
+    of = lambda k: np.array([v for key, v, _ in tensors if key == k and v and np.isfinite(v).all()])
+    close = lambda a, b: abs(a - b) <= 1e-9 * max(abs(b), 1e-300)
+    std = lambda v: (v - shift).std()  # the difference is exact
+    got = {r.k: r for r in Q.group_stats(df, ["k"]).collect()}
+    for k in ("a", "b", None):
+        assert close(got[k].std_value, std(of(k))) and close(got[k].mean_value, of(k).mean()) and got[k].finite_count == of(k).size
+    assert got["none"].std_value is None and got["none"].finite_count == 0 and got["none"].inf_count == 1
+    whole = np.concatenate([of(k) for k in ("a", "b", None)])
+    one = Q.group_stats(df).first()
+    assert close(one.std_value, std(whole)) and one.finite_count == whole.size
+    shaped = whole.reshape(-1, 2, 12)
+    finite = df.where("k IS NULL OR k <> 'none'")
+    for r in Q.channel_summary(finite).collect():
+        assert close(r.channel_std, std(shaped[:, r.channel])) and close(r.channel_mean, shaped[:, r.channel].mean())
+    for r in Q.spatial_summary(finite).collect():
+        assert close(r.spatial_std, std(shaped[:, :, r.position]))
+    # States merge again, in any grouping.
+    states = df.select("k", X.moments(X.finite_only(F.col("vals"))).alias("m"))
+    twice = Q.merge_moments(Q.merge_moments(states, ["k"]).select(F.struct("n", "mean", "m2", "rest").alias("m"))).select("n", Q.merged_std().alias("std")).first()
+    assert twice.n == whole.size and close(twice.std, std(whole))
