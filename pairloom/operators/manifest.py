@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -112,6 +114,23 @@ def capped_samples(cells: DataFrame, value: str, n: int, name: str) -> DataFrame
     )
 
 
+def capped_lists(cells: DataFrame, limits: Mapping[str, int]) -> DataFrame:
+    """uid and a list per column: its first values in scan order, each once, as many as its limit says.
+
+    All columns go through one folding aggregate, one ranking that keeps the
+    largest limit's rows on the map side already, and one gathering per uid.
+    """
+    values = [F.when(F.col(c) != "", F.struct(F.lit(i).alias("k"), F.col(c).cast("string").alias("v"))) for i, c in enumerate(limits)]
+    flat = cells.select("uid", "ord", F.explode(F.array_compact(F.array(*values))).alias("x")).select("uid", "ord", "x.k", "x.v")
+    firsts = flat.groupBy("uid", "k", "v").agg(F.min("ord").alias("o"))
+    ranked = firsts.withColumn("rn", F.row_number().over(Window.partitionBy("uid", "k").orderBy("o")))
+    ranked = ranked.filter(F.col("rn") <= max(limits.values()))
+    fits = [(F.col("k") == i) & (F.col("rn") <= n) for i, n in enumerate(limits.values())]
+    gathered = ranked.filter(reduce(or_, fits)).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("k", "rn", "v"))).alias("x"))
+    of = lambda i: F.transform(F.filter("x", lambda s: s["k"] == i), lambda s: s["v"])
+    return gathered.select("uid", *[of(i).alias(c) for i, c in enumerate(limits)])
+
+
 def uid_metadata(
     prefs: DataFrame,
     captions: int = 3,
@@ -123,18 +142,13 @@ def uid_metadata(
     """Full metadata record per image uid."""
     cells = sightings(prefs, include_fields)
     meta = uid_counts(cells, splits, include_fields)
+    names = {"caption": "caption_samples", "partner_uid": "partner_uid_samples", "source_path": "source_paths"}
+    limits = {c: n for c, n in zip(names, (captions, partners, paths)) if n > 0}
+    if limits:
+        lists = capped_lists(cells, limits).withColumnsRenamed({c: names[c] for c in limits})
+        meta = meta.join(lists, "uid", "left")
     empty = F.array().cast("array<string>")
-    for value, n, name in (
-        ("caption", captions, "caption_samples"),
-        ("partner_uid", partners, "partner_uid_samples"),
-        ("source_path", paths, "source_paths"),
-    ):
-        if n > 0:
-            meta = meta.join(capped_samples(cells, value, n, name), "uid", "left")
-            meta = meta.withColumn(name, F.coalesce(F.col(name), empty))
-        else:
-            meta = meta.withColumn(name, empty)
-    return meta
+    return meta.withColumns({n: F.coalesce(F.col(n), empty) if c in limits else empty for c, n in names.items()})
 
 
 def first_paths(cells: DataFrame, path: Column) -> DataFrame:
@@ -154,16 +168,20 @@ def materialise_images(cells: DataFrame, overwrite: bool = False) -> DataFrame:
     The first payload in scan order is kept, or the last one with `overwrite`;
     a uid without payload keeps its first source path.
     """
-    pick = F.max_by if overwrite else F.min_by
+    pick = F.max if overwrite else F.min
     has = F.col("payload").isNotNull()
     grouped = cells.groupBy("uid").agg(
-        pick(F.when(has, F.col("payload")), F.when(has, F.col("ord"))).alias("payload"),
+        pick(F.when(has, F.col("ord"))).alias("__won"),
         F.min_by(
             F.when(F.col("source_path") != "", F.col("source_path")),
             F.when(F.coalesce(F.col("source_path") != "", F.lit(False)), F.col("ord")),
         ).alias("source_path"),
         F.min("ord").alias("first_ord"),
     )
+    # Bytes are fetched for the chosen cell only, no aggregation holds them; cells have an ord of their own.
+    bytes_of = cells.where(has).select(F.col("uid").alias("__uid"), F.col("ord").alias("__ord"), "payload")
+    same = F.col("uid").eqNullSafe(F.col("__uid")) & (F.col("__won") == F.col("__ord"))
+    grouped = grouped.join(bytes_of, same, "left").drop("__uid", "__ord", "__won")
     stem = K.path_stem(F.col("uid"))
     return grouped.select(
         "uid",
@@ -225,7 +243,7 @@ def referenced_uids(assignments: DataFrame, include_support: bool = False, order
     `ord` follows the line (the `order` column), then query before support, then
     pair, then preferred before dispreferred.
     """
-    line = F.col(order) if order else F.lit(0).cast("bigint")
+    line = F.col(order) if order else F.lit(0).cast("bigint")  # without an order only the pairs of one line are told apart
     lists = [("query_pairs", 0)] + ([("support_pairs", 1)] if include_support else [])
 
     def tagged(column: str, rank: int) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import types as T
 
 from pairloom import constants as C
 from pairloom.functions import tensors as X
-from pairloom.operators import distribution as Q, manifest as M
+from pairloom.operators import distribution as Q, latents as L, manifest as M
 from pairloom.plans import derived as D
 from pairloom.plans.registry import CTES, query, rounded
 from pairloom.session import scratch_path
-from pairloom.sources import json_docs as JD, sinks, tables
+from pairloom.sources import file_moves as FM, json_docs as JD, payload_files as PF, sinks, tables
 
 # Documents hold at most this many entries, so one document is never a large group.
 DOCUMENT = 256
@@ -184,12 +184,17 @@ def k8_write(spark, sf):
     return sinks.write_missing(M.sightings(D.derive(spark, sf, "prefs")).select("uid"), path, ["uid"])
 
 
-@query("s9_image_scan", "SELECT split, 1::BIGINT AS n_files FROM prefs GROUP BY split")
+@query("s9_image_scan", "SELECT split, row_idx // 500 AS part, count(*) AS n_rows FROM prefs GROUP BY ALL")
 def s9(spark, sf):
     path = scratch_path(spark, "images")
-    D.derive(spark, sf, "prefs").select("split", "row_idx").repartition("split").write.partitionBy("split").parquet(path)
+    rows = D.derive(spark, sf, "prefs").select("split", F.floor(F.col("row_idx") / 500).cast("bigint").alias("part"), "row_idx")
+    rows.repartition("split", "part").write.partitionBy("split", "part").parquet(path)
     found = tables.scan_images(spark, path, extensions=("parquet",))
-    return found.groupBy(F.regexp_extract("path", "split=([^/]+)", 1).alias("split")).agg(F.count(F.lit(1)).alias("n_files"))
+    named = [F.regexp_extract("path", f"{c}=([^/]+)", 1).alias(c) for c in ("split", "part")]
+    listed = found.select(*named).distinct().withColumn("part", F.col("part").cast("bigint"))
+    # What the folder lists against what the files hold.
+    held = spark.read.parquet(path).groupBy("split", F.col("part").cast("bigint").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return listed.join(held, ["split", "part"], "full").select("split", "part", "n_rows")
 
 
 @query("s12_shard_list", "SELECT split, row_number() OVER (ORDER BY split) - 1 AS place FROM prefs GROUP BY split")
@@ -201,15 +206,16 @@ def s12(spark, sf):
     return listed.join(tables.read_preferences(spark, path).select("split").distinct(), "split")
 
 
-# Forty documents: every fourth is whole, cut off, of another layout, or an object without the list.
+# A document for every fifty events: every fourth is whole, cut off, of another layout, or an object without the list.
 _BROKEN_SQL = """
     SELECT reason, count(*) AS n_documents FROM (
-        SELECT DISTINCT event_id % 40 AS doc, CASE event_id % 4 WHEN 1 THEN 'json' WHEN 2 THEN 'shape' WHEN 3 THEN '{lacks}' ELSE 'ok' END AS reason
+        SELECT DISTINCT event_id // 50 AS doc,
+               CASE (event_id // 50) % 4 WHEN 1 THEN 'json' WHEN 2 THEN 'shape' WHEN 3 THEN '{lacks}' ELSE 'ok' END AS reason
         FROM events) GROUP BY ALL"""
 
 
 def _broken_documents(spark, sf):
-    events = D.table(spark, sf, "events").select((F.col("event_id") % 40).alias("doc"), F.col("event_id").cast("string").alias("id"))
+    events = D.table(spark, sf, "events").select(F.floor(F.col("event_id") / 50).alias("doc"), F.col("event_id").cast("string").alias("id"))
     whole = events.groupBy("doc").agg(F.to_json(F.struct(F.collect_list("id").alias("uids"), F.collect_list("id").alias("samples"))).alias("whole"))
     value = (
         F.when(F.col("doc") % 4 == 1, F.substring("whole", 1, F.length("whole") - 2))
@@ -233,10 +239,10 @@ for _name, _kind, _lacks in (
     _bad_documents(_name, _kind, _lacks)
 
 
-@query("s11_sidecars", "SELECT event_id % 40 AS number, count(*) AS n_events FROM events GROUP BY ALL")
+@query("s11_sidecars", "SELECT event_id // 50 AS number, count(*) AS n_events FROM events GROUP BY ALL")
 def s11(spark, sf):
     path = scratch_path(spark, "sidecars")
-    rows = D.table(spark, sf, "events").groupBy((F.col("event_id") % 40).alias("number")).agg(F.count(F.lit(1)).alias("n_events"))
+    rows = D.table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).alias("number")).agg(F.count(F.lit(1)).alias("n_events"))
     rows.withColumn("doc", F.col("number")).repartition("doc").write.partitionBy("doc").json(path)
     return JD.scan_sidecars(spark, path, "number bigint, n_events bigint").select("number", "n_events")
 
@@ -308,3 +314,61 @@ def p20(spark, sf):
         M.image_cell(rows, "text")[1].alias("text_path"),
         M.image_cell(rows, "listed")[0].cast("string").alias("listed"),
     )
+
+
+def _vector_files(spark, sf, path, extension="bin"):
+    """One small file for each vector, named by a digest of its number; returns what is found there."""
+    rows = D.table(spark, sf, "embeddings").select(F.md5(F.col("vec_id").cast("string")).alias("uid"), F.col("vec_id").cast("string").cast("binary").alias("payload"))
+    PF.write_payloads(rows, path, extension)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+
+@query(
+    "k6_move_files",
+    """SELECT substr(md5(vec_id::VARCHAR), 1, 2) AS folder, md5(vec_id::VARCHAR) || '.bin' AS name, vec_id::VARCHAR AS payload, 'moved' AS status
+       FROM embeddings""",
+)
+def k6_move(spark, sf):
+    path = scratch_path(spark, "flat")
+    journal = scratch_path(spark, "journal")
+    FM.plan_moves(_vector_files(spark, sf, f"{path}/from"), f"file://{path}/to" if path.startswith("/") else f"{path}/to", journal)
+    moved = FM.move_files(spark, journal).select(F.regexp_extract("target", "([^/]*)$", 1).alias("name"), "status")
+    there = PF.read_payloads(spark, f"{path}/to").withColumn("payload", F.col("payload").cast("string")).drop("path")
+    return there.join(moved, "name").select("folder", "name", "payload", "status")
+
+
+@query(
+    "j14_rewrite_sidecars",
+    """SELECT md5(vec_id::VARCHAR) AS uid, CASE WHEN vec_id % 3 = 0 THEN 'own' ELSE 'old' END AS latent,
+              CASE WHEN vec_id % 3 = 0 THEN 'updated' ELSE 'missing_pt' END AS status FROM embeddings""",
+)
+def j14_rewrite(spark, sf):
+    path, journal = scratch_path(spark, "sidecars"), scratch_path(spark, "journal")
+    ids = D.table(spark, sf, "embeddings").select("vec_id", F.md5(F.col("vec_id").cast("string")).alias("uid"))
+    document = F.to_json(F.struct("uid", F.lit("old").alias("latent_path"))).cast("binary")
+    PF.write_payloads(ids.select("uid", document.alias("payload")), path, "json")
+    # Every third latent is there, beside its sidecar.
+    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    own = ids.where("vec_id % 3 = 0").select("uid")
+    beside = stored.join(own, F.regexp_extract("path", r"([^/]*)\.json$", 1) == F.col("uid"), "left_semi")
+    latents = beside.select(F.regexp_replace("path", r"\.json$", ".pt").alias("path"))
+    statuses = L.reconcile_sidecars(JD.scan_sidecars(spark, path, "uid string, latent_path string").select("json_path", "latent_path"), latents)
+    done = FM.rewrite_sidecars(statuses, journal).select("json_path", "status")
+    now = JD.scan_sidecars(spark, path, "uid string, latent_path string")
+    pt = F.regexp_replace("json_path", r"\.json$", ".pt")
+    latent = F.when(F.col("latent_path") == pt, "own").otherwise(F.col("latent_path"))
+    return now.join(done, "json_path").select("uid", latent.alias("latent"), "status")
+
+
+@query(
+    "k7_payload_files",
+    """SELECT substr(uid, 1, 2) AS folder, uid || '.jpg' AS name, payload FROM (
+           SELECT uid, arg_min(concat(caption, CAST(row_idx AS STRING)), (split_rank, row_idx, side)) AS payload
+           FROM sightings WHERE side = 0 AND row_idx % 3 > 0 GROUP BY uid)""",
+)
+def k7_files(spark, sf):
+    from pairloom.plans.pairs import _image_cells
+
+    path = scratch_path(spark, "payloads")
+    PF.write_payloads(M.materialise_images(_image_cells(spark, sf)), path, "jpg")
+    return PF.read_payloads(spark, path).select("folder", "name", F.col("payload").cast("string").alias("payload"))

@@ -635,9 +635,9 @@ def w5_facts(spark, sf):
     return _draw_facts(assign.build_assignments(rows, pool, k=3, on_empty="skip"), rows, assign.distinct_candidates(pool))
 
 
-# Two shards in which every user's row numbers, and so the default ids, start again.
+# Two shards in which the row numbers of every user of a split, and so the ids, start again.
 CTES["two_shards"] = """
-    SELECT * REPLACE (n % 2 AS shard_id, printf('%s_emb_%06d', user_id, n // 2) AS user_embedding_id) FROM (
+    SELECT * REPLACE (n % 2 AS shard_id, printf('%s_%s_emb_%06d', split, user_id, n // 2) AS user_embedding_id) FROM (
         SELECT *, row_number() OVER (PARTITION BY split, user_id ORDER BY source_embedding_row_idx) - 1 AS n FROM embs)"""
 CTES["two_shard_left"] = """
     SELECT t.split, t.user_id, t.n, t.shard_id, t.user_embedding_id, count(*) AS n_after
@@ -650,18 +650,18 @@ CTES["two_shard_left"] = """
 @query(
     "j3_two_shards",
     """SELECT shard_id, user_embedding_id, n_after AS n_left, 1::BIGINT AS n_drawn, 1::BIGINT AS n_distinct, 1::BIGINT AS n_candidates,
-              0::BIGINT AS n_support FROM two_shard_left WHERE split = 'train'""",
+              0::BIGINT AS n_support FROM two_shard_left""",
 )
 def j3_two_shards(spark, sf):
     from pairloom.operators.ranking import position_by_ordinal
 
     rows, pool = D.base(spark, sf)
-    numbered = position_by_ordinal(rows.filter(F.col("split") == "train"), ["split", "user_id"], "source_embedding_row_idx", "n")
+    numbered = position_by_ordinal(rows, ["split", "user_id"], "source_embedding_row_idx", "n")
     again = numbered.withColumns({
         "shard_id": (F.col("n") % 2).cast("bigint"),
         "source_embedding_row_idx": F.floor(F.col("n") / 2).cast("bigint"),
     })
-    again = again.withColumn("user_embedding_id", F.format_string("%s_emb_%06d", "user_id", "source_embedding_row_idx")).drop("n")
+    again = again.withColumn("user_embedding_id", F.format_string("%s_%s_emb_%06d", "split", "user_id", "source_embedding_row_idx")).drop("n")
     return _draw_facts(assign.build_assignments(again, pool, on_empty="skip"), again, assign.distinct_candidates(pool))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from pairloom import session
 from pairloom.operators import latents as L, manifest as M
-from pairloom.sources import json_docs as JD, json_items as JI, sinks, tables
+from pairloom.sources import file_moves as FM, json_docs as JD, json_items as JI, payload_files as PF, sinks, tables
 
 EMB = T.StructType(
     [
@@ -333,3 +333,63 @@ def test_one_document_spans_many_tasks(spark, tmp_path):
         F.countDistinct("user_id"), F.sum((F.concat(F.lit("u"), "row_key") == F.col("user_id")).cast("int")),
     ).first()
     assert tuple(facts) == (count, count - 1, count * (count - 1) / 2, count, count, count)
+
+
+def test_payload_files_appear_with_the_commit_only(spark, tmp_path, rows):
+    path = str(tmp_path / "out")
+    df = spark.createDataFrame([("ab1", b"one"), ("a b", b"two"), ("a_b", b"three"), ("x", b""), (None, b"no"), ("none", None)], "uid string, payload binary")
+    PF.write_payloads(df.repartition(3), path)
+    found = {r.name: (r.folder, bytes(r.payload)) for r in PF.read_payloads(spark, path).collect()}
+    assert len(found) == 3 and found["ab1.bin"] == ("ab", b"one") and found["a_b.bin"] == ("a_", b"three")
+    # Spark's scans leave out empty files; the file is there.
+    assert [f for _, _, names in os.walk(path) for f in names if f == "x.bin"] == ["x.bin"]
+    # A second job adds its files; one that fails leaves nothing, whatever its tasks had written.
+    bad = spark.range(0, 400, 1, 4).select(
+        F.format_string("u%04d", "id").alias("uid"),
+        F.when(F.col("id") < 399, F.lit(b"x")).otherwise(F.raise_error(F.lit("broken row")).cast("binary")).alias("payload"),
+    )
+    with pytest.raises(Exception, match="broken row|WRITE|write"):
+        PF.write_payloads(bad, path)
+    assert PF.read_payloads(spark, path).count() == 3 and [d for d in os.listdir(path) if d.startswith("_staging")] == []
+    PF.write_payloads(spark.createDataFrame([("zz", b"late")], "uid string, payload binary"), path)
+    assert PF.read_payloads(spark, path).count() == 4
+
+
+def test_moves_may_stop_and_start_again(spark, tmp_path, rows):
+    root, journal = tmp_path / "flat", f"{tmp_path}/journal"
+    (root / "deep").mkdir(parents=True)
+    for n in range(30):
+        (root / f"f{n:02}.bin").write_text(str(n))
+    (root / "deep" / "f01.bin").write_text("other")
+    target = tmp_path / "to"
+    (target / "f0").mkdir(parents=True)
+    (target / "f0" / "f05.bin").write_text("there before")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).select("path", "length")
+    FM.plan_moves(files, f"file:{target}", journal)
+    # A run that ended half-way: some files are in place already.
+    for n in range(20, 26):
+        (target / "f2").mkdir(exist_ok=True)
+        os.rename(root / f"f{n}.bin", target / "f2" / f"f{n}.bin")
+    os.remove(root / "f29.bin")
+    for _ in range(2):
+        FM.plan_moves(files, f"file:{target}", journal)
+        status = {r.path.rsplit("flat/", 1)[1]: r.status for r in FM.move_files(spark, journal).collect()}
+        assert len(status) == 31 and status["f05.bin"] == "blocked" and status["f29.bin"] == "lost"
+        assert sorted((status["f01.bin"], status["deep/f01.bin"])) == ["blocked", "moved"]
+        assert {s for f, s in status.items() if f not in ("f05.bin", "f29.bin", "f01.bin", "deep/f01.bin")} == {"moved"}
+        assert (target / "f0" / "f05.bin").read_text() == "there before" and (root / "f05.bin").read_text() == "5"
+        assert all((target / f"f{n // 10}" / f"f{n:02}.bin").read_text() == str(n) for n in range(29) if n not in (1, 5))
+
+
+def test_sidecars_are_rewritten_once(spark, tmp_path, rows):
+    docs = {"a": '{"latent_path": "old", "x": [1, "é"]}', "b": '{"latent_path": "new/b.pt"}', "c": '{"latent_path": "old"}', "d": "{broken"}
+    for name, text in docs.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    at = lambda n: f"file:{tmp_path}/{n}.json"
+    plan = [(at("a"), "old", "new/a.pt"), (at("b"), "new/b.pt", "new/b.pt"), (at("c"), "old", None), (at("d"), None, "new/d.pt")]
+    statuses = spark.createDataFrame(plan, "json_path string, latent_path string, next_latent_path string")
+    for _ in range(2):
+        done = {r.json_path[-6]: r.status for r in FM.rewrite_sidecars(statuses, f"{tmp_path}/journal").collect()}
+        assert done == {"a": "updated", "b": "unchanged", "c": "missing_pt", "d": "broken"}
+        assert json.loads((tmp_path / "a.json").read_text()) == {"latent_path": "new/a.pt", "x": [1, "é"]}
+        assert (tmp_path / "c.json").read_text() == docs["c"] and (tmp_path / "d.json").read_text() == docs["d"]
