@@ -21,7 +21,7 @@ IMAGE_SLOT = "<image>"
 
 
 def parse_answer(text: Column, marker: str = C.ANSWER_MARKER) -> Column:
-    """Integer after the last marker, null if there is none."""
+    """Integer after the last marker, or the whole text as an integer where there is no marker; null if it is none."""
     tail = F.substring_index(text, marker, -1)
     return K.strip(tail).try_cast("int")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pairloom import constants as C
 from pairloom.functions import tensors as X
 from pairloom.operators import classify, inference, judging as J, latents as L, manifest as M, metrics as R
 from pairloom.plans import derived as D
@@ -151,3 +152,27 @@ def x3(spark, sf):
     log = events.select((F.col("event_id") + 1).alias("micro_step"), (F.col("value") / 100).alias("loss"))
     _finish(incremental.metric_rollup(log, 8, ["loss"], f"{base}/out", f"{base}/state"))
     return incremental.latest(spark, f"{base}/out", ["optimizer_step"]).select("optimizer_step", "accumulation_count", *rounded("loss", digits=9))
+
+
+@query(
+    "x2_running_quantiles",
+    """SELECT point, true AS within, (SELECT count(*) FROM raw_cells) AS finite_count
+       FROM (VALUES {points}) t(point)""".format(points=", ".join(f"('{n}')" for n in C.QUANTILES)),
+)
+def x2_quantiles(spark, sf):
+    base = scratch_path(spark, "x2q")
+    stream = _stream(spark, f"{sf}/embeddings.parquet").withColumnRenamed("embedding", "vals")
+    _finish(incremental.running_quantiles(stream, f"{base}/out", f"{base}/state"))
+    found = incremental.latest_quantiles(spark, f"{base}/out")
+    entries = F.array(*[F.struct(F.lit(n).alias("point"), F.lit(float(q)).alias("q"), F.col(n).alias("value")) for n, q in C.QUANTILES.items()])
+    values = found.select("finite_count", F.inline(entries))
+    # The rank of what the sketch says, counted over all values.
+    cells = D.table(spark, sf, "embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("v"))
+    row = values.collect()
+    counts = cells.agg(*[F.count_if(F.col("v") < r.value).alias(f"lo_{r.point}") for r in row], *[F.count_if(F.col("v") <= r.value).alias(f"hi_{r.point}") for r in row])
+    listed = F.array(*[F.struct(F.lit(r.point).alias("name"), F.col(f"lo_{r.point}").alias("lo"), F.col(f"hi_{r.point}").alias("hi")) for r in row])
+    ranks = counts.select(F.inline(listed))
+    slack = incremental.RANK_ERROR * F.col("finite_count")
+    place = F.col("q") * F.col("finite_count")
+    within = (place >= F.col("lo") - slack) & (place <= F.col("hi") + slack)
+    return values.join(ranks, F.col("point") == F.col("name")).select("point", within.alias("within"), "finite_count")

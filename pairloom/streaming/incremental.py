@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pairloom import constants as C
 from pairloom.functions import tensors as X
 from pairloom.operators import assign, distribution
+from pairloom.streaming import levels
 
 
 def _start(stream: DataFrame, write, checkpoint: str, mode: str) -> StreamingQuery:
@@ -21,11 +23,11 @@ def _start(stream: DataFrame, write, checkpoint: str, mode: str) -> StreamingQue
     )
 
 
-def _batch_folder(sink: str):
-    """Writes each micro-batch to its own folder, so that a repeated batch replaces itself."""
+def _updates(sink: str, keys: Sequence[str] = ()):
+    """Adds each micro-batch to a levelled sink, in which a repeated batch counts once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        levels.add(batch, batch_id, sink, levels.newest(keys))
 
     return write
 
@@ -56,7 +58,7 @@ def running_tensor_stats(latents: DataFrame, sink: str, checkpoint: str, values:
         F.min(F.array_min(X.doubles(part))).alias("lo"),
         F.max(F.array_max(X.doubles(part))).alias("hi"),
     )
-    return _start(sums, _batch_folder(sink), checkpoint, "update")
+    return _start(sums, _updates(sink), checkpoint, "update")
 
 
 def metric_rollup(log: DataFrame, every: int, columns: Sequence[str], sink: str, checkpoint: str, step: str = "micro_step") -> StreamingQuery:
@@ -65,15 +67,48 @@ def metric_rollup(log: DataFrame, every: int, columns: Sequence[str], sink: str,
     windows = log.groupBy(number.alias("optimizer_step")).agg(
         F.count(F.lit(1)).alias("accumulation_count"), *[F.avg(c).alias(c) for c in columns]
     )
-    return _start(windows, _batch_folder(sink), checkpoint, "update")
+    return _start(windows, _updates(sink, ["optimizer_step"]), checkpoint, "update")
+
+
+# Rank error of a KLL sketch of 2^12 levels' width is below 0.1 %; merging keeps it.
+SKETCH_K = 4096
+RANK_ERROR = 0.005
+
+
+def _merged_sketches(rows: DataFrame) -> DataFrame:
+    """Sketches and counts of any batches as one row; the order of merging doesn't matter."""
+    return rows.agg(
+        F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"),
+        *[F.sum(c).alias(c) for c in ("finite_count", "nan_count", "inf_count")],
+        F.max(levels.BATCH).alias(levels.BATCH),
+    )
+
+
+def running_quantiles(latents: DataFrame, sink: str, checkpoint: str, values: str = "vals") -> StreamingQuery:
+    """Keeps a quantile sketch of all finite values up as latents arrive; NaN and infinite values are counted apart."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        flat = batch.select(F.explode(X.doubles(F.col(values))).alias("v"))
+        finite = F.when(X.is_finite(F.col("v")), F.col("v") + 0.0)
+        sketch = flat.agg(
+            F.kll_sketch_agg_double(finite, SKETCH_K).alias("sketch"), F.count(finite).alias("finite_count"),
+            F.count_if(F.isnan("v")).alias("nan_count"), F.count_if(F.abs("v") == F.lit(X.INF)).alias("inf_count"),
+        )
+        levels.add(sketch, batch_id, sink, _merged_sketches)
+
+    return _start(latents, write, checkpoint, "append")
+
+
+def latest_quantiles(spark: SparkSession, sink: str, points: Mapping[str, float] = C.QUANTILES) -> DataFrame:
+    """One row: a value for each point whose rank is within RANK_ERROR of it, and the counts."""
+    now = levels.current(spark, sink, _merged_sketches)
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(float(q)))
+    return now.select(*[at(q).alias(name) for name, q in points.items()], "finite_count", "nan_count", "inf_count")
 
 
 def latest(spark: SparkSession, sink: str, keys: Sequence[str] = ()) -> DataFrame:
     """Newest row per key of a sink that received updates."""
-    rows = spark.read.parquet(sink)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
-    return best.select(*keys, *[F.col("r")[c].alias(c) for c in rest])
+    return levels.current(spark, sink, levels.newest(keys))
 
 
 def latest_tensor_stats(spark: SparkSession, sink: str) -> DataFrame:

@@ -1,10 +1,16 @@
 """Model hooks, the classifier and streams."""
 
+import os
+import time
+import uuid
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom import constants as C
 from pairloom.operators import classify, inference
-from pairloom.streaming import incremental
+from pairloom.streaming import incremental, levels
 
 
 def test_judge_records_failures(spark, rows):
@@ -88,3 +94,82 @@ def test_failing_embedding_batches_are_marked(spark):
     df = spark.createDataFrame([("ok",), ("bad",), ("short",)], "prompt string").coalesce(1)
     got = {r.prompt: (r.text, r.error) for r in inference.embed(df, model, batch_size=1).collect()}
     assert got["ok"] == ("ok", None) and got["bad"] == (None, "no answer") and "different number" in got["short"][1]
+
+
+def test_a_sink_of_updates_stays_small(spark, tmp_path):
+    """After many batches a reader opens few folders; a repeated batch counts once, one cut off before its pointer is made up for."""
+    sink, merge, count = f"file:{tmp_path}/sink", levels.newest(["k"]), 40
+    for n in range(count):
+        batch = spark.createDataFrame([(n % 3, n), (100 + n, n)], "k int, v int").coalesce(1)
+        if n in (7, 20):
+            levels.add(batch, n, sink, merge, 3, stop_before_pointer=True)
+            assert {r.k: r.v for r in levels.current(spark, sink, merge).collect()}.get(100 + n) is None
+        levels.add(batch, n, sink, merge, 3)
+        if n in (5, 8, 26):
+            levels.add(spark.createDataFrame([(0, -1)], "k int, v int"), n, sink, merge, 3)
+    got = {r.k: r.v for r in levels.current(spark, sink, merge).collect()}
+    assert got == {100 + n: n for n in range(count)} | {k: max(n for n in range(count) if n % 3 == k) for k in range(3)}
+    folders = levels.live(sink)
+    assert len(folders) <= 2 * 4 + 1 and sum(f["last"] - f["first"] + 1 for f in folders) == count
+    # What was replaced is gone, but for the state before the last pointer.
+    assert len(os.listdir(tmp_path / "sink" / "data")) <= len(folders) + 4
+
+
+def test_sketches_of_batches_merge_in_any_order(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.standard_normal(20_000), rng.exponential(3, 20_000)])
+    parts = np.array_split(rng.permutation(values), 11)
+    for order, sink in ((range(11), "a"), (reversed(range(11)), "b")):
+        for batch_id, n in enumerate(order):
+            flat = spark.createDataFrame([(float(v),) for v in parts[n]], "v double")
+            sketch = flat.agg(
+                F.kll_sketch_agg_double("v", incremental.SKETCH_K).alias("sketch"), F.count("v").alias("finite_count"),
+                F.lit(0).cast("bigint").alias("nan_count"), F.lit(1).cast("bigint").alias("inf_count"),
+            )
+            levels.add(sketch, batch_id, f"file:{tmp_path}/{sink}", incremental._merged_sketches, 4)
+        row = incremental.latest_quantiles(spark, f"file:{tmp_path}/{sink}").first()
+        assert row.finite_count == len(values) and row.inf_count == 11
+        for name, q in C.QUANTILES.items():
+            rank = (values < row[name]).mean()
+            assert abs(rank - q) <= incremental.RANK_ERROR
+
+
+def test_calls_overlap_in_order_with_limits():
+    def slow(n):
+        time.sleep(0.2 if n == 5 else 0.02)
+        if n == 7:
+            raise RuntimeError("always")
+        return n * n
+
+    began = time.time()
+    got = list(inference.overlapped(((n,) for n in range(60)), slow, 20, 2, 5))
+    assert time.time() - began < 0.9 < 60 * 0.02
+    assert got == [(n != 7, n * n if n != 7 else None) for n in range(60)]
+    tries = []
+
+    def flaky(n):
+        tries.append(n)
+        if len(tries) % 3:
+            raise RuntimeError("not yet")
+        return n
+
+    assert list(inference.overlapped([(1,), (2,)], flaky, 1, 3, None)) == [(True, 1), (True, 2)] and len(tries) == 6
+    assert list(inference.overlapped([(5,), (1,)], slow, 1, 1, 0.05))[0] == (False, None)
+
+
+def test_a_second_run_asks_only_what_is_open(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    calls = str(tmp_path / "calls")
+
+    def fn(messages):
+        number = messages[-1]["content"]
+        open(f"{calls}/{number}-{uuid.uuid4().hex}", "w").close()
+        return "Prediction of user preference: 1"
+
+    schema = "k long, messages_first array<struct<role:string,content:string>>, messages_second array<struct<role:string,content:string>>"
+    df = spark.createDataFrame([(i, [("user", str(i))], [("user", str(i))]) for i in range(40)], schema)
+    ask = lambda rows: inference.judge(rows, fn, ["k"], in_flight=4)
+    some = inference.stored_answers(df.where("k < 25"), ask, ["k"], str(tmp_path / "store"), 4)
+    assert some.count() == 25 and len(os.listdir(calls)) == 50
+    every = inference.stored_answers(df, ask, ["k"], str(tmp_path / "store"), 4)
+    assert sorted(r.k for r in every.collect()) == list(range(40)) and len(os.listdir(calls)) == 80
