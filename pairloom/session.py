@@ -57,6 +57,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return _MADE[-1]
 
 
+def scratch_table() -> str:
+    """A fresh name for a table in the session's catalogue; release() drops it."""
+    _MADE.append(f"table:t{uuid.uuid4().hex}")
+    return _MADE[-1].removeprefix("table:")
+
+
 def made() -> int:
     """How many paths have been handed out and not been released; a mark for release()."""
     return len(_MADE)
@@ -73,7 +79,9 @@ def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None)
     held = [p for p in _MADE[since:] if any(f"/{p.rsplit('/', 1)[-1]}/" in f for f in read)]
     gone = 0
     for name in _MADE[since:]:
-        if name not in held:
+        if name.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {name.removeprefix('table:')}")
+        elif name not in held:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _MADE[since:] = held
