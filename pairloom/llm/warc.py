@@ -34,6 +34,8 @@ CHUNK = 1 << 20
 # An archive is closed at the first record beyond either bound.
 ARCHIVE_BYTES = 64 << 20
 ARCHIVE_RECORDS = 100_000
+# Bytes of an archive that one task reads back.
+RUN_BYTES = 16 << 20
 # Pages carry no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 END = b"\r\n\r\n"
@@ -177,7 +179,7 @@ def _folder(df: DataFrame, label: str) -> str:
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes a response record per row into archives of one gzip stream each: path, seq, page_id, digest, size."""
+    """Writes a response record per row into archives of one gzip stream each: path, seq, page_id, digest, sha256, size."""
     folder = folder or _folder(pages, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,24 +189,27 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
             for page_id, url, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 archive = archive or _Archive(folder)
                 seq = archive.add(response(page_id, url, payload))
-                rows.append((archive.uri, seq, page_id, payload_digest(payload), len(payload)))
+                rows.append((archive.uri, seq, page_id, payload_digest(payload), hashlib.sha256(payload).hexdigest(), len(payload)))
                 if archive.full:
                     archive.close()
                     archive = None
-            names = ["path", "seq", "page_id", "digest", "size"]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+            names = ["path", "seq", "page_id", "digest", "sha256", "size"]
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
         if archive:
             archive.close()
 
     narrow = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), encoded("html").alias("payload"))
-    return materialise(map_arrow(narrow, run, "path string, seq bigint, page_id bigint, digest string, size bigint"))
+    return materialise(map_arrow(narrow, run, "path string, seq bigint, page_id bigint, digest string, sha256 string, size bigint"))
 
 
 def revisits(written: DataFrame, least: int = 0) -> DataFrame:
-    """path, seq, keep_id of records whose payload (of at least so many bytes) another record keeps."""
+    """path, seq, keep_id of records whose payload (of at least so many bytes) another record keeps.
+
+    Payloads are equal when both digests are: payloads of one SHA-1 can be made.
+    """
     rows = written.where(F.col("size") >= least).select(
-        "digest", "page_id", F.struct("path", "seq").alias("row")
+        F.concat_ws(":", "digest", "sha256").alias("digest"), "page_id", F.struct("path", "seq").alias("row")
     )
     return keepers(materialise(rows), "digest", "page_id", "row").where(~F.col("kept")).select("row.path", "row.seq", "keep_id")
 
@@ -217,7 +222,9 @@ def normalise(written: DataFrame, again: DataFrame, folder: str | None = None, l
     """
     folder = folder or _folder(written, "members")
     lists = again.groupBy("path").agg(F.collect_list(F.struct("seq", "keep_id")).alias("again"))
-    todo = written.select("path").distinct().join(lists, "path", "left")
+    paths = materialise(written.select("path").distinct())
+    # One archive a task: the number is given, for rows as small as these would else be put together.
+    todo = paths.join(lists, "path", "left").repartition(max(1, paths.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,8 +257,12 @@ def normalise(written: DataFrame, again: DataFrame, folder: str | None = None, l
 def read_records(index: DataFrame) -> DataFrame:
     """Reads each record from its place: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
-    A response whose payload doesn't have its stated digest is an error.
+    A response whose payload doesn't have its stated digest is an error.  Each
+    archive's records are read by a task for every RUN_BYTES.
     """
+    index = index.select("path", "offset", "length", F.floor(F.col("offset") / RUN_BYTES).alias("run"))
+    runs = index.select("path", "run").distinct().count()
+    index = index.repartition(max(1, runs), "path", "run").sortWithinPartitions("path", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, file = None, None
