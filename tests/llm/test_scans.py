@@ -143,7 +143,7 @@ def test_url_verdicts(spark):
     distrust = ranks([(b, a, n) for a, b, n in forth], {h: urls.MASS // len(blocked) for h in blocked}, 6)
     want = Counter()
     for page_id, host, path, rule in judged:
-        bad = distrust.get(host, 0) >= urls.LEAST_DISTRUST and distrust.get(host, 0) > trust.get(host, 0)
+        bad = distrust.get(host, 0) > trust.get(host, 0)
         want[page_id, host, path, rule and rule.text, rule.verdict if rule else "block" if bad else "allow"] += 1
     assert Counter(map(tuple, got)) == want
     standing = {r.host: r.verdict for r in got}

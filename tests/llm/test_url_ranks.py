@@ -1,5 +1,7 @@
 """The URL filter's ranks on large hosts and large crawls."""
 
+from pyspark.sql import functions as F
+
 from pairloom.llm import urls
 
 EDGES = "src string, dst string, n bigint"
@@ -36,3 +38,11 @@ def test_verdicts_of_a_copied_graph_are_those_of_one(spark):
     assert one["h1.c0.net"] == one["far.c0.net"] == "block" and one["h0.c0.net"] == "allow"
     assert all(many[h.replace("c0.", f"c{c}.").replace("d0.", f"d{c}.")] == v for c in (0, 1, 999) for h, v in one.items())
     assert sum(v == "block" for v in many.values()) == 1000 * sum(v == "block" for v in one.values())
+
+
+def test_many_links_to_a_blocked_host_are_all_blocked(spark):
+    """A host is blocked however many others link to the same blocked host (ranks as propagate() returns them)."""
+    edges = spark.range(200_000).select(F.format_string("h%d", "id").alias("src"), F.lit("bad").alias("dst"), F.lit(1).cast("bigint").alias("n"))
+    start = spark.createDataFrame([(1, "bad", urls.MASS * urls.PARTS), (0, "good", urls.MASS * urls.PARTS)], RANKS)
+    verdicts = urls.host_verdicts(urls.propagate(start, edges, 2)).groupBy("standing").count().collect()
+    assert {r.standing: r["count"] for r in verdicts} == {"block": 200_001, "allow": 1}
