@@ -45,6 +45,10 @@ BLOCK_BYTES = 8 << 20
 # Window starts that are hashed at a time.
 PIECE = 1 << 20
 HOT = 1 << 16
+# Places of hot strings whose digests are made at a time.
+HOT_PIECE = 1 << 18
+# Places whose strings are hashed at a time.
+HASHED = 1 << 14
 NONE = 255
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -383,19 +387,41 @@ class Block:
             by_share.setdefault(share, []).append((suffix, left, times[at] > 1))
         return by_share, place[number] if len(rows) else number, own
 
-    def hot_strings(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of the strings that hold a hot anchor, and their two digests."""
+    def hot_places(self, kind: np.ndarray) -> np.ndarray:
+        """Places of the strings that hold a hot anchor, each once however many anchors it has."""
         own = self.places[kind == 2]
         first, last = self.bounds(own)
-        starts = [np.arange(a, min(p, b - self.length) + 1) for a, p, b in zip(first.tolist(), own.tolist(), last.tolist())]
-        place = np.unique(np.concatenate(starts)) if starts else np.zeros(0, np.int64)
-        one, two = (np.empty(len(place), np.uint64) for _ in range(2))
-        for at in range(0, len(place), 4096):
-            some = place[at : at + 4096]
-            strings = self.data[some[:, None] + np.arange(self.length)].reshape(-1)
+        return covered_by(first, np.minimum(own, last - self.length) + 1)
+
+    def digests_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two digests of the string at each place."""
+        one, two = (np.empty(len(places), np.uint64) for _ in range(2))
+        for at in range(0, len(places), HASHED):
+            some = places[at : at + HASHED]
+            fresh = np.flatnonzero(np.concatenate([[True], np.diff(some) != 1]))
+            counts = np.diff(np.append(fresh, len(some)))
+            # Neighbouring places share their bytes.
+            body = np.concatenate([self.data[a : a + n + self.length - 1] for a, n in zip(some[fresh].tolist(), counts.tolist())])
+            own = np.arange(len(some)) + np.repeat(np.arange(len(fresh)), counts) * (self.length - 1)
             for out, seed in ((one, 1), (two, 2)):
-                out[at : at + len(some)] = gram_hashes(strings, self.length, seed)[:: self.length]
-        return place, one, two
+                out[at : at + len(some)] = gram_hashes(body, self.length, seed)[own]
+        return one, two
+
+
+def covered_by(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All places in the ranges, ascending, each once; ranges are merged before any place is listed."""
+    there = stop > first
+    first, stop = first[there], stop[there]
+    if not len(first):
+        return np.zeros(0, np.int64)
+    order = np.argsort(first, kind="stable")
+    first, upto = first[order], np.maximum.accumulate(stop[order])
+    fresh = np.concatenate([[True], first[1:] > upto[:-1]])
+    begins, ends = first[fresh], upto[np.append(np.flatnonzero(fresh)[1:] - 1, len(upto) - 1)]
+    steps = np.ones(int((ends - begins).sum()), np.int64)
+    steps[0] = begins[0]
+    steps[np.cumsum(ends - begins)[:-1]] = begins[1:] - ends[:-1] + 1
+    return np.cumsum(steps, out=steps)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -589,7 +615,38 @@ def without_repeats(
 
 
 def _digests(block: Block, kind: np.ndarray):
-    """Places of hot strings, the number of each one's digest pair, and distinct pairs by share with counts."""
-    place, one, two = block.hot_strings(kind)
-    pairs, inverse, counts = np.unique(np.stack([one % np.uint64(block.shares), one, two], 1), axis=0, return_inverse=True, return_counts=True)
-    return place, inverse.reshape(-1), pairs[:, 1], pairs[:, 2], counts
+    """Places of hot strings, the number of each one's digest pair, and distinct pairs by share with counts.
+
+    Digests are made and reduced to distinct ones in pieces, so a text of few
+    different strings takes little more than a number per place.
+    """
+    place = block.hot_places(kind)
+    inverse = np.empty(len(place), np.int64)
+    pairs, counts, known = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int64)], 0
+    for at in range(0, len(place), HOT_PIECE):
+        part = np.stack(block.digests_at(place[at : at + HOT_PIECE]), 1)
+        own, back, often = _distinct(part)
+        inverse[at : at + len(part)] = back + known
+        pairs.append(own)
+        counts.append(often)
+        known += len(own)
+    every, back, _ = _distinct(np.concatenate(pairs))
+    often = np.bincount(back, np.concatenate(counts), len(every)).astype(np.int64)
+    order = np.lexsort([every[:, 1], every[:, 0], every[:, 0] % np.uint64(block.shares)])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    for at in range(0, len(place), HOT_PIECE):
+        part = slice(at, at + HOT_PIECE)
+        inverse[part] = rank[back[inverse[part]]]
+    return place, inverse, every[order, 0], every[order, 1], often[order]
+
+
+def _distinct(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of two columns, the number of each row's, and how often each occurs."""
+    order = np.lexsort([pairs[:, 1], pairs[:, 0]])
+    rows = pairs[order]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:] != rows[:-1]).any(1)
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    return rows[fresh], number, np.bincount(number, minlength=int(fresh.sum()))

@@ -4,6 +4,9 @@ import base64
 import hashlib
 import io
 import json
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -11,6 +14,7 @@ import cases
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from pairloom.llm import suffix, warc
 
@@ -179,3 +183,61 @@ def test_streams_of_one_and_of_many_members_read_alike():
         assert [r.raw for r in warc.records(io.BytesIO(data))] == bodies
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(zlib.compress(bodies[0][:-9], wbits=warc.GZIP))))
+
+
+def test_as_many_tasks_as_archives(spark, monkeypatch):
+    """Archives are rewritten and read back by a task each, though their list is small."""
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 20)
+    pages = spark.range(0, 400, 1, 4).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html")
+    written = warc.write_archives(pages)
+    archives = written.select("path").distinct().count()
+    assert archives == 20
+    seen = []
+    plain = warc.map_arrow
+    monkeypatch.setattr(warc, "map_arrow", lambda df, run, schema: seen.append(df) or plain(df, run, schema))
+    index = warc.normalise(written, warc.revisits(written))
+    assert warc.read_records(index).count() == 400
+    todo, runs = seen
+    assert todo.rdd.getNumPartitions() == archives and runs.rdd.getNumPartitions() == archives
+    assert index.select(F.input_file_name()).distinct().count() > archives // 2
+
+
+def test_equal_sha1_is_not_enough(spark):
+    rows = [("p", 0, 1, "same", "a", 5), ("p", 1, 2, "same", "b", 5), ("q", 0, 3, "same", "a", 5)]
+    written = spark.createDataFrame(rows, "path string, seq bigint, page_id bigint, digest string, sha256 string, size bigint")
+    assert [(r.path, r.seq, r.keep_id) for r in warc.revisits(written).collect()] == [("p", 0, 3)]
+
+
+def _peak_of(code):
+    """Peak memory in MB of a Python process."""
+    run = subprocess.run(
+        [sys.executable, "-c", code + "\nimport resource; print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"],
+        capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)},
+    )
+    return int(run.stdout.split()[-1])
+
+
+def test_a_block_of_one_byte_stays_within_a_gigabyte():
+    """8 MB of equal bytes: every place is an anchor of a hot gram."""
+    code = """
+import numpy as np
+from types import SimpleNamespace
+from pairloom.llm import suffix
+data = np.zeros(8 << 20, np.uint8)
+starts = np.array([0, len(data)])
+places, hashes = suffix.anchors(data, starts, 200, 64)
+block = object.__new__(suffix.Block)
+block.data, block.starts, block.places, block.hashes, block.length, block.gram, block.shares = data, starts, places, hashes, 200, 64, 16
+place, inverse, one, two, often = suffix._digests(block, np.full(len(places), 2, np.uint8))
+assert len(place) == len(data) - 199 and len(one) == 1 and often.tolist() == [len(place)] and not inverse.any()
+"""
+    assert _peak_of(code) < 1024
+
+
+def test_ranges_are_merged_before_places_are_listed():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        first = rng.integers(0, 60, 12)
+        stop = first + rng.integers(-2, 9, 12)
+        want = sorted({x for a, b in zip(first.tolist(), stop.tolist()) for x in range(a, b)})
+        assert suffix.covered_by(first, stop).tolist() == want
