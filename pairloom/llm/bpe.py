@@ -8,8 +8,9 @@ hash, every distinct word is encoded once where it arrives, and the ids go back
 to the blocks that asked, which put their documents together by position.
 Blocks are stored in buckets by their name, so only ids move to them.
 
-Decoding joins ids with the table of the tokens' bytes, whose size is that of
-the vocabulary.
+Decoding takes the bytes of each id from the table of the tokens' bytes, which
+every task loads; its size is that of the vocabulary.  A join would move a row
+for each token.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pairloom.llm.common import map_arrow, text_or_empty
 from pairloom.llm.packing import OTHER_SPACE, UNIT
-from pairloom.session import scratch_path
+from pairloom.session import scratch_path, scratch_table
 
 BLOCK_BYTES = 12 << 20
 FLUSH_IDS = 1 << 20
@@ -129,8 +130,7 @@ def blocks(docs: DataFrame, id_column: str, text: str, block_bytes: int = BLOCK_
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """The rows stored in buckets by a key in the shared folder, so that joins on the key needn't move them."""
-    name = f"t{uuid.uuid4().hex}"
-    path = scratch_path(df.sparkSession, "buckets")
+    name, path = scratch_table(), scratch_path(df.sparkSession, "buckets")
     df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
@@ -261,7 +261,11 @@ def _joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """tokens with the bytes of their ids, which each task looks up in the rank file; an unknown id is an error."""
+    """tokens with the bytes of their ids, which each task looks up in the rank file; an unknown id is an error.
+
+    No ids give no bytes; repeated rows each get a row; an empty table gives an
+    empty one.  Null lists of ids are not expected.
+    """
     schema = T.StructType([*tokens.schema.fields, T.StructField(into, T.BinaryType())])
     place = tokens.columns.index(ids)
 
