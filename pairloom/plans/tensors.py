@@ -607,7 +607,7 @@ def a18_group(spark, sf):
 
 @query(
     "a18_shifted_stats",
-    f"""SELECT label, count(*) AS finite_count, {_r('avg(v)', 'mean_value')}, {_r('stddev_pop(v)', 'std_value')}
+    f"""SELECT label::BIGINT AS label, count(*) AS finite_count, {_r('avg(v)', 'mean_value')}, {_r('stddev_pop(v)', 'std_value')}
         FROM (SELECT label, unnest(embedding)::DOUBLE + 100000 * (1 + label) AS v FROM embeddings) GROUP BY label""",
 )
 def a18_shifted(spark, sf):
