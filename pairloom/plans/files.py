@@ -11,7 +11,7 @@ from pairloom.operators import distribution as Q, latents as L, manifest as M
 from pairloom.plans import derived as D
 from pairloom.plans.registry import CTES, query, rounded
 from pairloom.session import scratch_path
-from pairloom.sources import file_moves as FM, json_docs as JD, payload_files as PF, sinks, tables
+from pairloom.sources import file_moves as FM, json_docs as JD, keyed, payload_files as PF, sinks, tables
 
 # Documents hold at most this many entries, so one document is never a large group.
 DOCUMENT = 256
@@ -372,3 +372,18 @@ def k7_files(spark, sf):
     path = scratch_path(spark, "payloads")
     PF.write_payloads(M.materialise_images(_image_cells(spark, sf)), path, "jpg")
     return PF.read_payloads(spark, path).select("folder", "name", F.col("payload").cast("string").alias("payload"))
+
+
+@query(
+    "k8_keyed_writes",
+    """SELECT uid, min(event)::BIGINT AS first_event FROM (
+           SELECT uid, 1 AS event FROM sightings WHERE row_idx % 3 = 0 UNION ALL SELECT uid, 2 FROM sightings) GROUP BY uid""",
+)
+def k8_keyed(spark, sf):
+    path = scratch_path(spark, "keyed")
+    seen = M.sightings(D.derive(spark, sf, "prefs")).select("uid", "row_idx")
+    some = seen.where("row_idx % 3 = 0").select("uid", F.lit(1).cast("bigint").alias("first_event"))
+    # The second run of the first write adds nothing, the next write only what is new.
+    for write, rows in (("a", some), ("a", some), ("b", seen.select("uid", F.lit(2).cast("bigint").alias("first_event")))):
+        keyed.write_new(rows, path, ["uid"], write)
+    return keyed.read_keyed(spark, path).drop("bucket")

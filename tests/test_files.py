@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from pairloom import session
 from pairloom.operators import latents as L, manifest as M
-from pairloom.sources import file_moves as FM, json_docs as JD, json_items as JI, payload_files as PF, sinks, tables
+from pairloom.sources import file_moves as FM, json_docs as JD, json_items as JI, keyed, payload_files as PF, sinks, tables
 
 EMB = T.StructType(
     [
@@ -393,3 +394,31 @@ def test_sidecars_are_rewritten_once(spark, tmp_path, rows):
         assert done == {"a": "updated", "b": "unchanged", "c": "missing_pt", "d": "broken"}
         assert json.loads((tmp_path / "a.json").read_text()) == {"latent_path": "new/a.pt", "x": [1, "é"]}
         assert (tmp_path / "c.json").read_text() == docs["c"] and (tmp_path / "d.json").read_text() == docs["d"]
+
+
+def test_keyed_writes_add_each_key_once(spark, tmp_path, rows):
+    path = str(tmp_path / "keyed")
+    frame = lambda pairs: spark.createDataFrame(pairs, "k string, v int")
+    counts = lambda df: tuple(df.first())
+    assert counts(keyed.write_new(frame([("a", 1), ("a", 1), (None, 2)]), path, ["k"], "one")) == (3, 2, 1)
+    # The same write again, then another with the same rows.
+    assert counts(keyed.write_new(frame([("zzz", 1)]), path, ["k"], "one")) == (1, 0, 1)
+    assert counts(keyed.write_new(frame([("a", 9), (None, 9)]), path, ["k"])) == (2, 0, 2)
+    # A writer stops after its rows and before the ledger: they are not seen, and the next one clears them away.
+    keyed.write_new(frame([("b", 3), ("c", 3)]), path, ["k"], "two", stop_before_ledger=True)
+    assert rows(keyed.read_keyed(spark, path), "k", "v") == [("a", 1), (None, 2)]
+    assert counts(keyed.write_new(frame([("b", 4)]), path, ["k"], "three")) == (1, 1, 0)
+    assert rows(keyed.read_keyed(spark, path), "k", "v") == [("a", 1), ("b", 4), (None, 2)]
+    assert counts(keyed.write_new(frame([("b", 3), ("c", 3)]), path, ["k"], "two")) == (2, 1, 1)
+
+
+def test_keyed_writes_open_only_the_buckets_of_their_keys(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    keyed.write_new(spark.range(2000).selectExpr("id AS k"), path, ["k"], "one")
+    few = spark.createDataFrame([(5,), (5000,)], "k bigint").withColumn("bucket", keyed.bucket_of(["k"]))
+    there = keyed.known_keys(few, path, ["k"])
+    assert len({f.split("bucket=")[1].split("/")[0] for f in there.inputFiles()}) == keyed.BUCKETS
+    plan = there._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(\d+,\d+\)|PartitionFilters: \[[^\]]*bucket#\d+ = ", plan), plan
+    opened = there.select("k", F.input_file_name().alias("f")).select(F.regexp_extract("f", "bucket=(\\d+)", 1)).distinct().count()
+    assert opened == few.select("bucket").distinct().count()
