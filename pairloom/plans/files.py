@@ -11,7 +11,7 @@ from pairloom.operators import distribution as Q, latents as L, manifest as M
 from pairloom.plans import derived as D
 from pairloom.plans.registry import CTES, query, rounded
 from pairloom.session import scratch_path
-from pairloom.sources import file_moves as FM, json_docs as JD, keyed, payload_files as PF, sinks, tables
+from pairloom.sources import file_moves as FM, image_sizes as IS, json_docs as JD, keyed, payload_files as PF, sinks, tables
 
 # Documents hold at most this many entries, so one document is never a large group.
 DOCUMENT = 256
@@ -387,3 +387,30 @@ def k8_keyed(spark, sf):
     for write, rows in (("a", some), ("a", some), ("b", seen.select("uid", F.lit(2).cast("bigint").alias("first_event")))):
         keyed.write_new(rows, path, ["uid"], write)
     return keyed.read_keyed(spark, path).drop("bucket")
+
+
+@query(
+    "p28_sizes_from_files",
+    """SELECT md5(vec_id::VARCHAR) || '.img' AS name, CASE vec_id % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'webp' WHEN 3 THEN 'png' END AS format,
+              CASE WHEN vec_id % 5 < 3 THEN 64 + vec_id % 1000 END AS width, CASE WHEN vec_id % 5 < 3 THEN 48 + vec_id % 701 END AS height,
+              CASE vec_id % 5 WHEN 3 THEN 'cut' WHEN 4 THEN 'format' END AS reason,
+              CASE WHEN vec_id % 5 < 3 THEN ceil((48 + vec_id % 701) / 42.67)::BIGINT END AS latent_height,
+              CASE WHEN vec_id % 5 < 3 THEN ceil((64 + vec_id % 1000) / 42.67)::BIGINT END AS latent_width
+       FROM embeddings""",
+)
+def p28_files(spark, sf):
+    path = scratch_path(spark, "images")
+    n = F.col("vec_id")
+    big = lambda c, digits: F.lpad(F.hex(c), digits, "0")
+    # Little-endian in three bytes.
+    little = lambda c: F.concat(*[big(F.shiftright(c, 8 * k).bitwiseAND(F.lit(255)), 2) for k in range(3)])
+    rows = D.table(spark, sf, "embeddings").select("vec_id", (64 + n % 1000).alias("w"), (48 + n % 701).alias("h"))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(F.col("w"), 8), big(F.col("h"), 8))
+    # A segment of any length stands before the frame.
+    filler = F.concat(F.lit("FFE1"), big(2 + n % 3000, 4), F.repeat(F.lit("C0"), (n % 3000).cast("int")))
+    jpeg = F.concat(F.lit("FFD8"), filler, F.lit("FFC2001108"), big(F.col("h"), 4), big(F.col("w"), 4), F.lit("03"))
+    webp = F.concat(F.lit("52494646000000005745425056503858" + "0A00000010000000"), little(F.col("w") - 1), little(F.col("h") - 1))
+    text = F.when(n % 5 == 0, png).when(n % 5 == 1, jpeg).when(n % 5 == 2, webp).when(n % 5 == 3, F.substring(png, 1, 40)).otherwise(F.lit("474946383961") )
+    PF.write_payloads(rows.select(F.md5(n.cast("string")).alias("uid"), F.unhex(text).alias("payload")), path, "img")
+    sizes = IS.expected_latents(IS.image_sizes(spark, path), 42.67)
+    return sizes.select(F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "format", "width", "height", "reason", "latent_height", "latent_width")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from pairloom import session
 from pairloom.operators import latents as L, manifest as M
-from pairloom.sources import file_moves as FM, json_docs as JD, json_items as JI, keyed, payload_files as PF, sinks, tables
+from pairloom.sources import file_moves as FM, image_sizes as IS, json_docs as JD, json_items as JI, keyed, payload_files as PF, sinks, tables
 
 EMB = T.StructType(
     [
@@ -422,3 +422,31 @@ def test_keyed_writes_open_only_the_buckets_of_their_keys(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(\d+,\d+\)|PartitionFilters: \[[^\]]*bucket#\d+ = ", plan), plan
     opened = there.select("k", F.input_file_name().alias("f")).select(F.regexp_extract("f", "bucket=(\\d+)", 1)).distinct().count()
     assert opened == few.select("bucket").distinct().count()
+
+
+def _image(kind, w, h):
+    big, little = lambda v, n: v.to_bytes(n, "big"), lambda v, n: v.to_bytes(n, "little")
+    riff = lambda body: b"RIFF" + little(4 + len(body), 4) + b"WEBP" + body
+    frame = lambda mark: bytes([0xFF, mark, 0, 17, 8]) + big(h, 2) + big(w, 2) + bytes([3] + [0] * 9)
+    return {
+        "png": IS.PNG + big(13, 4) + b"IHDR" + big(w, 4) + big(h, 4) + b"\x08\x02\x00\x00\x00",
+        "jpeg": b"\xff\xd8\xff\xe0\x00\x10" + b"JFIF" + b"\0" * 10 + b"\xff\xd0" + frame(0xC0),
+        # A thumbnail's frame inside a segment, a table whose marker looks like a frame, fill bytes, a progressive frame.
+        "jpeg2": b"\xff\xd8\xff\xe1" + big(2 + 21 + 2, 2) + b"\xff\xd8" + frame(0xC0)[:21] + b"\xff\xff\xff\xc4\x00\x04ab" + frame(0xC2),
+        "vp8": riff(b"VP8 " + little(30, 4) + b"\x10\x02\x00\x9d\x01\x2a" + little(w | 1 << 14, 2) + little(h, 2)),
+        "vp8l": riff(b"VP8L" + little(30, 4) + b"\x2f" + little(w - 1 | (h - 1) << 14, 4)),
+        "vp8x": riff(b"VP8X" + little(10, 4) + b"\0" * 4 + little(w - 1, 3) + little(h - 1, 3)),
+    }[kind]
+
+
+@pytest.mark.parametrize("kind", ["png", "jpeg", "jpeg2", "vp8", "vp8l", "vp8x"])
+def test_image_sizes_from_headers(kind):
+    of = lambda data: IS.size_of(lambda start, count: data[start : start + count])
+    for w, h in ((1, 1), (640, 480), (16383, 16383)):
+        whole = _image(kind, w, h)
+        assert of(whole)[1:] == (w, h, None) and of(whole + b"pixels")[1:] == (w, h, None)
+        shortest = min(n for n in range(len(whole) + 1) if of(whole[:n])[3] is None)
+        assert all(of(whole[:n])[3] == "cut" and of(whole[:n])[1] is None for n in range(1, shortest))
+    assert of(b"")[3] == "format" and of(b"GIF89a......")[3] == "format" and of(b"\xff\xd8\xff\xd9")[3] == "no_frame"
+    assert of(b"\xff\xd8\x00\x00")[3] == "broken" and of(b"\xff\xd8\xff\xe0\x00\x01")[3] == "broken"
+    assert of(_image("png", 1, 5)[:16] + b"\0" * 8)[3] == "no_size" and of(b"RIFF....WEBPALPH....")[3] == "broken"
