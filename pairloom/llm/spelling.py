@@ -35,6 +35,8 @@ BITS_PER_WORD, BLOCK_BITS = 24, 512
 FILTER_BYTES = 16 << 20
 # Words as long as this and longer share the filters of one length.
 LONGEST = 64
+# Words whose edits one task makes.
+WORDS = 1 << 14
 # Distinct words a task holds before it hands on its counts, and edits that are hashed at a time.
 HELD, EDITS = 1 << 18, 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -197,7 +199,7 @@ def build(vocabulary: DataFrame, plan: list[tuple[int, int, int, int]]) -> dict[
     return tables
 
 
-def _positives(vocabulary: DataFrame, plan: list[tuple[int, int, int, int]]) -> DataFrame:
+def _positives(vocabulary: DataFrame, dealt: DataFrame, plan: list[tuple[int, int, int, int]]) -> DataFrame:
     """id, place, gone (deletion or replacement), near (key): edits of the words that the plan's filters let through."""
     tables = vocabulary.sparkSession.sparkContext.broadcast(build(vocabulary, plan))
     parts_of = {s: parts for s, _, parts, _ in plan}
@@ -228,7 +230,7 @@ def _positives(vocabulary: DataFrame, plan: list[tuple[int, int, int, int]]) ->
                                 names=["id", "place", "gone", "near"],
                             )
 
-    return map_arrow(vocabulary.select("id", "word"), run, "id bigint, place int, gone boolean, near bigint")
+    return map_arrow(dealt.select("id", "word"), run, "id bigint, place int, gone boolean, near bigint")
 
 
 # --- operator --------------------------------------------------------------------------------------------------
@@ -286,8 +288,10 @@ def with_keys(words: DataFrame) -> DataFrame:
 def neighbours(vocabulary: DataFrame, limit: int = FILTER_BYTES) -> DataFrame:
     """(u, v): words (struct of id, word, n) one edit apart, each pair once.  `vocabulary` as with_keys() returns it."""
     found = None
+    # The number is given: words are small, but not the work on their edits.
+    dealt = vocabulary.repartition(max(1, -(-vocabulary.count() // WORDS)), "id")
     for plan in _plan(vocabulary, limit):
-        some = _positives(vocabulary, plan)
+        some = _positives(vocabulary, dealt, plan)
         found = some if found is None else found.unionByName(some)
     word = F.struct("id", "word", "n")
     if found is None:
