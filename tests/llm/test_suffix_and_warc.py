@@ -187,8 +187,7 @@ def test_streams_of_one_and_of_many_members_read_alike():
 
 def test_as_many_tasks_as_archives(spark, monkeypatch):
     """Archives are rewritten and read back by a task each, though their list is small."""
-    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 20)
-    pages = spark.range(0, 400, 1, 4).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html")
+    pages = spark.range(0, 400, 1, 20).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html")
     written = warc.write_archives(pages)
     archives = written.select("path").distinct().count()
     assert archives == 20
