@@ -11,7 +11,7 @@ from pairloom.operators import distribution as Q, latents as L, manifest as M
 from pairloom.plans import derived as D
 from pairloom.plans.registry import CTES, query, rounded
 from pairloom.session import scratch_path
-from pairloom.sources import file_moves as FM, image_sizes as IS, json_docs as JD, keyed, payload_files as PF, sinks, tables
+from pairloom.sources import file_moves as FM, image_sizes as IS, json_docs as JD, keyed, payload_files as PF, sinks, tables, tensor_files as TF
 
 # Documents hold at most this many entries, so one document is never a large group.
 DOCUMENT = 256
@@ -158,6 +158,47 @@ def s10(spark, sf):
     return rows.select("uid", F.round(X.total(F.col("vals")), 6).alias("total"))
 
 
+def _container_files(spark, sf, path):
+    """A container for each latent, in turn of the three storage types, with values that all of them hold; each seventh is cut off."""
+    n = F.col("vec_id")
+    kind = F.element_at(F.array(*map(F.lit, ("FloatStorage", "HalfStorage", "BFloat16Storage"))), (n % 3 + 1).cast("int"))
+    rows = D.latents(spark, sf).withColumn("vals", F.transform("vals", lambda v: F.floor(v * 8) / 8))
+    made = TF.with_containers(rows, ["uid", "scaled", "latent_semantics"], storage_type=kind)
+    payload = F.when(n % 7 == 0, F.substring("payload", 1, 300)).otherwise(F.col("payload"))
+    PF.write_payloads(made.select(F.md5("uid").alias("uid"), payload.alias("payload")), path, "pt")
+    return TF.tensor_files(spark, path, bundle=TF.BUNDLE_KEYS)
+
+
+CTES["containers"] = """
+    SELECT vec_id, uid, ch, ht, wd, scaled, latent_semantics, list_transform(CAST(vals AS DOUBLE[]), lambda v: floor(v * 8) / 8) AS vals,
+           CASE vec_id % 3 WHEN 0 THEN 'float32' WHEN 1 THEN 'float16' ELSE 'bfloat16' END AS dtype FROM latents"""
+
+
+@query(
+    "s10_tensor_files",
+    """SELECT md5(uid) || '.pt' AS name, CASE WHEN vec_id % 7 > 0 THEN 'latent' END AS key, CASE WHEN vec_id % 7 > 0 THEN dtype END AS dtype,
+              CASE WHEN vec_id % 7 > 0 THEN len(vals) END AS n_values, CASE WHEN vec_id % 7 > 0 THEN round(list_sum(vals), 4) END AS total,
+              CASE WHEN vec_id % 7 = 0 THEN 'broken' END AS reason FROM containers""",
+)
+def s10_files(spark, sf):
+    rows = _container_files(spark, sf, scratch_path(spark, "containers"))
+    name = F.regexp_extract("path", "([^/]*)$", 1).alias("name")
+    size = F.when(F.col("vals").isNotNull(), F.size("vals")).alias("n_values")
+    return rows.select(name, "key", "dtype", size, F.round(X.total(F.col("vals")), 4).alias("total"), "reason")
+
+
+@query(
+    "s10_container_manifest",
+    """SELECT uid, ch || 'x' || ht || 'x' || wd AS shape, dtype, scaled, latent_semantics, list_min(vals) AS min, list_max(vals) AS max,
+              round(list_avg(vals), 6) AS mean FROM containers WHERE vec_id % 7 > 0""",
+)
+def s10_manifest(spark, sf):
+    rows = _container_files(spark, sf, scratch_path(spark, "containers"))
+    manifest = L.build_manifest(TF.container_latents(rows, "uid string, scaled string, latent_semantics string"))
+    shape = F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape")
+    return manifest.select("uid", shape, "dtype", "scaled", "latent_semantics", "min", "max", *rounded("mean"))
+
+
 @query("k2_uid_map", "SELECT uid, path FROM known_paths")
 def k2(spark, sf):
     path = scratch_path(spark, "uid-map")
