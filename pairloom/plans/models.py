@@ -111,6 +111,36 @@ def f4(spark, sf):
     return R.mean_of_batch_means(scored, ["loss", "desired_prob", "top1", "top2", "top4", "top8"])
 
 
+# Least share of right answers on the test share, where guessing has a third.
+LEARNED = 0.75
+
+
+@query(
+    "f4_learned_classes",
+    """SELECT class_id::BIGINT AS class_id, count(*) FILTER (WHERE h >= 230584300921369408) AS n_train, count(*) FILTER (WHERE h < 230584300921369408) AS n_test,
+              true AS learned, 0::BIGINT AS n_changed
+       FROM (SELECT CASE WHEN embedding[1] >= greatest(embedding[2], embedding[3]) THEN 0 WHEN embedding[2] >= embedding[3] THEN 1 ELSE 2 END AS class_id,
+                    CAST(concat('0x', substr(md5('0|' || vec_id), 1, 15)) AS BIGINT) AS h FROM embeddings) GROUP BY class_id""",
+)
+def f4_learned(spark, sf):
+    # Classes that the vectors tell: which of the first three values is the largest.
+    e = [F.col("vals")[i] for i in range(3)]
+    of = F.when(e[0] >= F.greatest(e[1], e[2]), 0).when(e[1] >= e[2], 1).otherwise(2)
+    rows = D.derive(spark, sf, "classified").select("vec_id", "vals").withColumn("class_id", of)
+    train, test = classify.split_rows(classify.with_features(rows), "vec_id")
+
+    def guesses(name):
+        scored = classify.predict_logits(classify.train_classifier(train, 64, 3, hidden=[(8,)], max_iter=[20]), test)
+        return scored.select("vec_id", "class_id", (F.array_position("logits", F.array_max("logits")) - 1).alias(name))
+
+    both = guesses("guess").join(guesses("again").drop("class_id"), "vec_id")
+    right = F.avg((F.col("guess") == F.col("class_id")).cast("int")) >= LEARNED
+    facts = both.agg(right.alias("learned"), F.count_if(F.col("guess") != F.col("again")).alias("n_changed"))
+    sizes = train.select("class_id", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(test.select("class_id", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    counts = sizes.groupBy("class_id").agg(F.sum("a").alias("n_train"), F.sum("b").alias("n_test"))
+    return counts.join(facts.withColumn("class_id", F.explode(F.sequence(F.lit(0), F.lit(2)))), "class_id")
+
+
 # --- streams ------------------------------------------------------------------------------------------
 
 
