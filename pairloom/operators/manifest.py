@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import keys as K
-from pairloom.operators.ranking import WIDTH, position_by_ordinal
+from pairloom.operators.ranking import position_by_sort
 from pairloom.session import materialise
 
 SIDES = (("image_0_uid", "jpg_0", "image_1_uid"), ("image_1_uid", "jpg_1", "image_0_uid"))
@@ -243,7 +243,7 @@ def referenced_uids(assignments: DataFrame, include_support: bool = False, order
     `ord` follows the line (the `order` column), then query before support, then
     pair, then preferred before dispreferred.
     """
-    line = F.col(order) if order else F.lit(0).cast("bigint")  # without an order only the pairs of one line are told apart
+    line = F.col(order) if order else F.lit(0).cast("bigint")  # without an order all rows are one line
     lists = [("query_pairs", 0)] + ([("support_pairs", 1)] if include_support else [])
 
     def tagged(column: str, rank: int) -> Column:
@@ -273,14 +273,15 @@ def referenced_uids(assignments: DataFrame, include_support: bool = False, order
     )
 
 
-def ordered_unique_uids(uids: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Distinct uids with their place by first sighting, for (uid, ord) with a struct ordinal."""
-    firsts = uids.groupBy("uid").agg(F.min("ord").alias("o")).select(
-        "uid", F.col("o.line").alias("line"), *[F.col(f"o.{f}").alias(f"__{f}") for f in ("list", "i", "side")]
-    )
-    ties = ["__list", "__i", "__side"]
-    # One row per uid; stored, because ranking reads its input twice.
-    return position_by_ordinal(materialise(firsts), [], "line", "place", width, ties).select("uid", "place")
+def ordered_unique_uids(uids: DataFrame) -> DataFrame:
+    """Distinct uids with their place by first sighting, for (uid, ord) with a struct ordinal.
+
+    The places come from a range sort, so uids that share an ordinal (all of a
+    frame without an order) are spread as well; among those the uid decides.
+    """
+    firsts = uids.groupBy("uid").agg(F.min("ord").alias("o"))
+    # One row per uid; stored, because a range sort reads its input twice.
+    return position_by_sort(materialise(firsts), [F.col("o"), F.col("uid")], "place").select("uid", "place")
 
 
 def extraction_counters(assignments: DataFrame, include_support: bool = False) -> DataFrame:

@@ -363,3 +363,18 @@ def test_shapes_and_channels_are_compared(spark):
     assert Q.calibrate_channels(df, stats, stats).first()["vals"] == [1.0] * 4
     with pytest.raises(PySparkException, match="no statistics"):
         Q.calibrate_channels(df, stats, stats.filter("channel <> 1")).collect()
+
+
+def test_uids_without_an_order_are_ranked_in_many_tasks(spark):
+    pair = F.struct(F.concat(F.lit("p"), (F.col("id") % 4000).cast("string")).alias("preferred_uid"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("dispreferred_uid"))
+    lines = spark.range(6000).select("id", F.array(pair).alias("query_pairs"))
+    got = M.ordered_unique_uids(M.referenced_uids(lines))
+    places = [r.place for r in got.collect()]
+    assert len({r.uid for r in got.collect()}) == 10000 and sorted(places) == list(range(10000))
+    # Equal ordinals: preferred before dispreferred, then by uid, whatever the partitioning.
+    again = M.ordered_unique_uids(M.referenced_uids(lines.repartition(7)))
+    assert got.join(again, ["uid", "place"]).count() == 10000
+    assert got.orderBy("place").first().uid == "p0" and got.filter("place >= 4000 AND uid LIKE 'p%'").count() == 0
+    # With an order the line decides first.
+    by_line = {r.uid: r.place for r in M.ordered_unique_uids(M.referenced_uids(lines, order="id")).filter("place < 6").collect()}
+    assert by_line == {"p0": 0, "d0": 1, "p1": 2, "d1": 3, "p2": 4, "d2": 5}
