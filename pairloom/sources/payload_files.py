@@ -7,7 +7,6 @@ folder, so readers see all files of a job or none; a failed job leaves nothing.
 
 from __future__ import annotations
 
-import re
 import uuid
 from dataclasses import dataclass
 
@@ -17,11 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from pairloom.functions import keys as K
 from pairloom.session import importable
-
-
-def located(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a location as Spark names it."""
-    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+from pairloom.sources.file_lists import list_tree, located, read_files
 
 
 @dataclass
@@ -96,11 +91,12 @@ def file_name(uid: Column, extension: str = "bin") -> Column:
     return F.concat(told_apart, F.lit(f".{extension}"))
 
 
-def write_payloads(df: DataFrame, path: str, extension: str = "bin", uid: str = "uid", payload: str = "payload") -> None:
+def write_payloads(df: DataFrame, path: str, extension: str = "bin", uid: str = "uid", payload: str = "payload", tasks: int = 0) -> None:
     """One file per row with a payload, below the first two characters of its stem.
 
-    Rows are written where they are, so a common prefix is spread over tasks.
-    Uids must not repeat.
+    Rows are written where they are, so a common prefix is spread over tasks; small
+    payloads, of which few tasks would write very many, may be dealt out over a
+    number of tasks first.  Uids must not repeat.
     """
     spark = df.sparkSession
     importable(spark)
@@ -108,11 +104,13 @@ def write_payloads(df: DataFrame, path: str, extension: str = "bin", uid: str =
     rows = df.where(F.col(payload).isNotNull() & F.col(uid).isNotNull()).select(
         K.stem_shard(K.path_stem(F.col(uid))).alias("folder"), file_name(F.col(uid), extension).alias("name"), F.col(payload).alias("payload")
     )
+    if tasks:
+        rows = rows.repartition(tasks, "name")
     rows.write.format("payload_files").mode("append").save(path)
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, folder, name, payload) of all published files; Spark's scan leaves out empty ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """(path, folder, name, payload) of all published files; empty ones are left out."""
+    files = read_files(list_tree(spark, path))
     parts = F.split("path", "/")
     return files.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"), F.col("content").alias("payload"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom import constants as C
 from pairloom.functions import keys as K
+from pairloom.sources.file_lists import list_tree
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -40,7 +41,7 @@ def read_preferences(spark: SparkSession, path: str, split: str | None = None) -
 
 def scan_images(spark: SparkSession, root: str, extensions: Sequence[str] = C.IMAGE_EXTENSIONS) -> DataFrame:
     """uid and path of every image below a folder; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    files = list_tree(spark, root)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.filter(ending.isin(*extensions)).select(K.file_stem(F.col("path")).alias("uid"), "path", "length")
 
@@ -55,10 +56,7 @@ def scan_latents(spark: SparkSession, root: str, recursive: bool = True) -> Data
 
 def list_files(spark: SparkSession, root: str, pattern: str, recursive: bool = True) -> DataFrame:
     """Paths of files whose name matches a glob."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(root).select("path", "length")
+    return list_tree(spark, root, pattern, recursive)
 
 
 def natural_sort_key(path: str) -> list:
