@@ -11,6 +11,7 @@ from pairloom.operators import distribution as Q, latents as L, manifest as M
 from pairloom.plans import derived as D
 from pairloom.plans.registry import CTES, query, rounded
 from pairloom.session import scratch_path
+from pairloom.sources.file_lists import list_tree
 from pairloom.sources import file_moves as FM, image_sizes as IS, json_docs as JD, keyed, payload_files as PF, sinks, tables, tensor_files as TF
 
 # Documents hold at most this many entries, so one document is never a large group.
@@ -25,8 +26,14 @@ _POOL_SQL = "SELECT user_id, preferred_uid, dispreferred_uid, caption, split ||
 
 def _write_documents(docs: DataFrame, path: str) -> list[str]:
     """One document per `doc` number, each in a file of its own; returns the folders' glob."""
-    docs.select("doc", "value").repartition("doc").write.partitionBy("doc").text(path)
-    return [f"{path}/doc=*"]
+    rows = docs.select(F.col("doc").cast("string").alias("uid"), F.col("value").cast("binary").alias("payload"))
+    PF.write_payloads(rows, path, "json", tasks=_tasks(docs))
+    return [f"{path}/part-*/*/*"]
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks that write files so small that Spark would give them to one."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
 
 
 @query("s1_split_partitions", "SELECT split, count(*) AS n_rows, min(row_idx) AS first_row, max(row_idx) AS last_row FROM prefs GROUP BY ALL")
@@ -228,14 +235,14 @@ def k8_write(spark, sf):
 @query("s9_image_scan", "SELECT split, row_idx // 500 AS part, count(*) AS n_rows FROM prefs GROUP BY ALL")
 def s9(spark, sf):
     path = scratch_path(spark, "images")
-    rows = D.derive(spark, sf, "prefs").select("split", F.floor(F.col("row_idx") / 500).cast("bigint").alias("part"), "row_idx")
-    rows.repartition("split", "part").write.partitionBy("split", "part").parquet(path)
-    found = tables.scan_images(spark, path, extensions=("parquet",))
-    named = [F.regexp_extract("path", f"{c}=([^/]+)", 1).alias(c) for c in ("split", "part")]
-    listed = found.select(*named).distinct().withColumn("part", F.col("part").cast("bigint"))
+    rows = D.derive(spark, sf, "prefs").select("split", F.floor(F.col("row_idx") / 500).cast("bigint").alias("part"), F.col("row_idx").cast("string").alias("row"))
+    # A file for each part of a split, with a line for each of its 500 rows at most.
+    parts = rows.groupBy("split", "part").agg(F.array_join(F.collect_list("row"), "\n").cast("binary").alias("payload"))
+    PF.write_payloads(parts.withColumn("uid", F.concat_ws("-", "split", "part")), path, "jpg", tasks=_tasks(parts))
+    listed = tables.scan_images(spark, path).select(F.split_part("uid", F.lit("-"), F.lit(1)).alias("split"), F.split_part("uid", F.lit("-"), F.lit(2)).cast("bigint").alias("part"), "path")
     # What the folder lists against what the files hold.
-    held = spark.read.parquet(path).groupBy("split", F.col("part").cast("bigint").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return listed.join(held, ["split", "part"], "full").select("split", "part", "n_rows")
+    held = PF.read_payloads(spark, path).select("path", F.size(F.split(F.col("payload").cast("string"), "\n")).cast("bigint").alias("n_rows"))
+    return listed.join(held, "path", "full").select("split", "part", "n_rows")
 
 
 @query("s12_shard_list", "SELECT split, row_number() OVER (ORDER BY split) - 1 AS place FROM prefs GROUP BY split")
@@ -284,7 +291,7 @@ for _name, _kind, _lacks in (
 def s11(spark, sf):
     path = scratch_path(spark, "sidecars")
     rows = D.table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 50).alias("number")).agg(F.count(F.lit(1)).alias("n_events"))
-    rows.withColumn("doc", F.col("number")).repartition("doc").write.partitionBy("doc").json(path)
+    _write_documents(rows.select(F.col("number").alias("doc"), F.to_json(F.struct("number", "n_events")).alias("value")), path)
     return JD.scan_sidecars(spark, path, "number bigint, n_events bigint").select("number", "n_events")
 
 
@@ -360,8 +367,8 @@ def p20(spark, sf):
 def _vector_files(spark, sf, path, extension="bin"):
     """One small file for each vector, named by a digest of its number; returns what is found there."""
     rows = D.table(spark, sf, "embeddings").select(F.md5(F.col("vec_id").cast("string")).alias("uid"), F.col("vec_id").cast("string").cast("binary").alias("payload"))
-    PF.write_payloads(rows, path, extension)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    PF.write_payloads(rows, path, extension, tasks=_tasks(rows))
+    return list_tree(spark, path)
 
 
 @query(
@@ -387,9 +394,9 @@ def j14_rewrite(spark, sf):
     path, journal = scratch_path(spark, "sidecars"), scratch_path(spark, "journal")
     ids = D.table(spark, sf, "embeddings").select("vec_id", F.md5(F.col("vec_id").cast("string")).alias("uid"))
     document = F.to_json(F.struct("uid", F.lit("old").alias("latent_path"))).cast("binary")
-    PF.write_payloads(ids.select("uid", document.alias("payload")), path, "json")
+    PF.write_payloads(ids.select("uid", document.alias("payload")), path, "json", tasks=_tasks(ids))
     # Every third latent is there, beside its sidecar.
-    stored = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    stored = list_tree(spark, path).select("path")
     own = ids.where("vec_id % 3 = 0").select("uid")
     beside = stored.join(own, F.regexp_extract("path", r"([^/]*)\.json$", 1) == F.col("uid"), "left_semi")
     latents = beside.select(F.regexp_replace("path", r"\.json$", ".pt").alias("path"))
@@ -411,7 +418,8 @@ def k7_files(spark, sf):
     from pairloom.plans.pairs import _image_cells
 
     path = scratch_path(spark, "payloads")
-    PF.write_payloads(M.materialise_images(_image_cells(spark, sf)), path, "jpg")
+    images = M.materialise_images(_image_cells(spark, sf))
+    PF.write_payloads(images, path, "jpg", tasks=_tasks(images))
     return PF.read_payloads(spark, path).select("folder", "name", F.col("payload").cast("string").alias("payload"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pairloom.functions import keys as K
 from pairloom.operators.ranking import BUCKET, _offset_ranks
 from pairloom.session import materialise
+from pairloom.sources.file_lists import list_tree, read_files
 from pairloom.sources.json_items import RANGE_BYTES, read_items
 
 # What each kind of document starts with.
@@ -57,7 +58,7 @@ def document_reasons(spark: SparkSession, path: str | Sequence[str], kind: str,
     small and read whole.
     """
     if kind == "sidecar":
-        return _whole_documents(spark.read, path).select("file", _sidecar_reason().alias("reason"))
+        return _whole_documents(list_tree(spark, path, recursive=False)).select("file", _sidecar_reason().alias("reason"))
     return _judged(spark, path, kind, range_bytes)[1].select("file", "reason")
 
 
@@ -243,10 +244,9 @@ def read_samples(
     return rows
 
 
-def _whole_documents(reader, path: str | Sequence[str]) -> DataFrame:
+def _whole_documents(files: DataFrame) -> DataFrame:
     """(file, doc): small documents, one per row."""
-    texts = reader.text([path] if isinstance(path, str) else list(path), wholetext=True)
-    return texts.select(F.col("_metadata.file_path").alias("file"), K.strip(F.col("value")).alias("doc"))
+    return read_files(files).select(F.col("path").alias("file"), K.strip(F.col("content")).alias("doc"))
 
 
 def _sidecar_reason() -> Column:
@@ -255,7 +255,6 @@ def _sidecar_reason() -> Column:
 
 def scan_sidecars(spark: SparkSession, root: str, schema: T.StructType | str, strict: bool = False) -> DataFrame:
     """Sidecar documents below a folder with their path; broken ones are left out, or fail the job when strict."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
-    docs = _whole_documents(reader, root).withColumn("reason", _sidecar_reason())
+    docs = _whole_documents(list_tree(spark, root, "*.json")).withColumn("reason", _sidecar_reason())
     usable = _strict(docs) if strict else docs.filter("reason IS NULL")
     return usable.select(F.col("file").alias("json_path"), F.from_json("doc", schema).alias("r")).select("json_path", "r.*")

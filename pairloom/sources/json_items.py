@@ -21,16 +21,15 @@ item.  Only a few numbers per range are shuffled between passes.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.session import map_arrow, materialise
+from pairloom.sources.file_lists import FILES, HELD, ROWS, list_tree, located
 
 RANGE_BYTES = 8 << 20
 _MORE = 1 << 20
@@ -46,7 +45,7 @@ class _File:
     """Byte ranges of a file."""
 
     def __init__(self, uri: str) -> None:
-        system, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+        system, path = located(uri)
         self.file = system.open_input_file(path)
 
     def read(self, start: int, stop: int) -> bytes:
@@ -130,32 +129,47 @@ def _key_before(file: _File, data: bytes, start: int, colon: int) -> str | None:
 
 
 def ranges(spark: SparkSession, paths: Sequence[str], size: int) -> DataFrame:
-    """(file, length, start, stop) of the ranges of all documents, dealt out over tasks.
+    """(file, length, start, stop) of the ranges of all documents, dealt out over tasks."""
+    return _spread(_cut(list_tree(spark, list(paths), recursive=False), size), size)
+
+
+def _cut(files: DataFrame, size: int) -> DataFrame:
+    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("length", F.lit(1)) - 1, F.lit(size).cast("bigint")))
+    parts = files.select(F.col("path").alias("file"), "length", starts.alias("start"))
+    return parts.withColumn("stop", F.least(F.col("start") + size, "length"))
+
+
+def _spread(parts: DataFrame, size: int) -> DataFrame:
+    """Ranges over as many tasks as their number and size ask for, and none if there are none.
 
     The number of partitions is given, for rows as small as these would be put
     into one task otherwise.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("path").alias("file"), "length")
-    starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest("length", F.lit(1)) - 1, F.lit(size).cast("bigint")))
-    parts = files.select("file", "length", starts.alias("start"))
-    parts = materialise(parts.withColumn("stop", F.least(F.col("start") + size, "length")))
     known = parts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).first()
-    at_once = max(1, min(known["n"], -(-(known["bytes"] or 0) // size) + spark.sparkContext.defaultParallelism))
-    return parts.repartition(at_once, "file", "start")
+    at_once = -(-(known["bytes"] or 0) // size) + parts.sparkSession.sparkContext.defaultParallelism
+    return parts.repartition(max(1, min(known["n"], max(at_once, -(-known["n"] // FILES)))), "file", "start")
 
 
 def _each_range(run, names: list[str], kinds: list[pa.DataType]):
     """mapInArrow function that calls run(file, row) -> rows for each range."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         name, file = None, None
+        rows, held = [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["file"] != name:
                     name, file = row["file"], _File(row["file"])
-                rows = list(run(file, row))
-                columns = zip(*rows) if rows else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+                # What many small ranges give is handed on together.
+                for found in run(file, row):
+                    rows.append(found)
+                    held += len(found[-1]) if isinstance(found[-1], bytes) else 0
+                    if held > HELD or len(rows) >= ROWS:
+                        yield pack(rows)
+                        rows, held = [], 0
+        if rows:
+            yield pack(rows)
 
     return over
 
@@ -200,6 +214,9 @@ _states.schema = pa.schema(
 _STATES = f"{_RANGE}, inside bigint, depth bigint, whole boolean"
 
 
+_LOOKED = (*(f.name for f in _states.schema), "first", "trail", "key", "box", "ones", "twos", "fresh")
+
+
 # --- second pass: what later ranges have to know ---------------------------------------------------------------
 
 
@@ -338,6 +355,29 @@ def _of(data: bytes, place: int) -> int:
 ITEMS = "file string, column string, kind string, place bigint, text binary"
 
 
+class _Held(_File):
+    """A file whose bytes have been read."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+
+    def read(self, start: int, stop: int) -> bytes:
+        return self.data[start:stop]
+
+
+_COUNTED = ("file", "length", "start", "stop", "odd", "delta_out", "delta_in")
+
+
+def _at_once(file: _File, row: dict):
+    """All passes over a document of one range: its items, and a row of kind document with `top` and whether there is a fault."""
+    held = _Held(file.read(0, row["length"]))
+    states = _states([dict(zip(_COUNTED, next(_count(held, row))))])
+    (context,) = _contexts([dict(zip(_LOOKED, next(_look(held, states[0]))))])
+    if not context["fault"]:
+        yield from _items(held, context)
+    yield row["file"], context["top"], "document", int(context["fault"]), None
+
+
 def read_items(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(items, documents): file, column, kind, place, text; and file, top, fault per document.
 
@@ -346,19 +386,31 @@ def read_items(spark: SparkSession, paths: str | Sequence[str], range_bytes: int
     document's brackets or strings don't end, or that something follows it; text
     inside an item is judged by whoever parses it.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    parts = ranges(spark, paths, range_bytes)
+    files = list_tree(spark, paths, recursive=False)
+    names, kinds = ["file", "column", "kind", "place", "text"], [_TEXT, _TEXT, _TEXT, _LONG, pa.binary()]
+    # Documents of one range are read once, by one task; most folders hold no others.
+    at_once = materialise(map_arrow(_spread(_cut(files.where(F.col("length") <= range_bytes), range_bytes), range_bytes), _each_range(_at_once, names, kinds), ITEMS))
+    is_doc = F.col("kind") == "document"
+    found, docs = at_once.where(~is_doc), at_once.where(is_doc).select("file", F.col("column").alias("top"), (F.col("place") == 1).alias("fault"))
+    large = files.where(F.col("length") > range_bytes)
+    if large.isEmpty():
+        return found, docs
+    more, others = _in_passes(_spread(materialise(_cut(large, range_bytes)), range_bytes))
+    return found.unionByName(more), docs.unionByName(others)
+
+
+def _in_passes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """read_items for documents of many ranges."""
     at_once = parts.rdd.getNumPartitions()
     counted = map_arrow(
         parts,
-        _each_range(_count, ["file", "length", "start", "stop", "odd", "delta_out", "delta_in"], [_TEXT] + [_LONG] * 6),
+        _each_range(_count, list(_COUNTED), [_TEXT] + [_LONG] * 6),
         f"{_RANGE}, odd bigint, delta_out bigint, delta_in bigint",
     )
     states = materialise(counted.groupBy("file").applyInArrow(_in_order(_states), _STATES))
-    names = [f.name for f in _states.schema] + ["first", "trail", "key", "box", "ones", "twos", "fresh"]
     kinds = [f.type for f in _states.schema] + [_TEXT, pa.bool_(), _TEXT, _TEXT, _LONG, _LONG, pa.bool_()]
     schema = f"{_STATES}, first string, trail boolean, key string, box string, ones bigint, twos bigint, fresh boolean"
-    looked = map_arrow(states.repartition(at_once, "file", "start"), _each_range(_look, names, kinds), schema)
+    looked = map_arrow(states.repartition(at_once, "file", "start"), _each_range(_look, list(_LOOKED), kinds), schema)
     contexts = materialise(looked.groupBy("file").applyInArrow(_in_order(_contexts), _CONTEXTS))
     found = map_arrow(
         contexts.where("NOT fault").repartition(at_once, "file", "start"),

@@ -6,12 +6,14 @@ import re
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrameReader, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import __spark_entry__ as entry
 from pairloom import session
 from pairloom.operators import latents as L, manifest as M
-from pairloom.sources import file_moves as FM, image_sizes as IS, json_docs as JD, json_items as JI, keyed, payload_files as PF, sinks, tables
+from pairloom.sources import file_lists as FL, file_moves as FM, image_sizes as IS, json_docs as JD, json_items as JI, keyed, payload_files as PF, sinks, tables
 
 EMB = T.StructType(
     [
@@ -450,3 +452,36 @@ def test_image_sizes_from_headers(kind):
     assert of(b"")[3] == "format" and of(b"GIF89a......")[3] == "format" and of(b"\xff\xd8\xff\xd9")[3] == "no_frame"
     assert of(b"\xff\xd8\x00\x00")[3] == "broken" and of(b"\xff\xd8\xff\xe0\x00\x01")[3] == "broken"
     assert of(_image("png", 1, 5)[:16] + b"\0" * 8)[3] == "no_size" and of(b"RIFF....WEBPALPH....")[3] == "broken"
+
+
+def test_lists_follow_the_rules_of_scans_without_the_driver(spark, tmp_path, rows, monkeypatch):
+    """The files a Spark scan finds, also where every folder is a round of its own."""
+    names = ("a.json", "_hidden.json", ".dot.json", "b c%20é.json", "note.txt", "deep/x/a.json", "deep/_no/a.json", "deep/.no/a.json", "doc=1/a.json", "doc=2/_SUCCESS", "empty.json")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if name == "empty.json" else name)
+    scan = lambda: spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
+    for budget in (FL.NAMES, 0):
+        monkeypatch.setattr(FL, "NAMES", budget)
+        found = FL.list_tree(spark, str(tmp_path), "*.json")
+        assert rows(found) == rows(scan().option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "length")) and found.count() == 4
+        assert {r.path.rsplit("/", 1)[1]: bytes(r.content).decode() for r in FL.read_files(found).collect()}["b c%20é.json"] == "b c%20é.json"
+    flat = [str(tmp_path / "deep" / "x"), f"{tmp_path}/d?c=*", f"{tmp_path}/{{a,note}}.*", str(tmp_path / "a.json")]
+    assert rows(FL.list_tree(spark, flat[:3], recursive=False)) == rows(spark.read.format("binaryFile").load(flat[:3]).select("path", "length"))
+    assert rows(FL.list_tree(spark, flat[3])) == rows(scan().load(flat[3]).select("path", "length"))
+    for missing in (f"{tmp_path}/none", f"{tmp_path}/none*"):
+        with pytest.raises(FileNotFoundError):
+            FL.list_tree(spark, missing)
+
+
+@pytest.mark.parametrize("name", ["k7_payload_files", "s11_sidecars", "s7_bad_documents", "s6_bad_documents", "s5_bad_documents", "s11_bad_documents", "s2_bad_documents", "s8_bad_documents", "j14_rewrite_sidecars", "s9_image_scan"])
+def test_no_list_of_many_files_is_made_by_the_driver(spark, monkeypatch, name):
+    """Spark's file index, which the driver holds, sees the part files of tables only: no folder of one file per row."""
+    loads, load = [], DataFrameReader.load
+    monkeypatch.setattr(DataFrameReader, "load", lambda self, *a, **k: loads.append(a) or load(self, *a, **k))
+    texts = []
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **k: texts.append(a))
+    partitioned = []
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *a: partitioned.append(a) or self)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
+    assert not loads and not texts and not partitioned
