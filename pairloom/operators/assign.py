@@ -223,7 +223,7 @@ def _identity_columns(rows: DataFrame, row_key: str, keys: Sequence[str]) -> lis
 def _row_identity(rows: DataFrame, row_key: str, keys: Sequence[str]) -> Column:
     """One value per row identity, never null."""
     parts = F.struct(*[F.col(c) for c in _identity_columns(rows, row_key, keys)])
-    return F.sha2(F.to_json(parts, {"ignoreNullFields": "false"}), 256)
+    return F.unhex(F.md5(F.to_json(parts, {"ignoreNullFields": "false"})))
 
 
 @dataclass(frozen=True)
@@ -296,7 +296,7 @@ def sample_held_out(
     counts = ["num_candidate_pairs_before_filter", "__left"]
     narrow = (
         rows.select(ROW, *dict.fromkeys([*keys, *named]))
-        .distinct()
+        .dropDuplicates([ROW])
         .join(ranked.sizes, keys, "left")
         .join(gone, ROW, "left")
         .fillna(0, ["num_candidate_pairs_before_filter", "__n"])
@@ -316,8 +316,9 @@ def sample_held_out(
     result = (
         draws.select(*keys, ROW, *counts, "__i", spot.alias("__at"))
         .join(placed, [*keys, "__at"], "left")
-        .groupBy(ROW, *counts)
-        .agg(F.array_sort(F.collect_list(drawn)).alias("query_pairs"))
+        # A row's counts are one; grouped by the row alone, the result is dealt out as the last join needs it.
+        .groupBy(ROW)
+        .agg(*[F.any_value(c).alias(c) for c in counts], F.array_sort(F.collect_list(drawn)).alias("query_pairs"))
         .select(
             ROW,
             counts[0],

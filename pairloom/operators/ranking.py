@@ -18,6 +18,7 @@ from pairloom.session import materialise
 
 BUCKET = "__bucket"
 BEFORE = "__before"
+SPOT = "__spot"
 WIDTH = 1 << 20
 # Leading hex digits of a digest that name a bucket: 65,536 of them per key.
 DIGITS = 4
@@ -26,19 +27,26 @@ DIGITS = 4
 def _offset_ranks(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None
 ) -> DataFrame:
-    spot = [*keys, BUCKET]
-    sizes = df.groupBy(*spot).agg(F.count(F.lit(1)).alias("__size"))
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    # Keys and bucket in one value, which is never null and equals itself where a key is null: the
+    # join then finds the rows dealt out and sorted as the window left them.
+    spot = F.struct(*[F.col(c) for c in (*keys, BUCKET)]).alias(SPOT)
+    rest = [c for c in df.columns if c not in (*keys, BUCKET)]
+    sizes = df.groupBy(spot).agg(F.count(F.lit(1)).alias("__size"))
+    # Columns of their own, so that both windows share one exchange.
+    same = [f"__key_{n}" for n in range(len(keys))]
+    sizes = sizes.withColumns({name: F.col(SPOT)[c] for name, c in zip(same, keys)})
+    earlier = Window.partitionBy(*same).orderBy(F.col(SPOT)[BUCKET]).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn(BEFORE, F.coalesce(F.sum("__size").over(earlier), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("__size").over(Window.partitionBy(*keys)))
-    offsets = offsets.drop("__size")
-    inside = Window.partitionBy(*spot).orderBy(*order)
+        offsets = offsets.withColumn(total, F.sum("__size").over(Window.partitionBy(*same)))
+    offsets = offsets.drop("__size", *same)
+    inside = Window.partitionBy(SPOT).orderBy(*order)
     return (
-        df.withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
-        .transform(null_safe_join, offsets, spot)
+        df.select(spot, *rest)
+        .withColumn(name, F.row_number().over(inside).cast("bigint") - 1)
+        .join(offsets, SPOT)
         .withColumn(name, F.col(name) + F.col(BEFORE))
-        .drop(BUCKET, BEFORE)
+        .select(*[F.col(SPOT)[c].alias(c) if c in keys else c for c in df.columns if c != BUCKET], name, *([total] if total else []))
     )
 
 

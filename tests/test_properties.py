@@ -378,3 +378,27 @@ def test_uids_without_an_order_are_ranked_in_many_tasks(spark):
     # With an order the line decides first.
     by_line = {r.uid: r.place for r in M.ordered_unique_uids(M.referenced_uids(lines, order="id")).filter("place < 6").collect()}
     assert by_line == {"p0": 0, "d0": 1, "p1": 2, "d1": 3, "p2": 4, "d2": 5}
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_ranked_rows_are_dealt_out_once(spark):
+    """The join with the offsets takes rows as the window left them, with null keys as well."""
+    from pairloom.operators.ranking import position_by_hash
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(2000).select(
+            F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("a"), F.when(F.col("id") % 2 > 0, F.lit("x")).alias("b"),
+            F.md5(F.col("id").cast("string")).alias("h"), "id",
+        )
+        placed = position_by_hash(df, ["a", "b"], "h", ["id"], "place", 1, total="n")
+        # The rows once; the counts by bucket, by key, and for the join.
+        assert _exchanges(placed) <= 4
+        plain = Window.partitionBy("a", "b")
+        want = df.select("*", (F.row_number().over(plain.orderBy("h", "id")) - 1).cast("bigint").alias("place"), F.count(F.lit(1)).over(plain).alias("n"))
+        assert placed.columns == want.columns and sorted(map(tuple, placed.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
