@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import constants as C
 from pairloom.functions import keys as K
 from pairloom.functions.tensors import let
-from pairloom.operators.ranking import DIGITS, position_by_hash
+from pairloom.operators.ranking import DIGITS, apart, bucket_positions, plain_positions
 from pairloom.operators.shots import USER, first_per_key
 from pairloom.session import materialise
 
@@ -209,10 +209,13 @@ def held_out_counts(
     )
 
 
+def _pooled(pool: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_candidate_pairs_before_filter"))
+
+
 def _user_sizes(pool: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per user: pool rows, and distinct candidates as __n."""
-    pooled = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_candidate_pairs_before_filter"))
-    return pooled.join(candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), list(keys))
+    return _pooled(pool, keys).join(candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), list(keys))
 
 
 def _identity_columns(rows: DataFrame, row_key: str, keys: Sequence[str]) -> list[str]:
@@ -238,9 +241,15 @@ def rank_pool(pool: DataFrame, seed: int = 0, keys: Sequence[str] = USER, digits
     """Ranks a pool once, for any number of calls that draw from it."""
     keys = list(keys)
     digest = K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
-    candidates = distinct_candidates(pool, keys).withColumn("__h", digest)
-    placed = materialise(position_by_hash(candidates, keys, "__h", SIGNATURE, "__at", digits).drop("__h"))
-    return RankedPool(placed, materialise(_user_sizes(pool, placed, keys)))
+    candidates = lambda rows: distinct_candidates(rows, keys).withColumn("__h", digest)
+    pooled = materialise(_pooled(pool, keys))
+    light, heavy = apart(pool, keys, pooled.withColumnRenamed("num_candidate_pairs_before_filter", "__rows"))
+    # A light user's rows are dealt out once, by user, and deduped and ranked where they are.
+    placed = plain_positions(candidates(light.repartition(*keys)), keys, [F.col(c) for c in ("__h", *SIGNATURE)], "__at")
+    if heavy is not None:
+        placed = placed.unionByName(bucket_positions(candidates(heavy), keys, "__h", SIGNATURE, "__at", digits))
+    placed = materialise(placed.drop("__h"))
+    return RankedPool(placed, materialise(pooled.join(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys)))
 
 
 def _draw(seed: int, named: Sequence[str], left: Column, k: int) -> Column:
@@ -277,8 +286,8 @@ def sample_held_out(
     the m places by itself, uniformly and without replacement.  A row is told
     apart by its keys, id, shard and row number.
 
-    Building the plan writes the ranked pool and the users' counts, and nothing
-    else; pass what rank_pool returns (made with the same seed) to reuse them.
+    Building the plan writes the ranked pool and the users' counts, heavy users
+    among them, and nothing else; pass what rank_pool returns (made with the same seed) to reuse them.
     """
     if k < 1:
         raise ValueError("k must be at least 1")

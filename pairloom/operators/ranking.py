@@ -4,7 +4,8 @@ A plain ranking window sends every row of a key to one task, so a key with a
 third of all rows stalls the job.  Here each key is cut into ordered buckets:
 rows are ranked inside (key, bucket), bucket sizes are pre-aggregated, and a
 running total over the few buckets of a key supplies the offset.  The result is
-exactly the rank the plain window would give.
+exactly the rank the plain window would give.  Where keys are counted first, only
+heavy ones are cut; the others, however many, take the plain window.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ SPOT = "__spot"
 WIDTH = 1 << 20
 # Leading hex digits of a digest that name a bucket: 65,536 of them per key.
 DIGITS = 4
+# A key with more rows than this is heavy.
+HEAVY = 1 << 16
 
 
 def _offset_ranks(
@@ -50,6 +53,41 @@ def _offset_ranks(
     )
 
 
+def apart(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of light keys, rows of heavy keys or None if there are none); null keys are a key.
+
+    `counts` may be any (keys, __rows) that are not below the numbers of rows.
+    Heavy keys are few and stored, so the planner knows how few.
+    """
+    key = F.struct(*[F.col(k) for k in keys]).alias(SPOT)
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    heavy = materialise(counts.filter(F.col("__rows") > HEAVY).select(key))
+    if heavy.isEmpty():
+        return rows, None
+    marked = rows.select("*", key)
+    return marked.join(heavy, SPOT, "left_anti").drop(SPOT), marked.join(heavy, SPOT, "left_semi").drop(SPOT)
+
+
+def plain_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
+    """0-based place of each row among its key's rows, for light keys: a key is ranked in one task."""
+    own = Window.partitionBy(*keys)
+    placed = df.withColumn(name, F.row_number().over(own.orderBy(*order)).cast("bigint") - 1)
+    return placed.withColumn(total, F.count(F.lit(1)).over(own)) if total else placed
+
+
+def bucket_positions(
+    df: DataFrame, keys: Sequence[str], digest: str, tie: Sequence[str], name: str, digits: int = DIGITS, total: str | None = None
+) -> DataFrame:
+    """0-based place of each row among its key's rows in digest order, for keys of any size.
+
+    The leading hex digits of the digest are the bucket: they are uniform, so a
+    key spreads over 16^digits groups.
+    """
+    bucketed = df.withColumn(BUCKET, F.substring(F.col(digest), 1, digits))
+    return _offset_ranks(bucketed, keys, [F.col(digest), *[F.col(t) for t in tie]], name, total)
+
+
 def position_by_hash(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,14 +97,14 @@ def position_by_hash(
     digits: int = DIGITS,
     total: str | None = None,
 ) -> DataFrame:
-    """0-based place of each row among its key's rows in digest order.
+    """0-based place of each row among its key's rows in digest order; null keys are a key.
 
-    The leading hex digits of the digest are the bucket: they are uniform, so a
-    key of any size spreads over 16^digits groups.  Keys must not be null.
+    Keys are counted first: light ones take the plain window, heavy ones buckets.
     `total` names a column for the key's row count, which comes along for free.
     """
-    bucketed = df.withColumn(BUCKET, F.substring(F.col(digest), 1, digits))
-    return _offset_ranks(bucketed, keys, [F.col(digest), *[F.col(t) for t in tie]], name, total)
+    light, heavy = apart(df, keys)
+    placed = plain_positions(light, keys, [F.col(digest), *[F.col(t) for t in tie]], name, total)
+    return placed if heavy is None else placed.unionByName(bucket_positions(heavy, keys, digest, tie, name, digits, total))
 
 
 def position_by_ordinal(

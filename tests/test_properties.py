@@ -402,3 +402,28 @@ def test_ranked_rows_are_dealt_out_once(spark):
         assert placed.columns == want.columns and sorted(map(tuple, placed.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_only_heavy_keys_are_cut_into_buckets(spark, monkeypatch):
+    """Light keys are ranked and gathered where one exchange by key put them; heavy ones get the same places."""
+    from pairloom.operators import ranking
+
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("split"), F.when(F.col("id") % 10 > 0, F.lit("x")).alias("user_id"), (F.col("id") % 400).cast("string").alias("preferred_uid"),
+        F.lit("d").alias("dispreferred_uid"), F.lit("c").alias("caption"), F.col("id").alias("row_idx"), F.col("id").alias("source_row_idx"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        # All keys light, some, none.
+        for heavy, exchanges in ((1 << 16, 1), (500, 12), (0, 12)):
+            monkeypatch.setattr(ranking, "HEAVY", heavy)
+            groups = shots.gather_shots(shots.chunk_shots(df))
+            assert _exchanges(groups) <= exchanges
+            # Users without a null, as pools have them.
+            pool = assign.rank_pool(df.fillna("n", ["split", "user_id"]))
+            sizes = pool.sizes.select("split", "user_id", "num_candidate_pairs_before_filter", "__n")
+            got.append([sorted(map(tuple, x.collect()), key=repr) for x in (groups, pool.placed.select(sorted(pool.placed.columns)), sizes)])
+        assert got[0] == got[1] == got[2] and all(map(len, got[0]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
