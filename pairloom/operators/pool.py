@@ -20,6 +20,7 @@ REASONS = (
     "missing_best_image_uid",
     "best_uid_mismatch",
 )
+TEXT = "__text_"
 
 
 def flag_reason(
@@ -100,10 +101,16 @@ def pool_records(
     best_image_uid: str = "best_image_uid",
 ) -> DataFrame:
     """Pool rows of already checked preference rows; extra fields become `field__<name>`."""
-    best, first, second = (K.strip(F.col(c)) for c in (best_image_uid, image_0_uid, image_1_uid))
+    names = (user_id, best_image_uid, image_0_uid, image_1_uid)
+    return _records(df, caption, include_fields, *[K.strip(F.col(c)) for c in names])
+
+
+def _records(
+    df: DataFrame, caption: str, include_fields: Sequence[str], user: Column, best: Column, first: Column, second: Column
+) -> DataFrame:
     # The best uid is known to be one of the two here, so it is the preferred one.
     return df.select(
-        K.strip(F.col(user_id)).alias("user_id"),
+        user.alias("user_id"),
         best.alias("preferred_uid"),
         F.when(best == first, second).otherwise(first).alias("dispreferred_uid"),
         F.col(caption).cast("string").alias("caption"),
@@ -137,12 +144,16 @@ def build_pool(
     fields = ("user_id", "caption", "image_0_uid", "image_1_uid", "best_image_uid")
     for c in fields:
         labelled = labelled.filter(F.col(name(c)).isNotNull())
-    best, first, second = (K.strip(F.col(name(c))) for c in ("best_image_uid", "image_0_uid", "image_1_uid"))
-    kept = labelled.filter(best.isin(first, second))
+    # Each text is stripped once: a filter over a generator's columns is not turned back into one
+    # that strips again for every test, as a filter over a projection is.
+    texts = F.struct(*[K.strip(F.col(name(c))).alias(f"{TEXT}{c}") for c in fields])
+    kept = labelled.select("*", F.inline(F.array(texts)))
+    user, caption, first, second, best = (F.col(f"{TEXT}{c}") for c in fields)
+    kept = kept.filter(best.isin(first, second))
     # The best uid equals one of the image uids by now, so it needs no test of its own.
-    for c in fields[:4]:
-        kept = kept.filter(~K.is_missing(F.col(name(c))))
-    return pool_records(kept, include_fields, **columns)
+    for text in (user, caption, first, second):
+        kept = kept.filter(~K.stands_for_nothing(text))
+    return _records(kept, name("caption"), include_fields, user, best, first, second)
 
 
 def reason_counts(marked: DataFrame) -> DataFrame:

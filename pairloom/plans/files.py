@@ -108,7 +108,8 @@ def s5(spark, sf):
     # The user id is left out of every other record, where the key stands in for it.
     own = F.when(F.col("row_idx") % 2 == 0, F.col("user_id")).alias("user_id")
     record = F.struct(own, "preferred_uid", "dispreferred_uid", "caption", "pair_key", "source_row_idx")
-    lists = rows.groupBy("doc", "user_id").agg(F.collect_list(record).alias("records"))
+    # Dealt out by document once: nearly every row is a list of its own, so nothing is gained by listing them before.
+    lists = rows.repartition("doc").groupBy("doc", "user_id").agg(F.collect_list(record).alias("records"))
     docs = lists.groupBy("doc").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("user_id", "records")))).alias("value"))
     return JD.read_user_grouped_json(spark, _write_documents(docs, path), POOL).drop("file", "pos")
 

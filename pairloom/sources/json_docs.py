@@ -37,9 +37,8 @@ def _judged(spark: SparkSession, path: str | Sequence[str], kind: str, range_byt
     )
     items = items.select("file", "column", "kind", "place", whole.alias("text"))
     valid = F.when(F.col("kind") == "bad", False).otherwise((F.col("kind") == "box") | F.try_parse_json("text").isNotNull())
-    # Stored, for a document is used only when all of its items are known to be sound.
-    items = materialise(items.withColumn("valid", valid))
-    broken = items.where("NOT valid").select("file").distinct().withColumn("broken", F.lit(True))
+    # A document is used only when all of its items are known to be sound; they are stored, so this reads them once more.
+    broken = items.where(~valid).select("file").distinct().withColumn("broken", F.lit(True))
     docs = docs.join(broken, "file", "left")
     lacks = []
     if kind in ("uids", "samples"):

@@ -33,6 +33,8 @@ from pairloom.sources.file_lists import FILES, HELD, ROWS, list_tree, located
 
 RANGE_BYTES = 8 << 20
 _MORE = 1 << 20
+# Bytes before a delimiter that are looked at first.
+_NEAR = 256
 _QUOTE, _ESCAPE = 34, 92
 _BLANK = b" \t\r\n"
 _MARK = np.zeros(256, bool)
@@ -104,8 +106,12 @@ def tokens(data: bytes, escaped: bool, inside: bool, depth: int) -> _Tokens:
 
 
 def _key_before(file: _File, data: bytes, start: int, colon: int) -> str | None:
-    """The string that ends before a colon at data[colon]; its beginning may lie before the data."""
-    text, base = data[:colon], start
+    """The string that ends before a colon at data[colon]; its beginning may lie before the data.
+
+    Only as much is looked at as the string and what stands behind it are long.
+    """
+    low = max(0, colon - _NEAR)
+    text, base = data[low:colon], start + low
     while True:
         body = text.rstrip(_BLANK)
         if body:
@@ -113,8 +119,11 @@ def _key_before(file: _File, data: bytes, start: int, colon: int) -> str | None:
                 return None
             at = len(body) - 1
             while (at := body.rfind(b'"', 0, at)) >= 0:
-                slashes = len(body[:at]) - len(body[:at].rstrip(b"\\"))
+                slashes = at - len(body[:at].rstrip(b"\\"))
                 if slashes % 2 == 0 and (slashes < at or base == 0):
+                    own = body[at + 1 : -1]
+                    if own.isascii() and _ESCAPE not in own and (plain := own.decode()).isprintable():
+                        return plain
                     try:
                         return json.loads(body[at:])
                     except ValueError:
@@ -122,7 +131,8 @@ def _key_before(file: _File, data: bytes, start: int, colon: int) -> str | None:
         if base == 0:
             return None
         more = max(0, base - max(1024, len(text)))
-        text, base = file.read(more, base) + text, more
+        held = data[max(0, more - start) : base - start] if base > start else b""
+        text, base = file.read(more, base - len(held)) + held + text, more
 
 
 # --- first pass: quotes and brackets ---------------------------------------------------------------------------
@@ -348,8 +358,13 @@ def _items(file: _File, row: dict):
 
 def _of(data: bytes, place: int) -> int:
     """The last byte before a place that is not blank."""
-    before = data[:place].rstrip(_BLANK)
-    return before[-1] if before else ord(":")
+    while place > 0:
+        low = max(0, place - _NEAR)
+        before = data[low:place].rstrip(_BLANK)
+        if before:
+            return before[-1]
+        place = low
+    return ord(":")
 
 
 ITEMS = "file string, column string, kind string, place bigint, text binary"
@@ -371,11 +386,24 @@ _COUNTED = ("file", "length", "start", "stop", "odd", "delta_out", "delta_in")
 def _at_once(file: _File, row: dict):
     """All passes over a document of one range: its items, and a row of kind document with `top` and whether there is a fault."""
     held = _Held(file.read(0, row["length"]))
-    states = _states([dict(zip(_COUNTED, next(_count(held, row))))])
-    (context,) = _contexts([dict(zip(_LOOKED, next(_look(held, states[0]))))])
-    if not context["fault"]:
-        yield from _items(held, context)
-    yield row["file"], context["top"], "document", int(context["fault"]), None
+    (state,) = _states([dict(zip(_COUNTED, next(_count(held, row))))])
+    top, trail = _ends(held.data)
+    fault = not state["whole"] or trail or not top
+    if not fault:
+        # Nothing stands before the range, so there is nothing to know of what does.
+        yield from _items(held, state | {"top": top, "key": None, "box": None, "ones": 0, "twos": 0})
+    yield row["file"], top, "document", int(fault), None
+
+
+def _ends(data: bytes) -> tuple[str, bool]:
+    """The first character that is not blank, and whether anything follows the document's last bracket."""
+    rest = data.lstrip(_BLANK)
+    found = tokens(data, False, False, 0)
+    after = np.array(found.after, np.int64)
+    closing = np.flatnonzero((after <= 0) & np.isin(found.char, list(b"]}")))
+    if not len(closing):
+        return chr(rest[0]) if rest else "", False
+    return chr(rest[0]), bool(data[found.place[closing[-1]] + 1 :].strip(_BLANK)) or bool(after[closing[-1]] < 0)
 
 
 def read_items(spark: SparkSession, paths: str | Sequence[str], range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -384,7 +412,7 @@ def read_items(spark: SparkSession, paths: str | Sequence[str], range_bytes: int
     `text` is an entry ("key": value) for scalar and map items, a value for the
     others; `place` numbers the elements of lists from 0.  `fault` says that the
     document's brackets or strings don't end, or that something follows it; text
-    inside an item is judged by whoever parses it.
+    inside an item is judged by whoever parses it.  Both are stored.
     """
     files = list_tree(spark, paths, recursive=False)
     names, kinds = ["file", "column", "kind", "place", "text"], [_TEXT, _TEXT, _TEXT, _LONG, pa.binary()]
@@ -412,9 +440,10 @@ def _in_passes(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema = f"{_STATES}, first string, trail boolean, key string, box string, ones bigint, twos bigint, fresh boolean"
     looked = map_arrow(states.repartition(at_once, "file", "start"), _each_range(_look, list(_LOOKED), kinds), schema)
     contexts = materialise(looked.groupBy("file").applyInArrow(_in_order(_contexts), _CONTEXTS))
+    # Stored, for callers judge all items of a document before they use any.
     found = map_arrow(
         contexts.where("NOT fault").repartition(at_once, "file", "start"),
         _each_range(_items, ["file", "column", "kind", "place", "text"], [_TEXT, _TEXT, _TEXT, _LONG, pa.binary()]),
         ITEMS,
     )
-    return found, contexts.where("start = 0").select("file", "top", "fault")
+    return materialise(found), contexts.where("start = 0").select("file", "top", "fault")

@@ -223,3 +223,19 @@ def test_moments_merge_without_loss(spark, shift, parts):
     states = df.select("k", X.moments(X.finite_only(F.col("vals"))).alias("m"))
     twice = Q.merge_moments(Q.merge_moments(states, ["k"]).select(F.struct("n", "mean", "m2", "rest").alias("m"))).select("n", Q.merged_std().alias("std")).first()
     assert twice.n == whole.size and close(twice.std, std(whole))
+
+
+def test_stripped_texts_have_no_white_space_at_their_ends(spark):
+    """Texts between visible characters are left alone; all others lose what the list of white space holds."""
+    cores = ["", "a", "~", "!", "\u00e9", "a b", "\u00e9 x \u00e9", "\x7f", "\x00a", "a\u3000b", "\u200b"]
+    texts = [a + c + b for c in cores for a in ("", *K.WHITE_SPACE, " \t") for b in ("", *K.WHITE_SPACE, "\n ")]
+    df = spark.createDataFrame([(t,) for t in [None, *texts]], "t string").select("t", K.strip(F.col("t")).alias("s"))
+    assert all(r["s"] == (r["t"] if r["t"] is None else r["t"].strip(K.WHITE_SPACE)) for r in df.collect())
+
+
+def test_pool_texts_are_stripped_once(spark):
+    """The tests and the rows of the pool share one stripped form of each of the five texts."""
+    names = ["user_id", "caption", "image_0_uid", "image_1_uid", "best_image_uid"]
+    df = spark.range(10).select(F.col("id").alias("row_idx"), F.lit("train").alias("split"), *[F.concat("id", F.lit(n)).alias(n) for n in names])
+    plan = P.build_pool(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" trim(") == 5

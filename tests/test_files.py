@@ -485,3 +485,28 @@ def test_no_list_of_many_files_is_made_by_the_driver(spark, monkeypatch, name):
     monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *a: partitioned.append(a) or self)
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count()
     assert not loads and not texts and not partitioned
+
+
+def test_keys_are_found_without_copying_the_document():
+    """What is looked at for a key grows with the key, not with what stands before it."""
+    from pairloom.sources import json_items
+
+    class Counted(bytes):
+        taken = 0
+
+        def __getitem__(self, at):
+            part = bytes.__getitem__(self, at)
+            Counted.taken += len(part) if isinstance(part, bytes) else 1
+            return part
+
+    key = "k" * 3000 + '\\"\\\\'
+    data = Counted(b'{"a": [1], ' * 20000 + f'"{key}"  '.encode() + b": [")
+    colon = len(data) - 3
+    file = json_items._Held(bytes(data))
+    assert json_items._key_before(file, data, 0, colon) == "k" * 3000 + '"\\' and Counted.taken < 20000
+    # The beginning of the key may stand before the range.
+    for start in (colon - 2, colon - 1000, colon - 3020):
+        assert json_items._key_before(file, bytes(data)[start:], start, colon - start) == "k" * 3000 + '"\\'
+    Counted.taken = 0
+    assert json_items._of(data, colon + 2) == ord(":") and json_items._of(data, colon) == ord('"') and Counted.taken < 2000
+    assert json_items._of(b" " * 1000, 999) == ord(":") and json_items._of(b"x" + b" " * 1000, 999) == ord("x")
