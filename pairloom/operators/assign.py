@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pairloom import constants as C
 from pairloom.functions import keys as K
 from pairloom.functions.tensors import let
-from pairloom.operators.ranking import DIGITS, apart, bucket_positions, plain_positions
+from pairloom.operators.ranking import DIGITS, apart, bucket_positions, light_window
 from pairloom.operators.shots import USER, first_per_key
 from pairloom.session import materialise
 
@@ -135,13 +135,16 @@ def distinct_candidates(pool: DataFrame, keys: Sequence[str] = USER) -> DataFram
 
     A missing caption counts as the empty one.
     """
-    cleaned = pool.withColumn("caption", F.when(K.is_blank(F.col("caption")), "").otherwise(F.col("caption")))
-    wanted = [*keys, *SIGNATURE, *[c for c in ("pair_idx", "pair_key") if c in pool.columns], "source_row_idx"]
     return first_per_key(
-        cleaned.select(*wanted).withColumn("__o", F.col("source_row_idx")), [*keys, *SIGNATURE], "__o"
+        _candidate_rows(pool, keys).withColumn("__o", F.col("source_row_idx")), [*keys, *SIGNATURE], "__o"
     ).drop("__o")
 
 
+def _candidate_rows(pool: DataFrame, keys: Sequence[str]) -> DataFrame:
+    cleaned = pool.withColumn("caption", F.when(K.is_blank(F.col("caption")), "").otherwise(F.col("caption")))
+    return cleaned.select(*keys, *SIGNATURE, *[c for c in ("pair_idx", "pair_key") if c in pool.columns], "source_row_idx")
+
+
 def candidate_counts(rows: DataFrame, pool: DataFrame, keys: Sequence[str] = USER) -> DataFrame:
     """Embedding rows with the number of pool pairs their user has (0 where none)."""
     sizes = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_candidate_pairs_before_filter"))
@@ -174,7 +177,7 @@ def support_matches(
         )
     )
     side = rows.select(*keys, row_key, F.inline(listed))
-    exact = side.join(candidates, [*keys, *SIGNATURE])
+    exact = prefixed_join(side, candidates, [*keys, *SIGNATURE])
     if captions_checked:
         return exact
     uids = [*keys, *SIGNATURE[:2]]
@@ -184,6 +187,12 @@ def support_matches(
     return exact.unionByName(open_side).unionByName(open_pool)
 
 
+def prefixed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on keys that would be slow to sort by themselves."""
+    sides = [df.withColumn(K.PREFIX, K.prefix(*keys)) for df in (left, right)]
+    return sides[0].join(sides[1], [K.PREFIX, *keys], how).drop(K.PREFIX)
+
+
 def held_out_counts(
     rows: DataFrame,
     pool: DataFrame,
@@ -241,13 +250,19 @@ def rank_pool(pool: DataFrame, seed: int = 0, keys: Sequence[str] = USER, digits
     """Ranks a pool once, for any number of calls that draw from it."""
     keys = list(keys)
     digest = K.seeded_hash(seed, *[F.col(c) for c in (*keys, *SIGNATURE)])
-    candidates = lambda rows: distinct_candidates(rows, keys).withColumn("__h", digest)
     pooled = materialise(_pooled(pool, keys))
     light, heavy = apart(pool, keys, pooled.withColumnRenamed("num_candidate_pairs_before_filter", "__rows"))
-    # A light user's rows are dealt out once, by user, and deduped and ranked where they are.
-    placed = plain_positions(candidates(light.repartition(*keys)), keys, [F.col(c) for c in ("__h", *SIGNATURE)], "__at")
+    # A light user's rows are dealt out and sorted once; equal pairs stand together, the first of them counts.
+    pair = F.struct(*SIGNATURE)
+    ordered = light_window(keys).orderBy("__h", *SIGNATURE, F.asc_nulls_last("source_row_idx"))
+    dealt = _candidate_rows(light, keys).withColumn(K.PREFIX, K.prefix(*keys)).repartition(K.PREFIX, *keys)
+    same = F.lag(pair).over(ordered).eqNullSafe(pair)
+    firsts = dealt.withColumn("__h", digest).withColumn("__same", same).filter("NOT __same").drop("__same")
+    at = F.row_number().over(light_window(keys).orderBy("__h", *SIGNATURE)).cast("bigint") - 1
+    placed = firsts.withColumn("__at", at).drop(K.PREFIX)
     if heavy is not None:
-        placed = placed.unionByName(bucket_positions(candidates(heavy), keys, "__h", SIGNATURE, "__at", digits))
+        candidates = distinct_candidates(heavy, keys).withColumn("__h", digest)
+        placed = placed.unionByName(bucket_positions(candidates, keys, "__h", SIGNATURE, "__at", digits))
     placed = materialise(placed.drop("__h"))
     return RankedPool(placed, materialise(pooled.join(placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), keys)))
 
@@ -297,34 +312,52 @@ def sample_held_out(
     # The seed and these name a row's draw.
     named = [c for c in (row_key, "shard_id", "source_embedding_row_idx") if c in rows.columns]
     rows = rows.withColumn(ROW, _row_identity(rows, row_key, keys))
+    # Matches go to their row before they are gathered, for those of one row seldom meet earlier.
     gone = (
         support_matches(rows, placed.select(*keys, *SIGNATURE, "__at"), ROW, pairs, keys, captions_checked)
+        .select(ROW, "__at")
+        .repartition(ROW)
         .groupBy(ROW)
         .agg(F.array_sort(F.collect_set("__at")).alias("__gone"))
     )
-    counts = ["num_candidate_pairs_before_filter", "__left"]
-    narrow = (
-        rows.select(ROW, *dict.fromkeys([*keys, *named]))
-        .dropDuplicates([ROW])
-        .join(ranked.sizes, keys, "left")
-        .join(gone, ROW, "left")
-        .fillna(0, ["num_candidate_pairs_before_filter", "__n"])
-        .withColumn("__gone", F.coalesce("__gone", F.array().cast("array<bigint>")))
-        .withColumn("__left", F.col("__n") - F.size("__gone"))
-    )
-    draws = narrow.select(
-        *keys, ROW, *counts, "__gone", F.posexplode_outer(_draw(seed, named, F.col("__left"), k)).alias("__i", "__free")
-    )
+
+    def counted(some: DataFrame) -> DataFrame:
+        known = some.join(gone, ROW, "left").join(ranked.sizes, keys, "left").fillna(0, ["num_candidate_pairs_before_filter", "__n"])
+        known = known.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<bigint>")))
+        return known.withColumn("__left", F.col("__n") - F.size("__gone"))
+
+    drawn_places = _draw(seed, named, F.col("__left"), k)
     spot = F.aggregate(
         F.col("__gone"), F.col("__free"), lambda at, skipped: F.when(skipped <= at, at + 1).otherwise(at)
     )
     pair_fields = [c for c in placed.columns if c not in (*keys, "__at")]
+    label = F.when(F.col("__left") <= k, "all_candidates").otherwise(f"random_sample_without_replacement_k={k}")
+    if k == 1:
+        # A row has one draw at most, so nothing is taken apart and put together again.
+        drawn = F.struct(*pair_fields)
+        found = placed.select(*keys, "__at", F.array(drawn).alias("query_pairs"))
+        return (
+            counted(rows)
+            .withColumn("__free", F.get(drawn_places, F.lit(0)))
+            .withColumn("__at", spot)
+            .drop("__gone", "__free", "__n", ROW)
+            .transform(prefixed_join, found, [*keys, "__at"], "left")
+            .select(
+                *[c for c in rows.columns if c != ROW],
+                "num_candidate_pairs_before_filter",
+                F.col("__left").alias("num_candidate_pairs_after_filter"),
+                label.alias("query_sampling_strategy"),
+                F.coalesce("query_pairs", F.array().cast(found.schema["query_pairs"].dataType)).alias("query_pairs"),
+            )
+        )
+    counts = ["num_candidate_pairs_before_filter", "__left"]
+    narrow = counted(rows.select(ROW, *dict.fromkeys([*keys, *named])).dropDuplicates([ROW]))
+    draws = narrow.select(*keys, ROW, *counts, "__gone", F.posexplode_outer(drawn_places).alias("__i", "__free"))
     place = F.when(F.col("__left") <= k, F.col("source_row_idx")).otherwise(F.col("__i"))
     drawn = F.when(F.col("__at").isNotNull(), F.struct(place.alias("__o"), *pair_fields))
-    label = F.when(F.col("__left") <= k, "all_candidates").otherwise(f"random_sample_without_replacement_k={k}")
     result = (
         draws.select(*keys, ROW, *counts, "__i", spot.alias("__at"))
-        .join(placed, [*keys, "__at"], "left")
+        .transform(prefixed_join, placed, [*keys, "__at"], "left")
         # A row's counts are one; grouped by the row alone, the result is dealt out as the last join needs it.
         .groupBy(ROW)
         .agg(*[F.any_value(c).alias(c) for c in counts], F.array_sort(F.collect_list(drawn)).alias("query_pairs"))

@@ -12,14 +12,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from pairloom.functions import keys as K
 from pairloom.functions.keys import null_safe_join
 from pairloom.session import materialise
 
 BUCKET = "__bucket"
 BEFORE = "__before"
-SPOT = "__spot"
+SPOT = "__spot__bucket"
+KEY = "__key"
 WIDTH = 1 << 20
 # Leading hex digits of a digest that name a bucket: 65,536 of them per key.
 DIGITS = 4
@@ -59,14 +61,14 @@ def apart(rows: DataFrame, keys: Sequence[str], counts: DataFrame | None = None)
     `counts` may be any (keys, __rows) that are not below the numbers of rows.
     Heavy keys are few and stored, so the planner knows how few.
     """
-    key = F.struct(*[F.col(k) for k in keys]).alias(SPOT)
+    key = F.struct(*[F.col(k) for k in keys]).alias(KEY)
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     heavy = materialise(counts.filter(F.col("__rows") > HEAVY).select(key))
     if heavy.isEmpty():
         return rows, None
     marked = rows.select("*", key)
-    return marked.join(heavy, SPOT, "left_anti").drop(SPOT), marked.join(heavy, SPOT, "left_semi").drop(SPOT)
+    return marked.join(heavy, KEY, "left_anti").drop(KEY), marked.join(heavy, KEY, "left_semi").drop(KEY)
 
 
 def plain_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str, total: str | None = None) -> DataFrame:
@@ -76,6 +78,11 @@ def plain_positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     return placed.withColumn(total, F.count(F.lit(1)).over(own)) if total else placed
 
 
+def light_window(keys: Sequence[str]) -> WindowSpec:
+    """The window of a light key over rows that have its prefix, where what follows isn't grouped by the key itself."""
+    return Window.partitionBy(K.PREFIX, *keys)
+
+
 def bucket_positions(
     df: DataFrame, keys: Sequence[str], digest: str, tie: Sequence[str], name: str, digits: int = DIGITS, total: str | None = None
 ) -> DataFrame:

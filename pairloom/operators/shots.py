@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions import keys as K
-from pairloom.operators.ranking import position_by_hash, position_by_sort
+from pairloom.operators.ranking import apart, bucket_positions, light_window, position_by_hash, position_by_sort
 
 USER = ("split", "user_id")
 
@@ -34,15 +34,49 @@ def chunk_shots(
     placed = position_by_hash(
         rows.withColumn("__h", K.seeded_hash(seed, F.col(row_id))), keys, "__h", [row_id], "__p", digits, total="__n"
     ).drop("__h")
+    return _full_groups(placed, num_shots, per_user).withColumn("pos", (F.col("__p") % num_shots).cast("int")).drop("__p", "__n")
+
+
+def _full_groups(placed: DataFrame, num_shots: int, per_user: int) -> DataFrame:
+    """Adds `chunk` to rows at place __p of __n, and drops what is no part of a group that counts."""
     full = F.floor(F.col("__n") / num_shots)
     if per_user > 0:
         full = F.least(full, F.lit(per_user))
-    return (
-        placed.withColumn("chunk", F.floor(F.col("__p") / num_shots).cast("bigint"))
-        .withColumn("pos", (F.col("__p") % num_shots).cast("int"))
-        .filter(F.col("chunk") < full)
-        .drop("__p", "__n")
+    return placed.withColumn("chunk", F.floor(F.col("__p") / num_shots).cast("bigint")).filter(F.col("chunk") < full)
+
+
+def shot_groups(
+    rows: DataFrame,
+    fields: Sequence[str],
+    num_shots: int = 4,
+    per_user: int = -1,
+    seed: int = 0,
+    keys: Sequence[str] = USER,
+    row_id: str = "row_idx",
+    digits: int = 2,
+) -> DataFrame:
+    """What gather_shots makes of chunk_shots, for callers that need the groups only.
+
+    A light user's rows are sorted once, and the first row of a group takes the
+    ones that follow it; heavy users' rows are ranked in buckets and gathered.
+    """
+    light, heavy = apart(rows.select(*dict.fromkeys([*keys, row_id, *fields])), keys)
+    hashed = lambda some: some.withColumn("__h", K.seeded_hash(seed, F.col(row_id)))
+    own, pair = light_window(keys), F.struct(*fields)
+    ordered = own.orderBy("__h", row_id)
+    # Hashed where they are sorted, so that the digests are not moved.
+    placed = hashed(light.withColumn(K.PREFIX, K.prefix(*keys)).repartition(K.PREFIX, *keys)).select(
+        *keys,
+        (F.row_number().over(ordered).cast("bigint") - 1).alias("__p"),
+        F.count(F.lit(1)).over(own).alias("__n"),
+        F.array(pair, *[F.lead(pair, n).over(ordered) for n in range(1, num_shots)]).alias("pairs"),
     )
+    groups = _full_groups(placed.filter(F.col("__p") % num_shots == 0), num_shots, per_user).select(*keys, "chunk", "pairs")
+    if heavy is None:
+        return groups
+    cut = bucket_positions(hashed(heavy), keys, "__h", [row_id], "__p", digits, total="__n")
+    cut = _full_groups(cut, num_shots, per_user).withColumn("pos", (F.col("__p") % num_shots).cast("int"))
+    return groups.unionByName(gather_shots(cut, keys, fields))
 
 
 def gather_shots(chunked: DataFrame, keys: Sequence[str] = USER, fields: Sequence[str] = ()) -> DataFrame:

@@ -157,7 +157,7 @@ def chunked(spark: SparkSession, sf_dir: str, per_user: int = -1) -> DataFrame:
 def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(embedding rows without their tensors, pool), both stored."""
     pairs = stored_pool(spark, sf_dir)
-    return materialise(_embedding_rows(shots.chunk_shots(pairs))), pairs
+    return materialise(_embedding_rows(pairs)), pairs
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,8 +165,8 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir)[0]
 
 
-def _embedding_rows(chunks: DataFrame) -> DataFrame:
-    groups = shots.gather_shots(chunks, fields=["preferred_uid", "dispreferred_uid", "caption", "row_idx"])
+def _embedding_rows(pairs: DataFrame) -> DataFrame:
+    groups = shots.shot_groups(pairs, ["preferred_uid", "dispreferred_uid", "caption", "row_idx"])
     rows = groups.withColumn("source_embedding_row_idx", F.array_min(F.transform("pairs", lambda p: p["row_idx"])))
     supports = F.transform(
         "pairs",

@@ -427,3 +427,26 @@ def test_only_heavy_keys_are_cut_into_buckets(spark, monkeypatch):
         assert got[0] == got[1] == got[2] and all(map(len, got[0]))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_groups_at_once_are_those_of_chunks(spark, pool, monkeypatch):
+    """Groups taken from neighbours in one sort, for light and heavy users, limited or not."""
+    fields = ["preferred_uid", "dispreferred_uid", "caption", "row_idx"]
+    for per_user in (-1, 3):
+        want = shots.gather_shots(shots.chunk_shots(pool, per_user=per_user), fields=fields)
+        for heavy in (1 << 16, 500, 0):
+            monkeypatch.setattr(ranking, "HEAVY", heavy)
+            got = shots.shot_groups(pool, fields, per_user=per_user)
+            if heavy == 1 << 16:
+                assert _exchanges(got) == 1 and "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+            assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_single_draws_are_not_gathered_again(spark, pool, embeddings):
+    """With one draw a row, rows meet their exclusions and their pair, and are grouped no more; joins sort by a hash first."""
+    ranked = assign.rank_pool(pool)
+    plan = assign.build_assignments(embeddings, ranked, on_empty="keep")._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(lines) == 1 and "collect_set" in lines[0]
+    assert sum("Join" in line and "__prefix" in line for line in plan.splitlines()) == 2
+
